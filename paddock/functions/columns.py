@@ -39,8 +39,9 @@ def nan_to_null(c: str | Column) -> Column:
 
 
 def r6(c: str | Column) -> Column:
-    """Result-projection rounding: non-finite to null, then 6 decimal places."""
-    return F.round(nan_to_null(col(c).cast("double")), 6)
+    """Result-projection rounding: non-finite to null, then 9 decimal places (absorbs
+    float summation noise) and 6 places half-up, both in exact decimal arithmetic."""
+    return F.round(nan_to_null(col(c).cast("double")).cast("decimal(38,9)"), 6).cast("double")
 
 
 def clip(c: str | Column, lo: float, hi: float) -> Column:

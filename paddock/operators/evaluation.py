@@ -158,6 +158,11 @@ def brier_score(df: DataFrame, prob_col: str) -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(prob_col) - F.col("won"), 2)).alias("brier"))
 
 
+def brier_scores(df: DataFrame, outputs: dict[str, str]) -> DataFrame:
+    """E10 for several probability columns in one pass (output name -> prob column)."""
+    return df.agg(*[F.avg(F.pow(F.col(p) - F.col("won"), 2)).alias(o) for o, p in outputs.items()])
+
+
 def odds_bucket_table(enriched: DataFrame, stake: float = 2.0) -> DataFrame:
     """Per odds bucket means, win rate, EV and the positive-EV rows' hit rate / ROI.
 

@@ -74,9 +74,13 @@ def race_split_labels(
     return ranked.select(RACE, F.col("_first_date").alias("race_date"), "rank", label.alias("split"))
 
 
-def split_by_race(df: DataFrame, **kwargs) -> DataFrame:
-    """Attach the split label to every row (all rows of a race share it)."""
-    labels = race_split_labels(df, **kwargs).select(RACE, "split")
+def split_by_race(df: DataFrame, labels_from: DataFrame | None = None, **kwargs) -> DataFrame:
+    """Attach the split label to every row (all rows of a race share it).
+
+    ``labels_from`` is the frame whose races are split (default ``df``); the
+    reference splits the raw card before evaluation filters races out.
+    """
+    labels = race_split_labels(labels_from if labels_from is not None else df, **kwargs).select(RACE, "split")
     return df.join(labels, RACE, "inner")
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 
 def r6(expr: str) -> str:
-    return f"round(CASE WHEN isnan(CAST({expr} AS DOUBLE)) OR isinf(CAST({expr} AS DOUBLE)) THEN NULL ELSE CAST({expr} AS DOUBLE) END, 6)"
+    """Non-finite -> NULL; then 9 dp (absorbs float noise) -> 6 dp half-up, in exact decimal."""
+    x = f"CAST({expr} AS DOUBLE)"
+    return f"CAST(round(CAST(CASE WHEN isnan({x}) OR isinf({x}) THEN NULL ELSE {x} END AS DECIMAL(38,9)), 6) AS DOUBLE)"
 
 
 def fdiv(a: str, b: str) -> str:
@@ -254,12 +256,15 @@ scored AS (
 def enriched_cte(temperature: float = 1.0) -> str:
     t = repr(float(temperature))
     return f"""
+soft0 AS (
+  SELECT *, exp(model_score / {t} - max(model_score / {t}) OVER (PARTITION BY race_id)) AS e
+  FROM scored
+),
 soft AS (
-  SELECT * EXCLUDE (market_prob),
-    exp(model_score / {t} - max(model_score / {t}) OVER (PARTITION BY race_id))
-      / sum(exp(model_score / {t} - max(model_score / {t}) OVER (PARTITION BY race_id))) OVER (PARTITION BY race_id) AS model_prob,
+  SELECT * EXCLUDE (market_prob, e),
+    e / sum(e) OVER (PARTITION BY race_id) AS model_prob,
     (1.0 / (dollar_odds + 1)) / sum(1.0 / (dollar_odds + 1)) OVER (PARTITION BY race_id) AS market_prob
-  FROM scored
+  FROM soft0
 ),
 enriched AS (
   SELECT *, dollar_odds + 1 AS decimal_odds, model_prob * (dollar_odds + 1) - 1 AS ev_per_dollar

@@ -153,3 +153,459 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# --------------------------------------------------------------------------- model-side queries
+# The score is the fixed linear scorer (scoring.FIXED_SCORE_WEIGHTS) so every number
+# below has an exact SQL oracle; MLlib-trained scorers plug into the same column.
+
+ENRICHED = O.with_(*O.MODEL_CTES, O.enriched_cte(1.0))
+KEY = ["race_id", "horse_name"]
+
+
+def _enriched(spark: SparkSession, sf_dir: str, temperature: float = 1.0) -> DataFrame:
+    return Pipeline(spark, sf_dir).enriched(temperature)
+
+
+MP_COLS = KEY + ["live_odds", "dollar_odds", "market_prob_live", "market_prob_final", "base_margin"]
+
+
+@register(
+    "market_prob",
+    O.with_(*O.MODEL_CTES)
+    + select_sql(
+        MP_COLS,
+        """(SELECT race_id, horse_name, live_odds, dollar_odds, market_prob AS market_prob_live,
+                  (1.0 / (dollar_odds + 1)) / sum(1.0 / (dollar_odds + 1)) OVER (PARTITION BY race_id) AS market_prob_final,
+                  ln(least(greatest(market_prob, 1e-4), 1 - 1e-4) / (1 - least(greatest(market_prob, 1e-4), 1 - 1e-4))) AS base_margin
+           FROM derived)""",
+    ),
+)
+def market_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live-odds and final-odds market probabilities and the clipped logit."""
+    from ..functions.columns import logit_clipped
+
+    d = Pipeline(spark, sf_dir).derived.withColumnRenamed("market_prob", "market_prob_live")
+    d = features.market_prob_from(d, "dollar_odds", "market_prob_final")
+    return finish(d.withColumn("base_margin", logit_clipped("market_prob_live")), MP_COLS)
+
+
+SOFTMAX_COLS = KEY + ["model_score", "model_prob"]
+
+
+@register(
+    "softmax_by_race",
+    O.with_(*O.MODEL_CTES)
+    + select_sql(
+        SOFTMAX_COLS,
+        """(SELECT race_id, horse_name, model_score,
+                  exp(model_score / 0.7) / sum(exp(model_score / 0.7)) OVER (PARTITION BY race_id) AS model_prob
+           FROM scored)""",
+    ),
+)
+def softmax_by_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-race softmax of the score at T = 0.7."""
+    s = scoring.per_race_softmax(Pipeline(spark, sf_dir).scored, "model_score", "model_prob", temperature=0.7)
+    return finish(s, SOFTMAX_COLS)
+
+
+EV_COLS = KEY + ["won", "dollar_odds", "model_prob", "market_prob", "decimal_odds", "ev_per_dollar"]
+
+
+@register("ev_table", ENRICHED + select_sql(EV_COLS, "enriched"))
+def ev_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5 B1: enriched rows (races with a winner) with decimal odds and EV per dollar."""
+    return finish(_enriched(spark, sf_dir), EV_COLS)
+
+
+BET_COLS = KEY + ["won", "stake", "payout", "ev_per_dollar"]
+
+_RULE_SQL = {
+    "ev_threshold": "SELECT * FROM elig WHERE ev_per_dollar > 0.1",
+    "top_ev_per_race": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY ev_per_dollar DESC, post_position, horse_name) AS k FROM elig WHERE ev_per_dollar IS NOT NULL) WHERE k = 1 AND ev_per_dollar > 0.0",
+    "top_model_per_race": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY model_prob DESC, post_position, horse_name) AS k FROM elig WHERE model_prob IS NOT NULL) WHERE k = 1",
+    "favorite": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY market_prob DESC, post_position, horse_name) AS k FROM elig WHERE market_prob IS NOT NULL) WHERE k = 1",
+    "ml_favorite": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY morning_line_odds_float ASC, post_position, horse_name) AS k FROM elig WHERE morning_line_odds_float IS NOT NULL) WHERE k = 1",
+    "top_speed_fig": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY speed_fig_L1 DESC, post_position, horse_name) AS k FROM elig WHERE speed_fig_L1 IS NOT NULL) WHERE k = 1",
+}
+_RULE_THRESHOLD = {"ev_threshold": 0.1, "top_ev_per_race": 0.0}
+
+
+def _bets_query(rule: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bets = betting.apply_bet_rule(_enriched(spark, sf_dir), rule, ev_threshold=_RULE_THRESHOLD.get(rule, 0.0))
+        return finish(bets, BET_COLS)
+
+    q.__doc__ = f"B2-B8: bets placed by rule {rule!r} with stake and payout."
+    return q
+
+
+for _rule, _sql in _RULE_SQL.items():
+    register(
+        f"bets_{_rule}",
+        ENRICHED
+        + ", elig AS (SELECT * FROM enriched WHERE dollar_odds > 0), bets AS ("
+        + _sql
+        + ") "
+        + select_sql(BET_COLS, "(SELECT *, 2.0 AS stake, won * 2.0 * decimal_odds AS payout FROM bets)"),
+    )(_bets_query(_rule))
+
+
+ROI_RULE_COLS = ["split", "rule", "rule_order"] + ROI_COLS
+
+
+def _split_cte(mode: str = "chronological") -> str:
+    assert mode == "chronological"
+    return """
+race_order AS (
+  SELECT race_id, min(race_date) AS first_date FROM raw GROUP BY race_id
+),
+race_rank AS (
+  SELECT race_id, first_date, row_number() OVER (ORDER BY first_date, race_id) AS rank, count(*) OVER () AS n
+  FROM race_order
+),
+race_split AS (
+  SELECT race_id, first_date, rank,
+         CASE WHEN rank <= n - CAST(floor(n * 0.15) AS BIGINT) * 2 THEN 'train'
+              WHEN rank <= n - CAST(floor(n * 0.15) AS BIGINT) THEN 'val' ELSE 'test' END AS split
+  FROM race_rank
+)"""
+
+
+def _rule_union_sql() -> str:
+    parts = []
+    for i, cfg in enumerate(betting.ROI_RULES):
+        rule, thr = cfg["rule"], cfg.get("ev_threshold", 0.0)
+        label = betting.rule_label(cfg).replace("'", "''")
+        sql = _RULE_SQL[rule].replace("ev_per_dollar > 0.1", f"ev_per_dollar > {thr}").replace("ev_per_dollar > 0.0", f"ev_per_dollar > {thr}")
+        parts.append(f"SELECT split, '{label}' AS rule, {i} AS rule_order, won, decimal_odds, ev_per_dollar FROM ({sql})")
+    return " UNION ALL ".join(parts)
+
+
+ROI_ALL_SQL = (
+    O.with_(*O.MODEL_CTES, O.enriched_cte(1.0), _split_cte())
+    + ", elig AS (SELECT e.*, s.split FROM enriched e JOIN race_split s USING (race_id) WHERE dollar_odds > 0)"
+    + ", picks AS (" + _rule_union_sql() + ")"
+    + ", labels AS (SELECT DISTINCT split, p.rule, p.rule_order FROM race_split, (SELECT DISTINCT rule, rule_order FROM picks UNION SELECT * FROM (VALUES "
+    + ", ".join(f"('{betting.rule_label(c)}', {i})" for i, c in enumerate(betting.ROI_RULES))
+    + ") v(rule, rule_order)) p WHERE split IN (SELECT split FROM elig))"
+    + """, agg AS (
+      SELECT split, rule, count(*) AS n_bets, sum(2.0) AS total_staked, sum(won * 2.0 * decimal_odds) AS total_return,
+             avg(won) AS hit_rate, avg(ev_per_dollar) AS avg_ev
+      FROM picks GROUP BY split, rule)
+    """
+    + select_sql(
+        ROI_RULE_COLS,
+        """(SELECT l.split, l.rule, l.rule_order, coalesce(a.n_bets, 0) AS n_bets,
+                  coalesce(a.total_staked, 0.0) AS total_staked, coalesce(a.total_return, 0.0) AS total_return,
+                  coalesce(a.total_return - a.total_staked, 0.0) AS profit,
+                  CASE WHEN coalesce(a.total_staked, 0) = 0 THEN 0.0 ELSE (a.total_return - a.total_staked) / a.total_staked END AS roi,
+                  coalesce(a.hit_rate, 0.0) AS hit_rate, coalesce(a.avg_ev, 0.0) AS avg_ev
+           FROM labels l LEFT JOIN agg a USING (split, rule))""",
+    )
+)
+
+
+@register("roi_all_rules", ROI_ALL_SQL)
+def roi_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROI of the seven standard rules per chronological split, one pass."""
+    from ..operators import split as split_ops
+
+    p = Pipeline(spark, sf_dir)
+    enriched = split_ops.split_by_race(p.enriched(), labels_from=p.raw_card)
+    return finish(betting.roi_all_rules(enriched, ["split"]), ROI_RULE_COLS, {"rule_order": "b"})
+
+
+SPLIT_COLS = ["race_id", "first_date", "rank", "split"]
+
+
+@register("split_chronological", O.with_(*O.MODEL_CTES, _split_cte()) + select_sql(SPLIT_COLS, "race_split"))
+def split_chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Races by (first date, id); earliest 70 % train, next 15 % val, last 15 % test."""
+    from ..operators import split as split_ops
+
+    labels = split_ops.race_split_labels(Pipeline(spark, sf_dir).raw_card).withColumnRenamed("race_date", "first_date")
+    return finish(labels, SPLIT_COLS)
+
+
+@register(
+    "split_random_sizes",
+    O.with_(*O.MODEL_CTES)
+    + """, n AS (SELECT count(DISTINCT race_id) AS n FROM raw)
+    SELECT split, CAST(n_races AS BIGINT) AS n_races FROM (
+      SELECT 'test' AS split, CAST(floor(n * 0.15) AS BIGINT) AS n_races FROM n
+      UNION ALL SELECT 'val', CAST(floor(n * 0.15) AS BIGINT) FROM n
+      UNION ALL SELECT 'train', n - 2 * CAST(floor(n * 0.15) AS BIGINT) FROM n)""",
+)
+def split_random_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded random split; sizes equal the reference's (membership differs by design)."""
+    from ..operators import split as split_ops
+
+    labels = split_ops.race_split_labels(Pipeline(spark, sf_dir).raw_card, mode="random", seed=0)
+    return finish(labels.groupBy("split").agg(F.count(F.lit(1)).alias("n_races")), ["split", "n_races"])
+
+
+METRIC_COLS = [
+    "split", "n_races", "n_rows", "model_log_loss", "market_log_loss", "uniform_log_loss", "model_top1_acc",
+    "favorite_top1_acc", "model_prob_sum_mean",
+]
+
+_TOP1_SQL = """
+(SELECT race_id, won FROM (SELECT race_id, won, row_number() OVER (PARTITION BY race_id ORDER BY {p} DESC, post_position, horse_name) AS k FROM es) WHERE k = 1)"""
+
+
+@register(
+    "metrics_by_split",
+    O.with_(*O.MODEL_CTES, O.enriched_cte(1.0), _split_cte())
+    + ", es AS (SELECT e.*, s.split FROM enriched e JOIN race_split s USING (race_id))"
+    + ", per_race AS (SELECT split, race_id, count(*) AS n, sum(model_prob) AS s FROM es GROUP BY split, race_id)"
+    + f", tm AS {_TOP1_SQL.format(p='model_prob')}, tk AS {_TOP1_SQL.format(p='market_prob')}"
+    + select_sql(
+        METRIC_COLS,
+        """(SELECT pr.split, count(*) AS n_races, sum(pr.n) AS n_rows,
+                  (SELECT avg(-ln(least(greatest(model_prob, 1e-12), 1.0))) FROM es WHERE es.won = 1 AND es.split = pr.split) AS model_log_loss,
+                  (SELECT avg(-ln(least(greatest(market_prob, 1e-12), 1.0))) FROM es WHERE es.won = 1 AND es.split = pr.split) AS market_log_loss,
+                  avg(ln(pr.n)) AS uniform_log_loss,
+                  avg(tm.won) AS model_top1_acc, avg(tk.won) AS favorite_top1_acc, avg(pr.s) AS model_prob_sum_mean
+           FROM per_race pr JOIN tm USING (race_id) JOIN tk USING (race_id) GROUP BY pr.split)""",
+    ),
+)
+def metrics_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split winner log-loss (model, market, uniform), top-1 accuracy, mean prob mass."""
+    from ..operators import split as split_ops
+
+    p = Pipeline(spark, sf_dir)
+    return finish(evaluation.metrics_by_split(split_ops.split_by_race(p.enriched(), labels_from=p.raw_card)), METRIC_COLS)
+
+
+ENT_COLS = ["model_entropy_mean", "market_entropy_mean", "delta_mean", "n_races"]
+_ENT_RACE = """
+(SELECT race_id,
+        sum(-model_prob * ln(least(greatest(model_prob, 1e-12), 1.0))) AS me,
+        sum(-market_prob * ln(least(greatest(market_prob, 1e-12), 1.0))) AS ke,
+        max(model_prob) AS fm, max(market_prob) AS fk, any_value(field_size) AS field_size
+ FROM enriched GROUP BY race_id)"""
+
+
+@register(
+    "entropy_summary",
+    ENRICHED
+    + select_sql(ENT_COLS, f"(SELECT avg(me) AS model_entropy_mean, avg(ke) AS market_entropy_mean, avg(me - ke) AS delta_mean, count(*) AS n_races FROM {_ENT_RACE})"),
+)
+def entropy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean per-race entropy of model and market probabilities."""
+    return finish(evaluation.entropy_summary(_enriched(spark, sf_dir)), ENT_COLS)
+
+
+@register(
+    "favorite_prob",
+    ENRICHED + select_sql(["race_id", "entropy", "favorite_prob"], f"(SELECT race_id, me AS entropy, fm AS favorite_prob FROM {_ENT_RACE})"),
+)
+def favorite_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-race model entropy and favourite probability."""
+    e = _enriched(spark, sf_dir)
+    out = evaluation.per_race_entropy(e, "model_prob").join(evaluation.per_race_favorite_prob(e, "model_prob"), "race_id")
+    return finish(out, ["race_id", "entropy", "favorite_prob"])
+
+
+REL_COLS = ["bin_ord", "bin_label", "mean_pred", "empirical_rate", "count", "wins", "ci_lo", "ci_hi"]
+
+
+def _reliability_sql(where: str = "") -> str:
+    edges = evaluation.DEFAULT_RELIABILITY_EDGES
+    labels = evaluation.reliability_labels(edges)
+    case = "CASE " + " ".join(f"WHEN model_prob <= {e} THEN {i}" for i, e in enumerate(edges[1:-1])) + f" ELSE {len(edges) - 2} END"
+    lab = "CASE b " + " ".join(f"WHEN {i} THEN '{l}'" for i, l in enumerate(labels)) + " END"
+    return (
+        ENRICHED
+        + f", binned AS (SELECT *, {case} AS b FROM enriched {where})"
+        + f", agg AS (SELECT b, avg(model_prob) AS mean_pred, avg(won) AS empirical_rate, count(*) AS count, sum(won) AS wins FROM binned GROUP BY b)"
+        + select_sql(
+            REL_COLS,
+            f"""(SELECT b AS bin_ord, {lab} AS bin_label, mean_pred, empirical_rate, count, wins,
+                       (wins + 1.96 * 1.96 / 2) / (count + 1.96 * 1.96) - (1.96 / (count + 1.96 * 1.96)) * sqrt(wins * (count - wins) / count + 1.96 * 1.96 / 4) AS ci_lo,
+                       (wins + 1.96 * 1.96 / 2) / (count + 1.96 * 1.96) + (1.96 / (count + 1.96 * 1.96)) * sqrt(wins * (count - wins) / count + 1.96 * 1.96 / 4) AS ci_hi
+                FROM agg)""",
+            {"bin_label": "s"},
+        )
+    )
+
+
+@register("reliability", _reliability_sql())
+def reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability bins (right-closed) with Wilson 95 % intervals."""
+    t = evaluation.reliability_table(_enriched(spark, sf_dir)).withColumnRenamed("bin", "bin_label")
+    return finish(t, REL_COLS, {"bin_label": "s"})
+
+
+@register("reliability_conditional", _reliability_sql("WHERE ev_per_dollar > 0"))
+def reliability_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability restricted to positive-EV rows (a caller predicate)."""
+    t = evaluation.conditional_reliability_table(_enriched(spark, sf_dir), F.col("ev_per_dollar") > 0).withColumnRenamed("bin", "bin_label")
+    return finish(t, REL_COLS, {"bin_label": "s"})
+
+
+@register(
+    "brier",
+    ENRICHED + select_sql(["model_brier", "market_brier"], "(SELECT avg(pow(model_prob - won, 2)) AS model_brier, avg(pow(market_prob - won, 2)) AS market_brier FROM enriched)"),
+)
+def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier score of model and market probabilities."""
+    out = evaluation.brier_scores(_enriched(spark, sf_dir), {"model_brier": "model_prob", "market_brier": "market_prob"})
+    return finish(out, ["model_brier", "market_brier"])
+
+
+ODDS_COLS = [
+    "bucket_ord", "odds_bucket", "n", "mean_model_prob", "mean_market_prob", "win_rate", "mean_ev", "n_positive_ev",
+    "pos_ev_hit_rate", "pos_ev_roi",
+]
+
+
+def _odds_bucket_sql() -> str:
+    case = "CASE " + " ".join(f"WHEN dollar_odds <= {e} THEN {i}" for i, e in enumerate(evaluation.ODDS_EDGES)) + f" ELSE {len(evaluation.ODDS_EDGES)} END"
+    lab = "CASE b " + " ".join(f"WHEN {i} THEN '{l}'" for i, l in enumerate(evaluation.ODDS_LABELS)) + " END"
+    return (
+        ENRICHED
+        + f", binned AS (SELECT *, {case} AS b FROM enriched)"
+        + """, base_t AS (SELECT b, count(*) AS n, avg(model_prob) AS mean_model_prob, avg(market_prob) AS mean_market_prob,
+                  avg(won) AS win_rate, avg(ev_per_dollar) AS mean_ev, count(*) FILTER (WHERE ev_per_dollar > 0) AS n_positive_ev
+                FROM binned GROUP BY b)
+           , pos AS (SELECT b, avg(won) AS hit, (sum(won * 2.0 * decimal_odds) - sum(2.0)) / sum(2.0) AS roi
+                FROM binned WHERE ev_per_dollar > 0 GROUP BY b)
+        """
+        + select_sql(
+            ODDS_COLS,
+            f"""(SELECT t.b AS bucket_ord, {lab.replace('CASE b', 'CASE t.b')} AS odds_bucket, n, mean_model_prob, mean_market_prob, win_rate, mean_ev, n_positive_ev,
+                       CASE WHEN (SELECT count(*) FROM pos) = 0 THEN 0.0 ELSE p.hit END AS pos_ev_hit_rate,
+                       CASE WHEN (SELECT count(*) FROM pos) = 0 THEN 0.0 ELSE p.roi END AS pos_ev_roi
+                FROM base_t t LEFT JOIN pos p ON p.b = t.b)""",
+        )
+    )
+
+
+@register("odds_buckets", _odds_bucket_sql())
+def odds_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odds-bucket table with the positive-EV rows' hit rate and ROI."""
+    return finish(evaluation.odds_bucket_table(_enriched(spark, sf_dir)), ODDS_COLS)
+
+
+FIELD_COLS = ["bucket_ord", "field_bucket", "n_races", "entropy_gap", "favorite_gap", "log_loss_gap"]
+
+
+def _field_bucket_sql() -> str:
+    case = "CASE " + " ".join(f"WHEN field_size <= {e} THEN {i}" for i, e in enumerate(evaluation.FIELD_EDGES)) + f" ELSE {len(evaluation.FIELD_EDGES)} END"
+    lab = "CASE b " + " ".join(f"WHEN {i} THEN '{l}'" for i, l in enumerate(evaluation.FIELD_LABELS)) + " END"
+    return (
+        ENRICHED
+        + f", pr AS (SELECT *, {case} AS b FROM {_ENT_RACE})"
+        + """, wl AS (SELECT race_id, -ln(least(greatest(model_prob, 1e-12), 1.0)) AS llm, -ln(least(greatest(market_prob, 1e-12), 1.0)) AS llk
+                      FROM enriched WHERE won = 1)"""
+        + select_sql(
+            FIELD_COLS,
+            f"""(SELECT b AS bucket_ord, {lab} AS field_bucket, count(*) AS n_races, avg(me - ke) AS entropy_gap,
+                       avg(fm - fk) AS favorite_gap, avg(llm - llk) AS log_loss_gap
+                FROM pr LEFT JOIN wl USING (race_id) GROUP BY b)""",
+        )
+    )
+
+
+@register("field_size_buckets", _field_bucket_sql())
+def field_size_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field-size table from one race-level rollup (no self-joins)."""
+    return finish(evaluation.field_size_bucket_table(_enriched(spark, sf_dir)), FIELD_COLS)
+
+
+SWEEP_TEMPS = [0.5, 0.75, 1.0, 1.25, 1.5, 2.0]
+
+
+@register(
+    "temperature_sweep",
+    O.with_(*O.MODEL_CTES)
+    + ", w AS (SELECT * FROM scored WHERE race_id IN (SELECT race_id FROM scored WHERE won = 1))"
+    + ", temps AS (SELECT * FROM (VALUES " + ", ".join(f"({t})" for t in SWEEP_TEMPS) + ") v(T))"
+    + """, p0 AS (SELECT temps.T, w.race_id, w.won,
+                exp(w.model_score / temps.T - max(w.model_score / temps.T) OVER (PARTITION BY temps.T, w.race_id)) AS e
+              FROM w, temps)
+         , p AS (SELECT T, won, e / sum(e) OVER (PARTITION BY T, race_id) AS prob FROM p0)"""
+    + select_sql(["T", "log_loss"], "(SELECT T, avg(-ln(least(greatest(prob, 1e-12), 1.0))) AS log_loss FROM p WHERE won = 1 GROUP BY T)"),
+)
+def temperature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winner log-loss at each temperature of a list, all in one pass."""
+    s = scoring.winner_races(Pipeline(spark, sf_dir).scored)
+    return finish(scoring.log_loss_grid(s, SWEEP_TEMPS), ["T", "log_loss"])
+
+
+@register("temperature_fit")
+def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted temperature and the winner log-loss at it (grid refinement)."""
+    s = Pipeline(spark, sf_dir).scored
+    t = scoring.fit_temperature(s)
+    ll = scoring.log_loss_at(s, t)
+    return finish(ll.select(F.lit(t).alias("temperature"), "log_loss"), ["temperature", "log_loss"])
+
+
+PEV_COLS = [
+    "ev_threshold", "n_bets", "mean_predicted_prob", "mean_market_prob", "empirical_hit_rate", "mean_predicted_ev",
+    "realized_ev_per_dollar",
+]
+
+
+@register(
+    "positive_ev_slice",
+    ENRICHED
+    + select_sql(
+        PEV_COLS,
+        """(SELECT 0.0 AS ev_threshold, count(*) AS n_bets, avg(model_prob) AS mean_predicted_prob,
+                  avg(market_prob) AS mean_market_prob, avg(won) AS empirical_hit_rate,
+                  avg(ev_per_dollar) AS mean_predicted_ev, avg(won * decimal_odds - 1.0) AS realized_ev_per_dollar
+           FROM enriched WHERE ev_per_dollar > 0)""",
+    ),
+)
+def positive_ev_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted vs realised on the positive-EV slice."""
+    return finish(evaluation.positive_ev_slice_summary(_enriched(spark, sf_dir), 0.0), PEV_COLS)
+
+
+@register(
+    "conditional_log_loss",
+    ENRICHED
+    + """, sl AS (SELECT * FROM enriched WHERE ev_per_dollar > 0),
+         wr AS (SELECT DISTINCT race_id FROM sl WHERE won = 1)"""
+    + select_sql(
+        ["n_races", "model_log_loss", "market_log_loss"],
+        """(SELECT (SELECT count(*) FROM wr) AS n_races,
+                  avg(-ln(least(greatest(model_prob, 1e-12), 1.0))) AS model_log_loss,
+                  avg(-ln(least(greatest(market_prob, 1e-12), 1.0))) AS market_log_loss
+           FROM sl WHERE won = 1 AND race_id IN (SELECT race_id FROM wr))""",
+    ),
+)
+def conditional_log_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winner log-loss of model and market on the positive-EV slice's winning races."""
+    out = evaluation.conditional_log_loss(_enriched(spark, sf_dir), F.col("ev_per_dollar") > 0)
+    return finish(out, ["n_races", "model_log_loss", "market_log_loss"])
+
+
+HIST_COLS = ["bin", "bin_left", "count"]
+
+
+@register(
+    "entropy_histogram",
+    ENRICHED
+    + select_sql(
+        HIST_COLS,
+        f"""(SELECT CAST(least(greatest(floor(me / 0.075), 0), 39) AS INTEGER) AS bin,
+                   CAST(least(greatest(floor(me / 0.075), 0), 39) AS INTEGER) * 0.075 AS bin_left, count(*) AS count
+            FROM {_ENT_RACE} WHERE me IS NOT NULL GROUP BY 1, 2)""",
+    ),
+)
+def entropy_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40-bin histogram of per-race model entropy over [0, 3] nats."""
+    ent = evaluation.per_race_entropy(_enriched(spark, sf_dir), "model_prob")
+    return finish(evaluation.histogram(ent, "entropy", bins=40, lo=0.0, hi=3.0), HIST_COLS)
+
+
+@register("prob_sample")
+def prob_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded sample of 1000 runners (model vs market probability) for a scatter plot."""
+    s = evaluation.seeded_sample(_enriched(spark, sf_dir), 1000, seed=0)
+    return finish(s, KEY + ["model_prob", "market_prob", "won"])

@@ -26,7 +26,7 @@ model_log_loss market_log_loss uniform_log_loss model_top1_acc favorite_top1_acc
 model_entropy_mean market_entropy_mean delta_mean entropy favorite_prob mean_pred empirical_rate ci_lo ci_hi brier
 mean_model_prob mean_market_prob win_rate mean_ev pos_ev_hit_rate pos_ev_roi entropy_gap favorite_gap log_loss_gap
 T log_loss temperature ev_threshold mean_predicted_prob empirical_hit_rate mean_predicted_ev realized_ev_per_dollar
-bin_left value odds_parsed odds_fraction live_odds_choice latest_odds default_odds
+bin_left value model_brier market_brier odds_parsed odds_fraction live_odds_choice latest_odds default_odds
 """
 _B = """
 race_number distance_yards num_runners field_size post_position official_finish year_of_birth age
