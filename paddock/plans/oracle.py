@@ -290,3 +290,19 @@ def with_(*ctes: str) -> str:
 
 HISTORY_CTES = (RACES, LINE1, BASE, PP, PP_ROLL, PP_FEATS, WORKOUTS, CAREER)
 MODEL_CTES = HISTORY_CTES + (RAW, DERIVED, SCORED)
+
+OVERRIDES = """
+overrides AS (
+  SELECT race_id, race_number, post_position, horse_name, race_class_rating,
+         CASE WHEN race_number % 53 = 0 AND post_position = 2
+              THEN printf('%d:%02d PM', 1 + race_number % 9, ((race_number * 7) % 60 + 1) % 60)
+              ELSE printf('%d:%02d PM', 1 + race_number % 9, (race_number * 7) % 60) END AS post_time,
+         CASE WHEN post_position = 3 AND race_number % 3 = 0 THEN NULL ELSE entry_class_rating END AS entry_class_rating,
+         speed_figure AS speed_fig_L1, speed_figure - 2 AS speed_fig_L2,
+         CASE WHEN race_number % 4 = 0 THEN NULL ELSE speed_figure - 4 END AS speed_fig_L3
+  FROM base WHERE NOT (race_number % 97 = 0 AND post_position = 1)
+  UNION ALL
+  SELECT race_id, race_number, max(num_runners) + 1, NULL, max(race_class_rating),
+         printf('%d:%02d PM', 1 + race_number % 9, (race_number * 7) % 60), NULL, NULL, NULL, NULL
+  FROM base WHERE race_number % 89 = 0 GROUP BY race_id, race_number
+)"""

@@ -609,3 +609,272 @@ def prob_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded sample of 1000 runners (model vs market probability) for a scatter plot."""
     s = evaluation.seeded_sample(_enriched(spark, sf_dir), 1000, seed=0)
     return finish(s, KEY + ["model_prob", "market_prob", "won"])
+
+
+# --------------------------------------------------------------------------- race-day card operators
+
+OVR_MISMATCH_COLS = ["race_id", "post_position", "side"]
+
+
+@register(
+    "card_override_mismatch",
+    O.with_(O.RACES, O.LINE1, O.BASE, O.OVERRIDES)
+    + select_sql(
+        OVR_MISMATCH_COLS,
+        """(SELECT race_id, post_position, 'missing' AS side FROM base b
+              WHERE NOT EXISTS (SELECT 1 FROM overrides o WHERE o.race_id = b.race_id AND o.post_position = b.post_position)
+            UNION ALL
+            SELECT race_id, post_position, 'extra' FROM overrides o
+              WHERE NOT EXISTS (SELECT 1 FROM base b WHERE o.race_id = b.race_id AND o.post_position = b.post_position))""",
+        {"side": "s"},
+    ),
+)
+def card_override_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runners without an override and overrides without a runner (two anti-joins)."""
+    from ..operators import staging
+    from ..sources import fixtures
+
+    p = Pipeline(spark, sf_dir)
+    return finish(staging.override_mismatch(p.base, fixtures.overrides(p.base)), OVR_MISMATCH_COLS, {"side": "s"})
+
+
+APPLY_COLS = [
+    "race_id", "post_position", "horse_name", "race_class_rating", "post_time", "entry_class_rating",
+    "speed_fig_L1", "speed_fig_L2", "speed_fig_L3", "avg_speed_fig_L3", "max_speed_fig_L3",
+]
+
+
+@register(
+    "card_apply_overrides",
+    O.with_(O.RACES, O.LINE1, O.BASE, O.OVERRIDES)
+    + select_sql(
+        APPLY_COLS,
+        """(SELECT b.race_id, b.post_position, b.horse_name, o.race_class_rating, o.post_time, o.entry_class_rating,
+                  o.speed_fig_L1, o.speed_fig_L2, o.speed_fig_L3,
+                  (coalesce(o.speed_fig_L1, 0) + coalesce(o.speed_fig_L2, 0) + coalesce(o.speed_fig_L3, 0))
+                    / nullif(CAST(o.speed_fig_L1 IS NOT NULL AS INT) + CAST(o.speed_fig_L2 IS NOT NULL AS INT) + CAST(o.speed_fig_L3 IS NOT NULL AS INT), 0) AS avg_speed_fig_L3,
+                  greatest(o.speed_fig_L1, o.speed_fig_L2, o.speed_fig_L3) AS max_speed_fig_L3
+           FROM base b LEFT JOIN overrides o ON o.race_id = b.race_id AND o.post_position = b.post_position)""",
+        {"post_time": "s"},
+    ),
+)
+def card_apply_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authoritative overrides (blank overwrites), speed mean/max recomputed."""
+    from ..operators import staging
+    from ..sources import fixtures
+
+    p = Pipeline(spark, sf_dir)
+    ov = fixtures.overrides(p.base)
+    staging.check_override_columns(ov.columns)
+    runners = staging.apply_speed_fig_overrides(staging.apply_entry_overrides(p.base, ov), ov)
+    return finish(runners, APPLY_COLS, {"post_time": "s"})
+
+
+CONFLICT_COLS = ["race_id", "field_name", "n_blank", "n_distinct"]
+
+
+@register(
+    "card_conflicts",
+    O.with_(O.RACES, O.LINE1, O.BASE, O.OVERRIDES)
+    + """, applied AS (SELECT b.race_id, o.race_class_rating, o.post_time FROM base b
+                     LEFT JOIN overrides o ON o.race_id = b.race_id AND o.post_position = b.post_position)"""
+    + select_sql(
+        CONFLICT_COLS,
+        """(SELECT race_id, 'race_class_rating' AS field_name, count(*) FILTER (WHERE race_class_rating IS NULL) AS n_blank,
+                  count(DISTINCT race_class_rating) AS n_distinct FROM applied GROUP BY race_id
+            UNION ALL
+            SELECT race_id, 'post_time', count(*) FILTER (WHERE post_time IS NULL), count(DISTINCT post_time)
+            FROM applied GROUP BY race_id)
+           WHERE n_blank > 0 OR n_distinct > 1""",
+        {"field_name": "s", "n_blank": "b", "n_distinct": "b"},
+    ),
+)
+def card_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Race-level override columns that are blank or disagree within a race."""
+    from ..operators import staging
+    from ..sources import fixtures
+
+    p = Pipeline(spark, sf_dir)
+    applied = staging.apply_entry_overrides(p.base, fixtures.overrides(p.base))
+    return finish(staging.required_conflicts(applied), CONFLICT_COLS, {"field_name": "s", "n_blank": "b", "n_distinct": "b"})
+
+
+def _staged_types() -> dict[str, str]:
+    return {"post_time": "s", "morning_line_odds": "d"}
+
+
+@register(
+    "staged_card",
+    O.with_(*O.HISTORY_CTES, O.OVERRIDES)
+    + select_sql(
+        __import__("paddock.operators.staging", fromlist=["x"]).STAGED_COLS,
+        """(SELECT b.track, b.race_number, b.race_date, o.post_time, b.distance_yards, b.surface, b.course_desc,
+                  o.race_class_rating, b.purse, b.age_restriction, b.sex_restriction,
+                  b.horse_name, b.post_position, b.morning_line_odds_float AS morning_line_odds, b.weight_carried,
+                  o.entry_class_rating, b.year_of_birth, b.sex,
+                  c.career_starts, c.career_wins, c.career_seconds, c.career_thirds, c.career_earnings,
+                  c.surface_starts, c.surface_wins, c.surface_seconds, c.surface_thirds,
+                  o.speed_fig_L1, o.speed_fig_L2, o.speed_fig_L3,
+                  (coalesce(o.speed_fig_L1, 0) + coalesce(o.speed_fig_L2, 0) + coalesce(o.speed_fig_L3, 0))
+                    / nullif(CAST(o.speed_fig_L1 IS NOT NULL AS INT) + CAST(o.speed_fig_L2 IS NOT NULL AS INT) + CAST(o.speed_fig_L3 IS NOT NULL AS INT), 0) AS avg_speed_fig_L3,
+                  greatest(o.speed_fig_L1, o.speed_fig_L2, o.speed_fig_L3) AS max_speed_fig_L3,
+                  p.official_finish_L1, p.official_finish_L2, p.official_finish_L3,
+                  p.num_starters_L1, p.num_starters_L2, p.num_starters_L3, p.pp_odds_L1, p.pp_odds_L2, p.pp_odds_L3,
+                  p.distance_yards_L1, p.distance_yards_L2, p.distance_yards_L3, p.pp_surface_L1, p.last_pp_date,
+                  coalesce(p.num_prior_starts, 0) AS num_prior_starts,
+                  w.best_workout_rank_pct, w.best_workout_group_size, w.last_workout_rank_pct, w.last_workout_group_size,
+                  coalesce(w.num_workouts, 0) AS num_workouts, w.last_workout_date
+           FROM base b
+           JOIN career c ON c.race_id = b.race_id AND c.horse_name = b.horse_name
+           LEFT JOIN overrides o ON o.race_id = b.race_id AND o.post_position = b.post_position
+           LEFT JOIN pp_feats p ON p.race_id = b.race_id AND p.horse_name = b.horse_name
+           LEFT JOIN wk_feats w ON w.race_id = b.race_id AND w.horse_name = b.horse_name)""",
+        _staged_types(),
+    ),
+)
+def staged_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 53-column staged card (race-level then runner fields), sorted."""
+    from ..operators import staging
+    from ..sources import fixtures
+
+    p = Pipeline(spark, sf_dir)
+    ov = fixtures.overrides(p.base)
+    entries = p.base.join(p.career, ["race_id", "horse_name"], "left")
+    entries = staging.apply_entry_overrides(entries, ov)
+    runners = entries.join(p.pp_features, ["race_id", "horse_name"], "left").join(p.workout_features(), ["race_id", "horse_name"], "left")
+    runners = staging.apply_speed_fig_overrides(runners, ov)
+    return finish(staging.staged_card(runners), staging.STAGED_COLS, _staged_types())
+
+
+DOC_COLS = ["race_id", "n_runners", "post_list", "horse_list"]
+
+
+@register(
+    "card_documents",
+    O.with_(O.RACES, O.LINE1, O.BASE)
+    + select_sql(
+        DOC_COLS,
+        """(SELECT race_id, count(*) AS n_runners,
+                  string_agg(CAST(post_position AS VARCHAR), ',' ORDER BY post_position) AS post_list,
+                  string_agg(horse_name, ',' ORDER BY post_position) AS horse_list
+           FROM base GROUP BY race_id)""",
+        {"post_list": "s", "horse_list": "s"},
+    ),
+)
+def card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested document per race (runners by post position) with its JSON text."""
+    from ..operators import staging
+
+    base = Pipeline(spark, sf_dir).base
+    docs = staging.race_documents(
+        base,
+        ["race_id", "race_date", "track", "race_number", "distance_yards", "surface", "race_class_rating", "purse"],
+        ["post_position", "horse_name", "morning_line_odds_float", "weight_carried", "entry_class_rating", "year_of_birth", "sex"],
+    )
+    out = docs.select(
+        "race_id",
+        F.size("runners").alias("n_runners"),
+        F.array_join(F.transform("runners", lambda r: r["post_position"].cast("string")), ",").alias("post_list"),
+        F.array_join(F.transform("runners", lambda r: r["horse_name"]), ",").alias("horse_list"),
+    )
+    return finish(out, DOC_COLS, {"post_list": "s", "horse_list": "s"})
+
+
+INDEX_COLS = ["race_date", "track", "n_races", "race_list"]
+
+
+@register(
+    "card_index",
+    O.with_(O.RACES)
+    + select_sql(
+        INDEX_COLS,
+        """(SELECT race_date, track, count(*) AS n_races,
+                  string_agg(CAST(race_number AS VARCHAR), ',' ORDER BY race_number) AS race_list
+           FROM races GROUP BY race_date, track)""",
+        {"race_list": "s"},
+    ),
+)
+def card_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Races grouped by (date, track), sorted by race number."""
+    from ..operators import staging
+    from ..sources import fixtures
+
+    idx = staging.card_index(fixtures.races(spark, sf_dir))
+    out = idx.select("race_date", "track", "n_races", F.array_join(F.transform("races", lambda r: r["race_number"].cast("string")), ",").alias("race_list"))
+    return finish(out, INDEX_COLS, {"race_list": "s"})
+
+
+REPORT_COLS = ["race_id", "distance_label", "restriction_label", "race_meta", "group_label"]
+_REPORT_T = {c: "s" for c in REPORT_COLS}
+
+
+def _report_sql() -> str:
+    dist = """CASE WHEN distance_yards < 1760 THEN
+                 CASE WHEN CAST(round(distance_yards / 110.0) AS BIGINT) % 2 = 1
+                      THEN CAST(CAST(round(distance_yards / 110.0) AS BIGINT) // 2 AS VARCHAR) || ' 1/2 furlongs'
+                      ELSE CAST(CAST(round(distance_yards / 110.0) AS BIGINT) // 2 AS VARCHAR) || ' furlongs' END
+               ELSE CASE WHEN CAST(round(distance_yards / 110.0) AS BIGINT) % 16 = 0
+                      THEN CAST(CAST(round(distance_yards / 110.0) AS BIGINT) // 16 AS VARCHAR) || ' mile'
+                      ELSE CAST(CAST(round(distance_yards / 110.0) AS BIGINT) // 16 AS VARCHAR) || ' '
+                           || CAST((CAST(round(distance_yards / 110.0) AS BIGINT) % 16) // gcd(CAST(round(distance_yards / 110.0) AS BIGINT) % 16, 16) AS VARCHAR)
+                           || '/' || CAST(16 // gcd(CAST(round(distance_yards / 110.0) AS BIGINT) % 16, 16) AS VARCHAR) || ' mile' END END"""
+    restr = """concat_ws(' ',
+                 CASE WHEN age_restriction IS NULL OR age_restriction = '' THEN NULL
+                      WHEN substr(age_restriction, 2, 1) IN ('U', '+') THEN substr(age_restriction, 1, 1) || 'yo+'
+                      WHEN regexp_extract(age_restriction, '^\\s*([+-]?\\d+)', 1) <> ''
+                        THEN CAST(CAST(regexp_extract(age_restriction, '^\\s*([+-]?\\d+)', 1) AS INTEGER) AS VARCHAR) || 'yo'
+                      ELSE age_restriction END,
+                 CASE WHEN sex_restriction = 'F' THEN 'F' WHEN sex_restriction = 'B' THEN 'F&M' END)"""
+    return (
+        O.with_(O.RACES)
+        + f", lab AS (SELECT race_id, race_date, track, surface, {dist} AS distance_label, {restr} AS restriction_label FROM races)"
+        + select_sql(
+            REPORT_COLS,
+            """(SELECT race_id, distance_label, restriction_label,
+                      concat_ws(' · ', distance_label, CASE surface WHEN 'D' THEN 'Dirt' WHEN 'T' THEN 'Turf' ELSE surface END,
+                                CASE WHEN restriction_label <> '' THEN restriction_label END) AS race_meta,
+                      concat_ws(' · ', CAST(race_date AS VARCHAR), CASE track WHEN 'CD' THEN 'Churchill Downs' WHEN 'KEE' THEN 'Keeneland' ELSE track END) AS group_label
+               FROM lab)""",
+            _REPORT_T,
+        )
+    )
+
+
+@register("card_report", _report_sql())
+def card_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance label, restriction label, race summary and card-group label."""
+    from ..operators import staging
+    from ..sources import fixtures
+
+    return finish(staging.race_summary(fixtures.races(spark, sf_dir)), REPORT_COLS, _REPORT_T)
+
+
+DAY_COLS = ["race_id", "race_number", "post_position", "horse_name", "morning_line_odds_float", "speed_fig_L1", "num_prior_starts", "num_workouts"]
+
+
+@register(
+    "day_slice",
+    O.with_(*O.HISTORY_CTES)
+    + """, day AS (SELECT * FROM base WHERE race_date = (SELECT max(race_date) FROM base)
+                     AND course_desc NOT IN ('Hurdle', 'Downhill turf', 'Timber'))"""
+    + select_sql(
+        DAY_COLS,
+        """(SELECT d.race_id, d.race_number, d.post_position, d.horse_name, d.morning_line_odds_float, p.speed_fig_L1,
+                  coalesce(p.num_prior_starts, 0) AS num_prior_starts, coalesce(w.num_workouts, 0) AS num_workouts
+           FROM day d LEFT JOIN pp_feats p ON p.race_id = d.race_id AND p.horse_name = d.horse_name
+           LEFT JOIN wk_feats w ON w.race_id = d.race_id AND w.horse_name = d.horse_name)""",
+    ),
+)
+def day_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest race day's card; history tables reduced by a semi-join on its races."""
+    from ..operators import staging
+
+    p = Pipeline(spark, sf_dir)
+    latest = p.results.agg(F.max("race_date").alias("d"))
+    day = staging.day_slice(p.results.join(F.broadcast(latest), F.col("race_date") == F.col("d")).drop("d"), F.col("race_date"))
+    ids = day.select("race_id")
+    runners = p.base.join(ids, "race_id", "left_semi")
+    pp = p.pp_features.join(ids, "race_id", "left_semi")
+    wk = p.workout_features().join(ids, "race_id", "left_semi")
+    out = runners.join(pp, ["race_id", "horse_name"], "left").join(wk, ["race_id", "horse_name"], "left").fillna(0, ["num_prior_starts", "num_workouts"])
+    return finish(out, DAY_COLS)

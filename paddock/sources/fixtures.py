@@ -204,3 +204,49 @@ def card_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("kind"),
         F.when(kind == "odds", F.col("value") / 10).alias("live_odds"),
     )
+
+
+def overrides(base: DataFrame) -> DataFrame:
+    """Override rows keyed by (race_id, post_position), derived by rule from every runner.
+
+    Values: race class and post time per race, entry class, and speed figures (a
+    blank overwrites too). Rule-based defects exercise the checks: the post-1
+    runner of races with number % 97 == 0 has no override (missing key), races
+    with number % 89 == 0 get an override for a post that does not exist (extra
+    key), and post 2 of races with number % 53 == 0 disagrees on post time.
+    """
+    n = F.col("race_number")
+    hour = F.lit(1) + n % 9
+    minute = (n * 7) % 60
+    post_time = F.format_string("%d:%02d PM", hour, minute)
+    conflict = (n % 53 == 0) & (F.col("post_position") == 2)
+    rows = base.where(~((n % 97 == 0) & (F.col("post_position") == 1))).select(
+        "race_id",
+        "race_number",
+        "post_position",
+        "horse_name",
+        F.col("race_class_rating"),
+        F.when(conflict, F.format_string("%d:%02d PM", hour, (minute + 1) % 60)).otherwise(post_time).alias("post_time"),
+        F.when((F.col("post_position") == 3) & (n % 3 == 0), F.lit(None).cast("double")).otherwise(F.col("entry_class_rating")).alias("entry_class_rating"),
+        F.col("speed_figure").alias("speed_fig_L1"),
+        (F.col("speed_figure") - 2).alias("speed_fig_L2"),
+        F.when(n % 4 == 0, F.lit(None).cast("double")).otherwise(F.col("speed_figure") - 4).alias("speed_fig_L3"),
+    )
+    extra = (
+        base.where(n % 89 == 0)
+        .groupBy("race_id", "race_number")
+        .agg(F.max("num_runners").alias("_n"), F.max("race_class_rating").alias("race_class_rating"))
+        .select(
+            "race_id",
+            "race_number",
+            (F.col("_n") + 1).cast("bigint").alias("post_position"),
+            F.lit(None).cast("string").alias("horse_name"),
+            "race_class_rating",
+            post_time.alias("post_time"),
+            F.lit(None).cast("double").alias("entry_class_rating"),
+            F.lit(None).cast("double").alias("speed_fig_L1"),
+            F.lit(None).cast("double").alias("speed_fig_L2"),
+            F.lit(None).cast("double").alias("speed_fig_L3"),
+        )
+    )
+    return rows.unionByName(extra)
