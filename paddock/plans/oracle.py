@@ -306,3 +306,37 @@ overrides AS (
          printf('%d:%02d PM', 1 + race_number % 9, (race_number * 7) % 60), NULL, NULL, NULL, NULL
   FROM base WHERE race_number % 89 = 0 GROUP BY race_id, race_number
 )"""
+
+# card events folded in (ts, seq) order per race with a recursive CTE (bit mask of scratched posts)
+CARD_FOLD = """
+ev AS (
+  SELECT user_id AS race_key, CAST(event_id % 8 + 1 AS BIGINT) AS post_position, ts, event_id AS seq,
+         CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'odds' WHEN event_type = 'error' THEN 'scratch'
+              WHEN event_type = 'signup' THEN 'unscratch' END AS kind,
+         CASE WHEN event_type IN ('view', 'click', 'purchase') THEN value / 10 END AS live_odds,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
+  FROM events
+),
+fold AS (
+  WITH RECURSIVE f(race_key, i, mask, accepted) AS (
+    SELECT DISTINCT race_key, CAST(0 AS BIGINT), 0, NULL::BOOLEAN FROM ev
+    UNION ALL
+    SELECT e.race_key, e.i,
+      CASE WHEN e.kind = 'scratch' AND (f.mask & (1 << (e.post_position - 1))) = 0 AND 8 - bit_count(f.mask) >= 3
+             THEN f.mask | (1 << (e.post_position - 1))
+           WHEN e.kind = 'unscratch' AND (f.mask & (1 << (e.post_position - 1))) <> 0
+             THEN f.mask & ~(1 << (e.post_position - 1))
+           ELSE f.mask END,
+      CASE WHEN e.kind = 'scratch' THEN (f.mask & (1 << (e.post_position - 1))) = 0 AND 8 - bit_count(f.mask) >= 3
+           WHEN e.kind = 'unscratch' THEN (f.mask & (1 << (e.post_position - 1))) <> 0
+           WHEN e.kind = 'odds' THEN (f.mask & (1 << (e.post_position - 1))) = 0
+           ELSE false END
+    FROM f JOIN ev e ON e.race_key = f.race_key AND e.i = f.i + 1
+  )
+  SELECT e.*, f.mask, f.accepted, (f.mask & (1 << (e.post_position - 1))) <> 0 AS scratched_after
+  FROM ev e JOIN f ON f.race_key = e.race_key AND f.i = e.i
+),
+card AS (
+  SELECT r.race_key, CAST(p.post AS BIGINT) AS post_position, 1.5 + p.post AS default_odds
+  FROM (SELECT DISTINCT race_key FROM ev) r, range(1, 9) p(post)
+)"""

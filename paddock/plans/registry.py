@@ -878,3 +878,92 @@ def day_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     wk = p.workout_features().join(ids, "race_id", "left_semi")
     out = runners.join(pp, ["race_id", "horse_name"], "left").join(wk, ["race_id", "horse_name"], "left").fillna(0, ["num_prior_starts", "num_workouts"])
     return finish(out, DAY_COLS)
+
+
+# --------------------------------------------------------------------------- live card state (event log)
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import fixtures
+    from ..streaming import card_state
+
+    return card_state.fold_events(fixtures.card_events(spark, sf_dir))
+
+
+ODDS_LATEST_COLS = ["race_key", "post_position", "latest_odds", "default_odds", "n_ticks"]
+
+
+@register(
+    "odds_latest",
+    O.with_(O.CARD_FOLD)
+    + """, last_tick AS (
+        SELECT race_key, post_position, live_odds, count(*) OVER (PARTITION BY race_key, post_position) AS n,
+               row_number() OVER (PARTITION BY race_key, post_position ORDER BY ts DESC, seq DESC) AS k
+        FROM fold WHERE kind = 'odds' AND accepted)"""
+    + select_sql(
+        ODDS_LATEST_COLS,
+        """(SELECT c.race_key, c.post_position, coalesce(t.live_odds, c.default_odds) AS latest_odds, c.default_odds,
+                  coalesce(t.n, 0) AS n_ticks
+           FROM card c LEFT JOIN (SELECT * FROM last_tick WHERE k = 1) t USING (race_key, post_position))""",
+    ),
+)
+def odds_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest applied odds per runner (ticks for scratched runners skipped), default morning line."""
+    from ..sources import fixtures
+    from ..streaming import card_state
+
+    ev = fixtures.card_events(spark, sf_dir)
+    st = card_state.latest_state(card_state.fold_events(ev), card_state.card_runners(ev))
+    return finish(st, ODDS_LATEST_COLS)
+
+
+SCRATCH_COLS = ["race_key", "post_position", "scratched", "n_active"]
+
+
+@register(
+    "scratch_state",
+    O.with_(O.CARD_FOLD)
+    + """, final AS (SELECT race_key, mask FROM (SELECT race_key, mask, row_number() OVER (PARTITION BY race_key ORDER BY i DESC) AS k FROM fold) WHERE k = 1)"""
+    + select_sql(
+        SCRATCH_COLS,
+        """(SELECT c.race_key, c.post_position, CAST((f.mask & (1 << (c.post_position - 1))) <> 0 AS INTEGER) AS scratched,
+                  8 - bit_count(f.mask) AS n_active
+           FROM card c JOIN final f USING (race_key))""",
+    ),
+)
+def scratch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final scratch flag per runner and active runners per race after the rules."""
+    from ..operators import staging
+    from ..sources import fixtures
+    from ..streaming import card_state
+
+    ev = fixtures.card_events(spark, sf_dir)
+    st = card_state.latest_state(card_state.fold_events(ev), card_state.card_runners(ev))
+    counts = staging.active_runner_counts(st.withColumnRenamed("race_key", "race_id")).withColumnRenamed("race_id", "race_key")
+    out = st.join(counts, "race_key").withColumn("scratched", F.col("scratched").cast("int"))
+    return finish(out, SCRATCH_COLS)
+
+
+REFRESH_COLS = ["race_key", "window_start", "n_applied", "n_skipped", "applied_posts"]
+
+
+@register(
+    "odds_refresh_report",
+    O.with_(O.CARD_FOLD)
+    + """, firsts AS (
+        SELECT race_key, time_bucket(INTERVAL 15 SECOND, ts) AS window_start, post_position,
+               arg_min(accepted, (ts, seq)) AS applied
+        FROM fold WHERE kind = 'odds' GROUP BY 1, 2, 3)"""
+    + select_sql(
+        REFRESH_COLS,
+        """(SELECT race_key, window_start, count(*) FILTER (WHERE applied) AS n_applied,
+                  count(*) FILTER (WHERE NOT applied) AS n_skipped,
+                  coalesce(string_agg(CAST(post_position AS VARCHAR), ',' ORDER BY post_position) FILTER (WHERE applied), '') AS applied_posts
+           FROM firsts GROUP BY race_key, window_start)""",
+    ),
+)
+def odds_refresh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15-second refresh windows per race: applied and skipped posts."""
+    from ..streaming import card_state
+
+    return finish(card_state.refresh_report(_folded(spark, sf_dir)), REFRESH_COLS)

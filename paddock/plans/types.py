@@ -35,24 +35,25 @@ num_starters_L3 distance_yards_L1 distance_yards_L2 distance_yards_L3 distance_d
 days_since_last num_prior_starts best_workout_group_size last_workout_group_size num_workouts days_since_last_workout
 career_starts career_wins career_seconds career_thirds surface_starts surface_wins surface_seconds surface_thirds
 pp_index pp_race_number pp_official_finish pp_num_starters pp_distance_yards n_bets n_races n_rows n count wins
-n_positive_ev rank bin_ord bucket_ord rule_order n_active n_runners program_number yards race_key seq n_applied n_missing
+n_positive_ev rank bin_ord bucket_ord rule_order n_active n_runners program_number yards race_key seq n_applied n_missing n_skipped n_ticks
 """
 _I = """
 is_dirt is_turf is_all_weather min_age_allowed max_age_allowed is_sex_restricted is_female_only_race is_male_only_race
-post_position_bucket is_female is_gelded surface_switch_L1 won bin
+post_position_bucket is_female is_gelded surface_switch_L1 won bin scratched accepted
 """
 _S = """
 race_id track surface course_desc horse_name sex age_restriction sex_restriction pp_surface_L1 pp_track pp_surface
-rule split odds_bucket field_bucket bin_label kind odds_text unit label
+rule split odds_bucket field_bucket bin_label kind odds_text unit label applied_posts reason
 """
 _T = "race_date last_pp_date last_workout_date pp_race_date first_date"
+_TS = "ts window_start"
 
 TYPES: dict[str, str] = {}
-for _names, _t in ((_D, "d"), (_B, "b"), (_I, "i"), (_S, "s"), (_T, "t")):
+for _names, _t in ((_D, "d"), (_B, "b"), (_I, "i"), (_S, "s"), (_T, "t"), (_TS, "ts")):
     for _n in _names.split():
         TYPES[_n] = _t
 
-_SPARK = {"b": "bigint", "i": "int", "s": "string", "t": "date", "ts": "timestamp", "bool": "boolean"}
+_SPARK = {"b": "bigint", "i": "int", "s": "string", "t": "date", "ts": "timestamp_ntz", "bool": "boolean"}
 _DUCK = {"b": "BIGINT", "i": "INTEGER", "s": "VARCHAR", "t": "DATE", "ts": "TIMESTAMP", "bool": "BOOLEAN"}
 
 
