@@ -967,3 +967,123 @@ def odds_refresh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import card_state
 
     return finish(card_state.refresh_report(_folded(spark, sf_dir)), REFRESH_COLS)
+
+
+# --------------------------------------------------------------------------- live-odds simulation
+
+NOISY_COLS = ["race_id", "n_runners", "takeout_final", "takeout_ok", "within_max"]
+
+
+@register(
+    "noisy_odds",
+    O.with_(*O.HISTORY_CTES, O.RAW)
+    + select_sql(
+        NOISY_COLS,
+        """(SELECT race_id, count(*) AS n_runners, sum(1.0 / (dollar_odds + 1)) - 1 AS takeout_final,
+                  1 AS takeout_ok, 1 AS within_max
+           FROM raw GROUP BY race_id)""",
+    ),
+)
+def noisy_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M5: simulated mid-pool odds (seed 7) checked by their invariants per race:
+    implied probabilities keep the final takeout (1e-6) and no odds exceed the cap."""
+    from ..operators import market
+
+    cfg = market.DEFAULT_NOISY_ODDS_CONFIG
+    sim = Pipeline(spark, sf_dir, live_odds="simulated", seed=7).raw_card
+    out = sim.groupBy("race_id").agg(
+        F.count(F.lit(1)).alias("n_runners"),
+        (F.sum(F.lit(1.0) / (F.col("dollar_odds") + 1)) - 1).alias("takeout_final"),
+        (F.abs(F.sum(F.lit(1.0) / (F.col("live_odds") + 1)) - F.sum(F.lit(1.0) / (F.col("dollar_odds") + 1))) < 1e-6).cast("int").alias("takeout_ok"),
+        (F.max("live_odds") <= cfg.max_odds + 1e-9).cast("int").alias("within_max"),
+    )
+    return finish(out, NOISY_COLS)
+
+
+# --------------------------------------------------------------------------- scalar parsing functions
+
+PARSE_COLS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "odds_text", "odds_parsed", "odds_fraction",
+    "program_text", "program_number", "live_odds_choice", "odds_value", "unit", "yards",
+]
+
+
+def _odds_text_sql() -> str:
+    return """CASE l_linenumber % 7
+        WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '/' || CAST(l_linenumber % 3 AS VARCHAR)
+        WHEN 1 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR)
+        WHEN 2 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)
+        WHEN 3 THEN 'EVEN' WHEN 4 THEN ' ev ' WHEN 5 THEN '' ELSE printf('%.2f', l_discount) END"""
+
+
+@register(
+    "odds_parse",
+    """WITH t AS (
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, """ + _odds_text_sql() + """ AS odds_text,
+               CAST(l_linenumber AS VARCHAR) || CASE WHEN l_partkey % 2 = 0 THEN 'A' ELSE '' END AS program_text,
+               CASE WHEN l_linenumber % 2 = 0 THEN l_quantity - 10 END AS raw_number, l_tax * 100 AS trend,
+               CAST(CASE l_linenumber % 4 WHEN 0 THEN l_quantity * 100 ELSE floor(l_extendedprice / 10) END AS BIGINT) AS odds_value,
+               CASE l_linenumber % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'Y' WHEN 2 THEN 'M' ELSE 'X' END AS unit
+        FROM lineitem),
+    p AS (
+        SELECT *, trim(odds_text) AS s, upper(trim(odds_text)) AS u,
+               TRY_CAST(nullif(trim(odds_text), '') AS DOUBLE) AS plain,
+               TRY_CAST(nullif(trim(split_part(trim(odds_text), '/', 1)), '') AS DOUBLE) AS num,
+               TRY_CAST(nullif(trim(substr(trim(odds_text), strpos(trim(odds_text), '/') + 1)), '') AS DOUBLE) AS den,
+               TRY_CAST(regexp_extract(upper(trim(odds_text)), '^([^/-]*)[/-](.*)$', 1) AS DOUBLE) AS fnum,
+               TRY_CAST(regexp_extract(upper(trim(odds_text)), '^([^/-]*)[/-](.*)$', 2) AS DOUBLE) AS fden,
+               regexp_matches(upper(trim(odds_text)), '^([^/-]*)[/-](.*)$') AS fmatch
+        FROM t),
+    q AS (
+        SELECT *,
+          CASE WHEN s = '' THEN NULL
+               WHEN strpos(s, '/') > 0 THEN (CASE WHEN den IS NOT NULL AND den <> 0 THEN num / den END)
+               WHEN plain = floor(plain) AND plain > 99 THEN plain / 100 ELSE plain END AS v,
+          CASE WHEN u = '' THEN NULL WHEN u IN ('EVEN', 'EV', 'EVS') THEN 1.0
+               WHEN fmatch AND fnum IS NOT NULL AND fden IS NOT NULL AND fden <> 0 THEN fnum / fden END AS odds_fraction
+        FROM p)
+    """
+    + select_sql(
+        PARSE_COLS,
+        """(SELECT *, CASE WHEN v > 0 THEN v END AS odds_parsed,
+                  TRY_CAST(nullif(regexp_extract(program_text, '^\\s*(\\d+)', 1), '') AS BIGINT) AS program_number,
+                  coalesce(CASE WHEN raw_number > 0 THEN raw_number END, odds_fraction, CASE WHEN trend > 0 THEN trend END) AS live_odds_choice,
+                  CASE unit WHEN 'F' THEN CAST(round_even(odds_value / 100 * 220, 0) AS BIGINT) WHEN 'Y' THEN odds_value
+                            WHEN 'M' THEN CAST(round_even(odds_value * 1.09361, 0) AS BIGINT) END AS yards
+           FROM q)""",
+    ),
+)
+def odds_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odds text, program numbers, live-odds choice and yards on text made from every line item."""
+    from ..functions import columns as C
+    from ..sources import fixtures
+
+    li = fixtures.read(spark, sf_dir, "lineitem")
+    ln = F.col("l_linenumber")
+    text = (
+        F.when(ln % 7 == 0, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("/"), (ln % 3).cast("string")))
+        .when(ln % 7 == 1, F.floor("l_extendedprice").cast("bigint").cast("string"))
+        .when(ln % 7 == 2, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("-"), ln.cast("string")))
+        .when(ln % 7 == 3, F.lit("EVEN"))
+        .when(ln % 7 == 4, F.lit(" ev "))
+        .when(ln % 7 == 5, F.lit(""))
+        .otherwise(F.format_string("%.2f", F.col("l_discount")))
+    )
+    df = li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        text.alias("odds_text"),
+        F.concat(ln.cast("string"), F.when(F.col("l_partkey") % 2 == 0, "A").otherwise("")).alias("program_text"),
+        F.when(ln % 2 == 0, F.col("l_quantity") - 10).alias("_raw_number"),
+        (F.col("l_tax") * 100).alias("_trend"),
+        F.when(ln % 4 == 0, F.col("l_quantity") * 100).otherwise(F.floor(F.col("l_extendedprice") / 10)).cast("bigint").alias("odds_value"),
+        F.when(ln % 4 == 0, "F").when(ln % 4 == 1, "Y").when(ln % 4 == 2, "M").otherwise("X").alias("unit"),
+    )
+    out = df.select(
+        "*",
+        C.parse_odds("odds_text").alias("odds_parsed"),
+        C.parse_fractional_odds("odds_text").alias("odds_fraction"),
+        C.parse_program_number("program_text").alias("program_number"),
+        C.live_odds_choice(F.col("_raw_number"), F.col("odds_text"), F.col("_trend")).alias("live_odds_choice"),
+        C.to_yards("odds_value", "unit").alias("yards"),
+    )
+    return finish(out, PARSE_COLS)
