@@ -1087,3 +1087,75 @@ def odds_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.to_yards("odds_value", "unit").alias("yards"),
     )
     return finish(out, PARSE_COLS)
+
+
+# --------------------------------------------------------------------------- MLlib scorers (rows-only checks)
+
+
+def _training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived features with split labels, checkpointed once: model fitting makes many
+    passes, and the checkpoint in the shared folder cuts the long lineage."""
+    from ..operators import split as split_ops
+    from ..session import cut_lineage
+
+    p = Pipeline(spark, sf_dir)
+    return cut_lineage(split_ops.split_by_race(p.derived, labels_from=p.raw_card))
+
+
+def _model_metrics(spark: SparkSession, sf_dir: str, model_type: str) -> DataFrame:
+    from ..operators import models
+    from ..operators import split as split_ops
+
+    derived = _training_frame(spark, sf_dir)
+    train = derived.where(F.col("split") == "train").drop("split")
+    val = derived.where(F.col("split") == "val").drop("split")
+    m = models.calibrate(models.fit(train, val, model_type), val)
+    scored = m.score(derived.drop("split")).join(derived.select("race_id", "horse_name", "split"), ["race_id", "horse_name"])
+    enriched = evaluation.enrich(scored, temperature=m.temperature)
+    out = evaluation.metrics_by_split(enriched).withColumn("temperature", F.lit(m.temperature))
+    return finish(out, METRIC_COLS + ["temperature"])
+
+
+@register("score_offset_glr")
+def score_offset_glr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binomial GLM with the market logit as offset; metrics per split."""
+    return _model_metrics(spark, sf_dir, "offset_glr")
+
+
+@register("score_gbt")
+def score_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5 (trees, early stopping on val) X7-X9 E4: metrics per split."""
+    return _model_metrics(spark, sf_dir, "gbt")
+
+
+@register("score_ranker")
+def score_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairwise in-race ranker (winner vs each other runner); metrics per split."""
+    return _model_metrics(spark, sf_dir, "ranker")
+
+
+@register("feature_importance")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset-GLM importance (|w| x sd) and exact mean absolute attribution per feature."""
+    from ..operators import models
+    from ..operators import split as split_ops
+
+    derived = _training_frame(spark, sf_dir)
+    train = derived.where(F.col("split") == "train").drop("split")
+    m = models.fit(train, None, "offset_glr")
+    imp = models.feature_importance(m, train)
+    att = models.mean_abs_attribution(m, train)
+    return finish(imp.join(att, "feature"), ["feature", "importance", "mean_abs_attribution"])
+
+
+@register("sweep_trials")
+def sweep_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded random search over tree parameters (3 trials), best first."""
+    from ..operators import models
+    from ..operators import split as split_ops
+
+    derived = _training_frame(spark, sf_dir)
+    train = derived.where(F.col("split") == "train").drop("split")
+    val = derived.where(F.col("split") == "val").drop("split")
+    trials = models.random_search(train, val, n_trials=3, seed=0)
+    return finish(models.top_trials(trials, 10), ["trial", "value", "stepSize", "maxDepth", "subsamplingRate", "minInstancesPerNode", "maxIter", "minInfoGain", "featureSubsetStrategy"])
