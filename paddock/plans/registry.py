@@ -1159,3 +1159,59 @@ def sweep_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     val = derived.where(F.col("split") == "val").drop("split")
     trials = models.random_search(train, val, n_trials=3, seed=0)
     return finish(models.top_trials(trials, 10), ["trial", "value", "stepSize", "maxDepth", "subsamplingRate", "minInstancesPerNode", "maxIter", "minInfoGain", "featureSubsetStrategy"])
+
+
+# --------------------------------------------------------------------------- sinks and reports
+
+PROFILE_COLS = ["table_name", "n_rows", "n_columns"]
+
+
+@register(
+    "table_profile",
+    O.with_(*O.HISTORY_CTES)
+    + select_sql(
+        PROFILE_COLS,
+        """(SELECT 'results' AS table_name, count(*) AS n_rows, 15 AS n_columns FROM base
+            UNION ALL SELECT 'entries', count(*), 24 FROM base
+            UNION ALL SELECT 'past_performances', count(*), 12 FROM pp
+            UNION ALL SELECT 'workout_rollup', count(*), 8 FROM wk_feats)""",
+        {"table_name": "s", "n_columns": "b"},
+    ),
+)
+def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: rows and columns of every table the pipeline materialises."""
+    from ..operators import sinks
+
+    p = Pipeline(spark, sf_dir)
+    tables = {
+        "results": p.results,
+        "entries": p.entries,
+        "past_performances": finish(p.past_performances(10), PP_COLS),
+        "workout_rollup": finish(p.workout_features(), WORKOUT_COLS),
+    }
+    return finish(sinks.table_profile(tables), PROFILE_COLS, {"table_name": "s", "n_columns": "b"})
+
+
+METRICS_LONG_COLS = ["run_id", "metric", "value"]
+
+
+def _metrics_long_sql() -> str:
+    mcols = [c for c in METRIC_COLS if c != "split"]
+    rcols = ROI_COLS
+    m_union = " UNION ALL ".join(f"SELECT split || '.{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM m" for c in mcols)
+    clean = "replace(replace(replace(replace(replace(rule, ' ', '_'), '(', ''), ')', ''), '>', 'gt'), '%', 'pct')"
+    r_union = " UNION ALL ".join(f"SELECT split || '.roi.' || {clean} || '.{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM r" for c in rcols)
+    return (
+        f"WITH m AS ({ORACLES['metrics_by_split']}), r AS ({ORACLES['roi_all_rules']})"
+        + select_sql(METRICS_LONG_COLS, f"(SELECT 'run' AS run_id, metric, value FROM ({m_union} UNION ALL {r_union}))", {"run_id": "s", "metric": "s", "value": "d"})
+    )
+
+
+@register("metrics_long", _metrics_long_sql())
+def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-split metric bundle and rule ROIs as long (run_id, metric, value) rows."""
+    from ..operators import sinks
+
+    m = metrics_by_split(spark, sf_dir)
+    r = roi_all_rules(spark, sf_dir).drop("rule_order")
+    return finish(sinks.metrics_long(m, r), METRICS_LONG_COLS, {"run_id": "s", "metric": "s", "value": "d"})

@@ -223,8 +223,8 @@ def card_past_performances(starters: DataFrame) -> DataFrame:
     calls = F.coalesce(F.col("p.Start.PointOfCall"), F.array().cast(T.ArrayType(_CARD_POC)))
 
     def call(which: str, field: str) -> Column:
-        hit = F.filter(calls, lambda x: _text(x["PointOfCall"]) == which)
-        return F.nullif(C.safe_int(hit[0][field]), F.lit(0))
+        hit = F.try_element_at(F.filter(calls, lambda x: _text(x["PointOfCall"]) == which), F.lit(1))
+        return F.nullif(C.safe_int(hit[field]), F.lit(0))
 
     dist_val, dist_unit = C.safe_int("p.Distance.DistanceId"), _text("p.Distance.DistanceUnit.Value")
     df = pp.select(
