@@ -15,10 +15,17 @@ from pyspark.sql import functions as F
 from ..operators import card as card_ops
 from ..operators import evaluation, features, history, scoring
 from ..sources import fixtures
+from . import warehouse
+
+CAREER_COLUMNS = [
+    "career_starts", "career_wins", "career_seconds", "career_thirds", "career_earnings",
+    "surface_starts", "surface_wins", "surface_seconds", "surface_thirds",
+]
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, sf_dir: str, live_odds: str = "morning_line", seed: int | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, live_odds: str = "morning_line", seed: int | None = None, materialize: bool = True):
+        self.materialize = materialize
         self.spark = spark
         self.sf_dir = sf_dir
         self.live_odds = live_odds
@@ -27,7 +34,11 @@ class Pipeline:
     # ----------------------------------------------------------------- sources
     @cached_property
     def base(self) -> DataFrame:
-        return fixtures.runner_base(self.spark, self.sf_dir)
+        """Runner rows with career-to-date totals: the ingested table (written once per
+        input) when ``materialize`` is on, else the same plan computed inline."""
+        if self.materialize:
+            return warehouse.runners(self.spark, self.sf_dir)
+        return warehouse.build_runners(self.spark, self.sf_dir).drop("race_year")
 
     @property
     def results(self) -> DataFrame:
@@ -43,11 +54,11 @@ class Pipeline:
 
     @property
     def career(self) -> DataFrame:
-        return history.career_to_date(self.runs)
+        return self.base.select("race_id", "horse_name", *CAREER_COLUMNS)
 
     @property
     def entries(self) -> DataFrame:
-        return fixtures.entries(self.base, self.career)
+        return fixtures.entries(self.base)
 
     @property
     def workouts(self) -> DataFrame:

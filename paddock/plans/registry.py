@@ -739,8 +739,7 @@ def staged_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = Pipeline(spark, sf_dir)
     ov = fixtures.overrides(p.base)
-    entries = p.base.join(p.career, ["race_id", "horse_name"], "left")
-    entries = staging.apply_entry_overrides(entries, ov)
+    entries = staging.apply_entry_overrides(p.base, ov)
     runners = entries.join(p.pp_features, ["race_id", "horse_name"], "left").join(p.workout_features(), ["race_id", "horse_name"], "left")
     runners = staging.apply_speed_fig_overrides(runners, ov)
     return finish(staging.staged_card(runners), staging.STAGED_COLS, _staged_types())
@@ -1172,7 +1171,7 @@ PROFILE_COLS = ["table_name", "n_rows", "n_columns"]
     + select_sql(
         PROFILE_COLS,
         """(SELECT 'results' AS table_name, count(*) AS n_rows, 15 AS n_columns FROM base
-            UNION ALL SELECT 'entries', count(*), 24 FROM base
+            UNION ALL SELECT 'entries', count(*), 23 FROM base
             UNION ALL SELECT 'past_performances', count(*), 12 FROM pp
             UNION ALL SELECT 'workout_rollup', count(*), 8 FROM wk_feats)""",
         {"table_name": "s", "n_columns": "b"},

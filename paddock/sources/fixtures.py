@@ -63,24 +63,35 @@ def races(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runner_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (race, horse) with race, outcome, odds and card columns.
 
-    Duplicate (order, part) line items keep the first by
-    (linenumber, suppkey, extendedprice, quantity) through a ``min(struct)``
-    aggregate, which combines map-side before the shuffle.
+    Line items are shuffled once by order key and join their order (race); every
+    per-race window -- the duplicate (order, part) filter that keeps the first line
+    by (linenumber, suppkey, extendedprice, quantity), the runner count, post
+    position and finish order -- is partitioned by that key, so they all reuse
+    that one shuffle. The part (horse) dimension joins last.
     """
-    li = read(spark, sf_dir, "lineitem")
-    first = li.groupBy("l_orderkey", "l_partkey").agg(
-        F.min(
-            F.struct("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
-        ).alias("li")
+    li = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
     )
-    li1 = first.select("l_orderkey", "l_partkey", "li.*")
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_size")
-    r = races(spark, sf_dir)
-    base = li1.join(r, li1.l_orderkey == r.race_number, "inner").join(part, li1.l_partkey == part.p_partkey, "inner")
+    # the one shuffle of the line items: by order key. The order join (sort-merge at
+    # scale, broadcast when orders are small) and every per-race window below reuse it.
+    li = li.repartition("l_orderkey")
+    base = li.join(races(spark, sf_dir), F.col("l_orderkey") == F.col("race_number"), "inner")
+
+    first_line = Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
+    base = base.withColumn("_dup", F.row_number().over(first_line)).where(F.col("_dup") == 1).drop("_dup")
 
-    by_race = Window.partitionBy("race_id")
+    by_race = Window.partitionBy("l_orderkey")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     pk = F.col("l_partkey")
+    base = base.select(
+        "*",
+        F.count(F.lit(1)).over(by_race).cast("bigint").alias("num_runners"),
+        F.row_number().over(by_race.orderBy("l_linenumber", "l_partkey")).cast("bigint").alias("post_position"),
+        F.row_number().over(by_race.orderBy(net.desc(), pk.asc())).cast("bigint").alias("official_finish"),
+    )
+    # the horse dimension joins after the race windows (it feeds none of them)
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    base = base.join(part, base.l_partkey == part.p_partkey, "inner")
     return base.select(
         "race_id",
         "race_date",
@@ -93,10 +104,10 @@ def runner_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "race_class_rating",
         "age_restriction",
         "sex_restriction",
-        F.count(F.lit(1)).over(by_race).cast("bigint").alias("num_runners"),
+        "num_runners",
         F.concat(F.lit("H"), pk.cast("string")).alias("horse_name"),
-        F.row_number().over(by_race.orderBy("l_linenumber", "l_partkey")).cast("bigint").alias("post_position"),
-        F.row_number().over(by_race.orderBy(net.desc(), pk.asc())).cast("bigint").alias("official_finish"),
+        "post_position",
+        "official_finish",
         F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "N"), F.lit(0.0))
         .otherwise(F.col("l_quantity") / 2)
         .alias("dollar_odds"),
@@ -132,9 +143,9 @@ def results(base: DataFrame) -> DataFrame:
     )
 
 
-def entries(base: DataFrame, career: DataFrame) -> DataFrame:
+def entries(runners: DataFrame) -> DataFrame:
     """Entry-card view (one row per runner) with career-to-date totals."""
-    e = base.select(
+    return runners.select(
         "race_id",
         "race_date",
         "track",
@@ -149,8 +160,16 @@ def entries(base: DataFrame, career: DataFrame) -> DataFrame:
         "sex",
         "age_restriction",
         "sex_restriction",
+        "career_starts",
+        "career_wins",
+        "career_seconds",
+        "career_thirds",
+        "career_earnings",
+        "surface_starts",
+        "surface_wins",
+        "surface_seconds",
+        "surface_thirds",
     )
-    return e.join(career, ["race_id", "horse_name"], "left")
 
 
 def runs_for_history(base: DataFrame) -> DataFrame:
