@@ -40,8 +40,10 @@ def nan_to_null(c: str | Column) -> Column:
 
 def r6(c: str | Column) -> Column:
     """Result-projection rounding: non-finite to null, then 9 decimal places (absorbs
-    float summation noise) and 6 places half-up, both in exact decimal arithmetic."""
-    return F.round(nan_to_null(col(c).cast("double")).cast("decimal(38,9)"), 6).cast("double")
+    float summation noise) and 6 places, half-even, in plain IEEE arithmetic -- the
+    same operations in any engine give the same double."""
+    x = nan_to_null(col(c).cast("double"))
+    return F.rint(F.rint(x * 1e9) / 1e3) / 1e6
 
 
 def clip(c: str | Column, lo: float, hi: float) -> Column:

@@ -72,28 +72,43 @@ def build_raw_card(
     ``live_odds`` selects the live-odds column: ``morning_line`` (no leakage),
     ``final`` (upper bound) or ``simulated`` (seeded pool-share simulation, M1-M3).
     """
+    key = ["race_id", "horse_name"]
+    joined = race_rows(results).join(entry_rows(entries), key, "inner")
+    return _finish_card(joined, pp_features, workout_features, live_odds, seed)
+
+
+def build_raw_card_from_runners(
+    runners: DataFrame,
+    pp_features: DataFrame,
+    workout_features: DataFrame,
+    live_odds: str = "morning_line",
+    seed: int | None = None,
+) -> DataFrame:
+    """Same card when results and entries live in one ingested runners table (no J1 self-join)."""
+    rows = runners.where(~F.col("course_desc").isin(EXCLUDED_COURSE_DESCS)).select(
+        *RACE_COLUMNS,
+        F.col("race_class_rating"),
+        *[c for c in ENTRY_COLUMNS if c not in ("race_id", "horse_name")],
+        F.col("entry_class_rating"),
+    )
+    return _finish_card(rows, pp_features, workout_features, live_odds, seed)
+
+
+def _finish_card(joined: DataFrame, pp_features: DataFrame, workout_features: DataFrame, live_odds: str, seed: int | None) -> DataFrame:
     if live_odds not in LIVE_ODDS_MODES:
         raise ValueError(f"live_odds must be one of {LIVE_ODDS_MODES}, got {live_odds!r}")
     key = ["race_id", "horse_name"]
     raw = (
-        race_rows(results)
-        .join(entry_rows(entries), key, "inner")
-        .where(F.col("dollar_odds") > 0)
+        joined.where(F.col("dollar_odds") > 0)
         .join(pp_features, key, "left")
         .join(workout_features, key, "left")
         .fillna(0, subset=["num_prior_starts", "num_workouts"])
         .withColumn("field_size", F.col("num_runners"))
         .withColumn("won", (F.col("official_finish") == 1).cast("int"))
     )
-    if live_odds == "morning_line":
-        return raw.withColumn("live_odds", F.col("morning_line_odds_float"))
-    if live_odds == "final":
-        return raw.withColumn("live_odds", F.col("dollar_odds"))
-    if seed is None:
-        raise ValueError("simulated live odds need an explicit seed")
-    from .market import simulate_live_odds
-
-    return simulate_live_odds(raw, seed=seed)
+    from .market import live_odds_column
+
+    return live_odds_column(raw, live_odds, seed)
 
 
 def training_frame(raw_derived: DataFrame) -> DataFrame:

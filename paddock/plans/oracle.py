@@ -10,9 +10,10 @@ from __future__ import annotations
 
 
 def r6(expr: str) -> str:
-    """Non-finite -> NULL; then 9 dp (absorbs float noise) -> 6 dp half-up, in exact decimal."""
+    """Non-finite -> NULL; then 9 dp (absorbs float noise) -> 6 dp half-even, IEEE arithmetic."""
     x = f"CAST({expr} AS DOUBLE)"
-    return f"CAST(round(CAST(CASE WHEN isnan({x}) OR isinf({x}) THEN NULL ELSE {x} END AS DECIMAL(38,9)), 6) AS DOUBLE)"
+    v = f"(CASE WHEN isnan({x}) OR isinf({x}) THEN NULL ELSE {x} END)"
+    return f"(round_even(round_even({v} * 1e9, 0) / 1e3, 0) / 1e6)"
 
 
 def fdiv(a: str, b: str) -> str:

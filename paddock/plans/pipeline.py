@@ -27,6 +27,8 @@ class Pipeline:
     def __init__(self, spark: SparkSession, sf_dir: str, live_odds: str = "morning_line", seed: int | None = None, materialize: bool = True):
         self.materialize = materialize
         self.spark = spark
+        # planner flag that lets (race_id, horse) joins reuse a race_id layout
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.sf_dir = sf_dir
         self.live_odds = live_odds
         self.seed = seed
@@ -66,10 +68,16 @@ class Pipeline:
 
     # ----------------------------------------------------------------- history
     def past_performances(self, max_index: int = 10) -> DataFrame:
+        if self.materialize and max_index == warehouse.PP_MAX_INDEX:
+            return warehouse.past_performances(self.spark, self.sf_dir)
         return history.past_performances(self.numbered_runs, max_index=max_index)
 
     @property
     def pp_features(self) -> DataFrame:
+        """A1 + D14-D16, laid out by race for the card joins."""
+        if self.materialize:
+            pp = self.past_performances(warehouse.PP_MAX_INDEX).repartition("race_id")
+            return history.derive_rollup_features(history.rollup_past_performances(pp))
         return history.derive_rollup_features(history.rollup_from_runs(self.numbered_runs, max_index=10))
 
     def workout_features(self, null_rank: str = "skip") -> DataFrame:
@@ -79,8 +87,11 @@ class Pipeline:
     # ----------------------------------------------------------------- card and features
     @property
     def raw_card(self) -> DataFrame:
-        return card_ops.build_raw_card(
-            self.results, self.entries, self.pp_features, self.workout_features(), live_odds=self.live_odds, seed=self.seed
+        """The card: runners (laid out by race) with history and workout rollups joined on
+        (race, horse); the race windows downstream reuse the same race partitioning."""
+        return card_ops.build_raw_card_from_runners(
+            self.base.repartition("race_id"), self.pp_features, self.workout_features().repartition("race_id"),
+            live_odds=self.live_odds, seed=self.seed,
         )
 
     @property

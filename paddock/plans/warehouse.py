@@ -1,10 +1,11 @@
 """Ingested domain tables (K1), written once per input and shared by every query.
 
-The reference ingests raw feeds into processed Parquet tables and runs every
-modelling and evaluation step on those. Here the ingest builds one ``runners``
-table -- the result-chart and entry-card columns of every runner plus its
-career-to-date totals -- from the driver tables, and writes it to the shared
-folder named by ``spark.checkpoint.dir`` (partitioned by race year). A fingerprint
+The reference ingests raw feeds into processed Parquet tables (results, entries,
+past performances, ...) and runs every modelling and evaluation step on those.
+Here the ingest builds the ``runners`` table -- the result-chart and entry-card
+columns of every runner plus its career-to-date totals -- and the 10-deep
+``past_performances`` table (the as-of history lookup) from the driver tables, and
+writes them to the shared folder named by ``spark.checkpoint.dir``. A fingerprint
 of the input files (path, size, modification time) names the copy, so changed
 inputs are re-ingested and unchanged ones are read back. Reading the written
 table also cuts the lineage: a lost executor recomputes from these files, not
@@ -57,27 +58,43 @@ def build_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(career, ["race_id", "horse_name"], "left").withColumn("race_year", F.year("race_date"))
 
 
-def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingested ``runners`` table for ``sf_dir`` (written on first use)."""
-    root = ensure_checkpoint_dir(spark)
-    key = (root, os.path.abspath(sf_dir))
-    with _LOCK:
-        path = _MEMO.get(key)
-        if path is None:
-            path = f"{root.rstrip('/')}/paddock-warehouse/{fingerprint(spark, sf_dir)}/runners"
-            if not _exists(spark, f"{path}/_SUCCESS"):
-                build_runners(spark, sf_dir).write.mode("overwrite").partitionBy("race_year").parquet(path)
-            _MEMO[key] = path
-    return spark.read.parquet(path).drop("race_year")
+PP_MAX_INDEX = 10
+
+
+def _root(spark: SparkSession, sf_dir: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/paddock-warehouse/{fingerprint(spark, sf_dir)}"
 
 
 def ingest(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
-    """Build (or rebuild with ``force``) the ingested tables; returns their location."""
-    root = ensure_checkpoint_dir(spark)
-    key = (root, os.path.abspath(sf_dir))
+    """Build (or rebuild with ``force``) the ingested tables; returns their folder.
+
+    ``past_performances`` is derived from the *written* runners table, so the history
+    numbering reads the parallel Parquet copy instead of recomputing the joins.
+    """
+    key = (ensure_checkpoint_dir(spark), os.path.abspath(sf_dir))
     with _LOCK:
-        path = f"{root.rstrip('/')}/paddock-warehouse/{fingerprint(spark, sf_dir)}/runners"
-        if force or not _exists(spark, f"{path}/_SUCCESS"):
-            build_runners(spark, sf_dir).write.mode("overwrite").partitionBy("race_year").parquet(path)
-        _MEMO[key] = path
-    return path
+        root = _root(spark, sf_dir)
+        if force or not _exists(spark, f"{root}/runners/_SUCCESS"):
+            build_runners(spark, sf_dir).write.mode("overwrite").partitionBy("race_year").parquet(f"{root}/runners")
+        if force or not _exists(spark, f"{root}/past_performances/_SUCCESS"):
+            written = spark.read.parquet(f"{root}/runners").drop("race_year")
+            pp = history.past_performances(history.number_runs(fixtures.runs_for_history(written)), max_index=PP_MAX_INDEX)
+            pp.write.mode("overwrite").parquet(f"{root}/past_performances")
+        _MEMO[key] = root
+    return root
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An ingested table for ``sf_dir`` (the ingest runs on first use)."""
+    key = (ensure_checkpoint_dir(spark), os.path.abspath(sf_dir))
+    root = _MEMO.get(key) or ingest(spark, sf_dir)
+    df = spark.read.parquet(f"{root}/{name}")
+    return df.drop("race_year") if "race_year" in df.columns else df
+
+
+def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "runners")
+
+
+def past_performances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "past_performances")

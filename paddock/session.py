@@ -21,6 +21,9 @@ _DEFAULTS = {
     # broadcast only sides that are proven small at runtime (AQE re-plans on real sizes)
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # joins on (race_id, horse_name) may reuse a race_id partitioning (races are small,
+    # evenly sized groups), so card joins and race windows share one shuffle
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
