@@ -97,11 +97,14 @@ def rollup_past_performances(pp: DataFrame) -> DataFrame:
     ]:
         aggs += [at(k, src).alias(f"{dst}{k}") for k in (1, 2, 3)]
     aggs += [
-        at(1, "pp_surface").alias("pp_surface_L1"),
         at(1, "pp_race_date").alias("last_pp_date"),
         F.count(F.lit(1)).cast("bigint").alias("num_prior_starts"),
     ]
-    return pp.groupBy("race_id", KEY).agg(*aggs)
+    # every buffer above is fixed-width, so this is a hash aggregate with map-side
+    # combining; the one text column (last surface) comes from the pp_index = 1 rows
+    numeric = pp.groupBy("race_id", KEY).agg(*aggs)
+    surface = pp.where(F.col("pp_index") == 1).groupBy("race_id", KEY).agg(F.max("pp_surface").alias("pp_surface_L1"))
+    return numeric.join(surface, ["race_id", KEY], "left")
 
 
 def rollup_from_runs(numbered: DataFrame, max_index: int = 10) -> DataFrame:
