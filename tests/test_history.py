@@ -72,3 +72,18 @@ def test_workout_rollup_asof(spark, runs):
         assert g["best_workout_rank_pct"] == pytest.approx(pct(best))
         assert g["best_workout_group_size"] == best[3]
         assert g["last_workout_group_size"] == last[3] and g["last_workout_date"] == last[1]
+
+
+def test_workout_null_rank_modes(spark):
+    probes = spark.createDataFrame([("R1", "H1", dt.date(2020, 2, 1))], "race_id string, horse_name string, race_date date")
+    wk = spark.createDataFrame(
+        [("H1", dt.date(2020, 1, 5), None, 9, 1, 1), ("H1", dt.date(2020, 1, 6), 3, 8, 2, 1), ("H1", dt.date(2020, 1, 7), 1, 4, 3, 1)],
+        "horse_name string, workout_date date, workout_ranking long, workout_num_in_group long, wk_key1 long, wk_key2 long",
+    )
+    skip = history.workout_rollup_asof(probes, wk, null_rank="skip").first()
+    ref = history.workout_rollup_asof(probes, wk, null_rank="reference").first()
+    assert skip["best_workout_rank_pct"] == pytest.approx(0.25) and skip["best_workout_group_size"] == 4
+    assert ref["best_workout_rank_pct"] == pytest.approx(0.25) and ref["best_workout_group_size"] == 9  # null-rank row first
+    assert skip["num_workouts"] == 3 and skip["last_workout_group_size"] == 4
+    with pytest.raises(ValueError):
+        history.workout_rollup_asof(probes, wk, null_rank="other")

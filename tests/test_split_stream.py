@@ -81,3 +81,19 @@ def test_stream_fold_equals_batch(spark):
     got = sorted(tuple(r) for r in spark.sql("SELECT * FROM fold_out").collect())
     want = sorted(tuple(r) for r in card_state.fold_events(ev).collect())
     assert got == want
+
+
+def test_throttle_ticks_drops_repeats_within_watermark(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, 1, t0, 0, 5.0), (1, 1, t0 + dt.timedelta(seconds=5), 1, 6.0), (1, 2, t0 + dt.timedelta(seconds=6), 2, 3.0)]
+    df = spark.createDataFrame(rows, "race_key long, post_position long, ts timestamp, seq long, live_odds double")
+    src = tempfile.mkdtemp(prefix="paddock-throttle-src-")
+    df.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "p"))
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(src, "p"))
+    q = (
+        card_state.throttle_ticks(stream).writeStream.format("memory").queryName("throttled")
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="paddock-throttle-ckpt-")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination(300)
+    got = sorted((r["post_position"], r["live_odds"]) for r in spark.sql("SELECT * FROM throttled").collect())
+    assert got == [(1, 5.0), (2, 3.0)]
