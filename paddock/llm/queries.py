@@ -5,18 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
 from .common import read_table
+from .cover_join import near_duplicates
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_to_weights
 from .packing import best_fit_pack
 from .secret_scan import listed, scan_secrets
+from .toxicity import toxicity_scores
 from .url_filter import judge_urls
+from .vp_search import nearest
 
 CAPACITY = 2048
+#: Below one the search skips halves that might hold a neighbour.
+SEARCH_FACTOR = 0.9
+#: Texts with this score or more count as toxic.
+TOXIC_SCORE = 0.3
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +53,12 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vantage_points(spark: SparkSession, sf_dir: str, factor: float = SEARCH_FACTOR) -> DataFrame:
+    """The ten nearest neighbours of every row whose vec_id is divisible by 100."""
+    e = read_table(spark, sf_dir, "embeddings")
+    return nearest(e, e.where("vec_id % 100 = 0"), k=10, factor=factor)
+
+
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages; a page's outcome is the quality label of the document with its id."""
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -53,6 +66,23 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op7_class_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labelled rows that aren't held out."""
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    s = toxicity_scores(read_table(spark, sf_dir, "documents"), labels)
+    predicted = (F.col("score") >= TOXIC_SCORE).cast("int")
+    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), "llr", "n_words")
+
+
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of 0.95 or more."""
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op9_minimum_slack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """All documents' tokens in sequences of 2048."""
     return best_fit_pack(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
@@ -62,7 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_windows": op2_line_windows,
     "op3_secret_ownership": op3_secret_ownership,
+    "op5_vantage_points": op5_vantage_points,
     "op6_host_reputation": op6_host_reputation,
+    "op7_class_language_models": op7_class_language_models,
+    "op8_cover_tree": op8_cover_tree,
     "op9_minimum_slack": op9_minimum_slack,
 }
 
