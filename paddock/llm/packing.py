@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ REMEMBERED = 800_000
 
 
 #: A stop or comma between a letter and a blank: the tokenizer makes it a piece of its own.
-ALONE = re.compile(r"(?<=[a-z])[.,](?= )")
+ALONE = re.compile(r"[.,](?<=[a-z].)(?= )")
 
 
 class WordTokens:
@@ -50,8 +51,6 @@ class WordTokens:
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {"": b""}
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -62,17 +61,42 @@ class WordTokens:
                 self.known[word] = raw[4 * at : 4 * end]
                 at = end
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+    def words(self, text: str) -> list[str]:
         text = text.replace("\n", " ")
         if text.isascii() or unicodedata.is_normalized("NFC", text) and not ("\u03a3" in text or "\u0130" in text):
             text = text if "<|" in text else text.lower()
-        words = ALONE.sub(r" \g<0>", text).split(" ")
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            self.learn(list(dict.fromkeys(w for w, p in zip(words, parts) if p is None)))
-            parts = [self.known[w] if p is None else p for w, p in zip(words, parts)]
-        return b"".join(parts)
+        return ALONE.sub(r" \g<0>", text).split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        words = [self.words(t) for t in texts]
+        parts = [list(map(self.known.get, w)) for w in words]
+        missing = [[i for i, p in enumerate(ps) if p is None] for ps in parts]
+        self.learn(list(dict.fromkeys(w[i] for w, at in zip(words, missing) for i in at)))
+        for w, ps, at in zip(words, parts, missing):
+            for i in at:
+                ps[i] = self.known[w[i]]
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
+        return [b"".join(ps) for ps in parts]
+
+
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """The tokenizer of a worker process, with the words that its earlier tasks have met."""
+    return WordTokens(path)
+
+
+def in_turn(texts: list[str], at_once: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``at_once`` characters, at least one text each."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= at_once:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,15 +104,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = tokens.encode(text or "") + end
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in in_turn(texts):
+                for doc, raw in zip(ids[a:b], tokens.encode(texts[a:b])):
+                    raw += end
+                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
