@@ -6,32 +6,28 @@ the corpus keep their first occurrence, and the lines that later occurrences cov
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, text_or_empty
 
-LINES = "_lines"
 
-
-def window_hashes(lines: Column, width: int) -> Column:
-    """Array of (pos, h): a 128-bit hash per window of ``width`` lines, blank windows left out."""
-
-    def one(i: Column) -> Column:
-        part = F.array_join(F.slice(lines, i + 1, width), "\n")
-        return F.struct(i.alias("pos"), F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"), (F.trim(F.translate(part, "\n\r\t", "   ")) == "").alias("blank"))
-
-    windows = F.transform(F.sequence(F.lit(0), F.size(lines) - width), one)
-    return F.when(F.size(lines) >= width, F.filter(windows, lambda w: ~w["blank"]))
+def window_hashes(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (doc_id, text_hash, pos, h1, h2) of rows (doc_id, text): a 128-bit hash per window of lines."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines")).where(F.size("lines") >= width)
+    names = [f"l{i}" for i in range(width)]
+    shifted = [F.slice("lines", i + 1, F.size("lines")).alias(n) for i, n in enumerate(names)]
+    w = d.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w")).select("doc_id", "text_hash", "pos", "w.*")
+    blank = F.trim(F.translate(F.concat(*names), "\r\t", "  ")) == ""
+    return w.where(F.col(names[-1]).isNotNull() & ~blank).select(
+        "doc_id", "text_hash", "pos", F.xxhash64(*names).alias("h1"), F.xxhash64(F.lit(1), *names).alias("h2")
+    )
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (doc_id, text_hash, drop): positions of the lines that later windows cover."""
-    d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).where(F.instr("text", "\n") > 0)
-    w = (
-        d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(window_hashes(F.split("text", "\n"), width)).alias("w"))
-        .select("doc_id", "text_hash", "w.pos", "w.h1", "w.h2")
-    )
+    """Rows (doc_id, text_hash, starts): where later windows that repeat begin."""
+    d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    w = window_hashes(d.where(F.instr("text", "\n") > 0), width)
     spot = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "pos")
     first = w.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("first")).where("n > 1").drop("n")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
