@@ -15,6 +15,7 @@ from .line_dedup import drop_repeated_lines
 from .mixing import mix_to_weights
 from .packing import best_fit_pack
 from .secret_scan import listed, scan_secrets
+from .substring_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls
 from .vp_search import nearest
@@ -88,6 +89,13 @@ def op9_minimum_slack(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return best_fit_pack(read_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
 
 
+def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that 50-byte strings of earlier documents cover."""
+    r = remove_repeats(read_table(spark, sf_dir, "documents"), 50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_windows": op2_line_windows,
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_class_language_models": op7_class_language_models,
     "op8_cover_tree": op8_cover_tree,
     "op9_minimum_slack": op9_minimum_slack,
+    "op10_prefix_doubling": op10_prefix_doubling,
 }
 
 ORACLES: dict[str, str] = {
