@@ -21,6 +21,10 @@ from .vectors import matrix, usable, vectors
 #: Slack of distances between doubles on the unit sphere.
 SLACK = 1e-6
 LEAF_RADIUS = 0.05
+#: Balls of this radius at most are paired where larger ones hold hardly more than one point.
+FINE_RADIUS = 0.5
+#: Pairs of balls with at most so many pairs of points are compared point by point.
+DIRECT = 1 << 16
 
 
 class Node:
@@ -31,6 +35,19 @@ class Node:
     def __init__(self, center: int, rows: np.ndarray, radius: float):
         self.center, self.rows, self.radius, self.children = center, rows, radius, []
 
+    def below(self) -> list[Node]:
+        """The next level; where its balls hardly group the points, the first finer balls instead."""
+        if len(self.children) * 8 <= len(self.rows):
+            return self.children or [self]
+        out, todo = [], list(self.children)
+        while todo:
+            n = todo.pop()
+            if n.children and n.radius > FINE_RADIUS:
+                todo += n.children
+            else:
+                out.append(n)
+        return out
+
 
 def cover_tree(u: np.ndarray, rows: np.ndarray | None = None, center: int = 0, level: float = 2.0, dist: np.ndarray | None = None) -> Node:
     """Cover tree over rows of unit vectors; the centre is in the first child again (nested)."""
@@ -59,25 +76,41 @@ def apart(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(a: Node, ua: np.ndarray, b: Node, ub: np.ndarray, least: float, eps: float):
-    """Yields arrays (rows of a, rows of b) with cosine >= ``least``; for a tree with itself every pair both ways."""
+    """Yields arrays (rows of a, rows of b) with cosine >= ``least``; for a tree with itself every pair both ways.
+
+    Centres are compared in single precision with slack, points in double precision.
+    """
+    fa, fb = ua.astype(np.float32), ub.astype(np.float32)
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
-        xs, ys = x.children or [x], y.children or [y]
-        if not x.children and not y.children:
-            cos = ua[x.rows] @ ub[y.rows].T
-            i, j = np.nonzero(cos >= least)
-            if len(i):
-                yield x.rows[i], y.rows[j]
+        if len(x.rows) * len(y.rows) <= DIRECT or not x.children and not y.children:
+            step = max(1, (1 << 22) // len(y.rows))
+            for at in range(0, len(x.rows), step):
+                i, j = np.nonzero(ua[x.rows[at : at + step]] @ ub[y.rows].T >= least)
+                if len(i):
+                    yield x.rows[at + i], y.rows[j]
             continue
-        cx, cy = ua[[n.center for n in xs]], ub[[n.center for n in ys]]
+        xs, ys = x.below(), y.below()
+        cx, cy = np.array([n.center for n in xs]), np.array([n.center for n in ys])
         rx, ry = np.array([n.radius for n in xs]), np.array([n.radius for n in ys])
-        step = max(1, (1 << 21) // len(ys))
+        one_x, one_y = np.array([len(n.rows) == 1 for n in xs]), np.array([len(n.rows) == 1 for n in ys])
+        fy = np.ascontiguousarray(fb[cy].T)
+        widest = float(ry.max())
+        step = max(1, (1 << 22) // len(ys))
         for at in range(0, len(xs), step):
-            d2 = 2.0 - 2.0 * (cx[at : at + step] @ cy.T)
-            reach = rx[at : at + step, None] + ry[None, :] + (eps + SLACK)
-            for i, j in zip(*np.nonzero(d2 <= reach * reach)):
-                todo.append((xs[at + i], ys[j]))
+            cos = fa[cx[at : at + step]] @ fy
+            # centres further apart than both radii and the threshold: first by each row's widest bound, then each pair's
+            bound = 1.0 - (rx[at : at + step] + widest + eps + SLACK) ** 2 / 2 - 1e-4
+            i, j = np.nonzero(cos >= bound.astype(np.float32)[:, None])
+            near = cos[i, j] >= 1.0 - (rx[at + i] + ry[j] + eps + SLACK) ** 2 / 2 - 1e-4
+            i, j = at + i[near], j[near]
+            points = one_x[i] & one_y[j]
+            p, q = cx[i[points]], cy[j[points]]
+            linked = np.einsum("ij,ij->i", ua[p], ub[q]) >= least
+            if linked.any():
+                yield p[linked], q[linked]
+            todo += [(xs[m], ys[n]) for m, n in zip(i[~points], j[~points])]
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
