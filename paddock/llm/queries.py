@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .common import read_table
 from .cover_join import near_duplicates
+from .jaccard_join import jaccard_components
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_to_weights
 from .packing import best_fit_pack
@@ -54,6 +55,11 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 4-word shingles overlap by 85 %."""
+    return jaccard_components(read_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op5_vantage_points(spark: SparkSession, sf_dir: str, factor: float = SEARCH_FACTOR) -> DataFrame:
     """The ten nearest neighbours of every row whose vec_id is divisible by 100."""
     e = read_table(spark, sf_dir, "embeddings")
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_windows": op2_line_windows,
     "op3_secret_ownership": op3_secret_ownership,
+    "op4_divide_skip": op4_divide_skip,
     "op5_vantage_points": op5_vantage_points,
     "op6_host_reputation": op6_host_reputation,
     "op7_class_language_models": op7_class_language_models,
