@@ -104,12 +104,12 @@ def expression_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
 
 def mean_llr(docs: DataFrame, evidence: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, n_words, llr): the length-normalised log-likelihood difference, one per input row."""
+    """Rows (doc_id, text_hash, n_words, llr): the length-normalised log-likelihood difference, one per input row."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    d = d.select("doc_id", "row", F.explode_outer(words(F.col("text"))).alias("w"))
-    t = d.select("doc_id", "row", F.when(F.col("w") != "", F.xxhash64("w")).alias("key")).join(sized(evidence), "key", "left")
-    s = t.groupBy("row", "doc_id").agg(F.count("key").alias("n_words"), F.sum("llr").alias("total"))
-    return s.select("doc_id", "n_words", (F.coalesce("total", F.lit(0.0)) / F.greatest("n_words", F.lit(1))).alias("llr"))
+    d = d.select("doc_id", "row", F.xxhash64("text").alias("text_hash"), F.explode_outer(words(F.col("text"))).alias("w"))
+    t = d.select("doc_id", "row", "text_hash", F.when(F.col("w") != "", F.xxhash64("w")).alias("key")).join(sized(evidence), "key", "left")
+    s = t.groupBy("row", "doc_id", "text_hash").agg(F.count("key").alias("n_words"), F.sum("llr").alias("total"))
+    return s.select("doc_id", "text_hash", "n_words", (F.coalesce("total", F.lit(0.0)) / F.greatest("n_words", F.lit(1))).alias("llr"))
 
 
 def squashed(llr: Column) -> Column:
@@ -143,7 +143,7 @@ def calibrate(scored: DataFrame, labels: DataFrame, bins_per_unit: int = 20) ->
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3, chance: float = 7.0, material: float = 1.0) -> DataFrame:
-    """One row per input row: doc_id, score (0 to 1), llr, n_words.
+    """One row per input row: doc_id, text_hash, score (0 to 1), llr, n_words.
 
     ``labels`` has rows (doc_id, toxic) to learn from; several labels of one id count as the
     highest, null ids and labels as none. Null and empty texts, and texts without a word,
@@ -156,4 +156,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scored = store(mean_llr(docs, evidence, id_col, text_col), "scores")
     a, b = calibrate(scored, labels)
     score = 1 / (1 + F.exp(-(F.lit(a) * squashed(F.col("llr")) + F.lit(b))))
-    return scored.select("doc_id", score.alias("score"), "llr", "n_words")
+    return scored.select("doc_id", "text_hash", score.alias("score"), "llr", "n_words")
