@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import os
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+#: Spark's setting to drop shuffle files as soon as the query that made them has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a batch that Python tasks get; packed rows are large.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of phases whose result has been stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The shuffle files behind it go once it is written, so phases don't add up on disk.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    settings = {DROP_SHUFFLES: "true", BATCH_ROWS: "1000"}
+    was = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in was.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_or_empty(col: Column | str) -> Column:
@@ -47,10 +61,6 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def file_name_safe(name: str) -> str:
-    return os.path.basename(name)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows (node, component), the smallest node.
 
@@ -80,3 +90,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of ``a``-``b`` that join parts not joined yet."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out

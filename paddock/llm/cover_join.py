@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, store
+from .common import components, spanning, store
 from .vectors import matrix, usable, vectors
 
 #: Slack of distances between doubles on the unit sphere.
@@ -113,25 +113,6 @@ def close_pairs(a: Node, ua: np.ndarray, b: Node, ub: np.ndarray, least: float,
             todo += [(xs[m], ys[n]) for m, n in zip(i[~points], j[~points])]
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of ``a``-``b`` that join parts not joined yet."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
 def near_duplicates(
     df: DataFrame, threshold: float = 0.95, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:

@@ -1,12 +1,19 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
-Ranks are names: equal strings have equal names, and the name of a string of length 2h
-comes from the pair of names at i and i + h. Names of short strings are local; they are
-ranked over the corpus at half the threshold and at the threshold itself. The first
-ranking needs only one anchor per window, the least name among the half-length strings
-in it: equal windows have equal anchors, so a window whose anchor is unique is unique
-and drops out. The pairs of names of what is left are sorted and ranked again by Spark,
-past the threshold, where the first owner of every rank is known.
+Ranks are names: equal strings have equal names, and the name of a longer string comes
+from those of its parts at growing offsets. Three rankings over the corpus follow each
+other, each on what the one before left open:
+
+* half the threshold, at anchors only: the anchor of a window is the string of half its
+  length with the least name in it, so equal windows have equal anchors, and a
+  window whose anchor has no other owner is unique;
+* once and a half the threshold, around each anchor: the context that holds all windows
+  of that anchor. A context with an earlier owner settles all its windows; where all
+  owners of an anchor share one context nothing else is open;
+* the threshold itself: pairs of the names at i and i + half a threshold, from the first
+  owner of each context that is still open.
+
+Spark deals the names to ranges of the name space, where they are sorted and ranked.
 """
 
 from __future__ import annotations
@@ -18,28 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, answer, answers_in, ask, by_block, count_blocks, grouped, join_hashes, mix, put_answers
-from .common import release, store
+from .blocks import (
+    BLOCK_BYTES,
+    DOCUMENT,
+    Fingerprints,
+    answer,
+    answers_in,
+    ask,
+    by_block,
+    count_blocks,
+    from_low_bytes,
+    grouped,
+    join_hashes,
+    low_bytes,
+    put_answers,
+)
+from .common import store
 
-QUESTIONS = "shard int, block int, names binary, owners binary, ids binary"
+QUESTIONS = "shard int, block int, names binary, contexts binary, owners binary, ids binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 NO_ID = np.iinfo(np.int64).max
-
-
-def names_of(buf: np.ndarray, length: int) -> np.ndarray:
-    """Names of all strings of ``length`` bytes, put together from doubled ones."""
-    now = mix(buf.astype(np.uint64) + np.uint64(0x51ED270B))
-    size, out, done = 1, None, 0
-    left = length
-    while left:
-        if left & 1:
-            out = now if out is None else join_hashes(out[: len(out) - size], now[done:][: len(out) - size])
-            done += size
-        left >>= 1
-        if left:
-            now = join_hashes(now[:-size], now[size:])
-            size *= 2
-    return out
+EARLIER, OPEN = 1, 2
 
 
 def least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,58 +57,82 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, .. for each range of ``count`` values."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + count, count)
+
+
 class Block:
-    """The documents of a block as one byte string, and its windows of the threshold's length."""
+    """The documents of a block as one byte string, its windows grouped by anchor."""
 
     def __init__(self, rows: list[dict], threshold: int):
-        docs = [r for r in rows if r["phase"] == 9]
+        docs = [r for r in rows if r["phase"] == DOCUMENT]
         self.doc_ids = [r["doc_id"] for r in docs]
         self.ids = np.array([NO_ID if i is None else i for i in self.doc_ids], np.int64)
         raw = [bytes(r["text"] or b"") for r in docs]
         self.lens = np.array([len(x) for x in raw], np.int64)
         self.ends = np.cumsum(self.lens)
         self.buf = np.frombuffer(b"".join(raw), np.uint8)
-        self.threshold, half = threshold, (threshold + 1) // 2
+        self.threshold, self.half = threshold, (threshold + 1) // 2
         n = len(self.buf) - threshold + 1
-        self.anchors = np.zeros(0, np.uint64)
-        self.at = self.owner = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.begin = self.count = self.owner = self.entry = self.first = none
+        self.anchors = self.contexts = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        owner = np.repeat(np.arange(len(docs)), self.lens)[:n]
-        inside = np.arange(n) + threshold <= self.ends[owner]
-        self.at = np.nonzero(inside)[0]
-        self.owner = owner[self.at]
-        self.half = names_of(self.buf, half)
-        self.least = least_of(self.half, threshold - half + 1)[self.at]
-        # one entry per anchor and document
-        new = np.ones(len(self.at), bool)
-        new[1:] = (self.least[1:] != self.least[:-1]) | (self.owner[1:] != self.owner[:-1])
-        value, who = self.least[new], self.ids[self.owner[new]]
-        order = np.argsort(value, kind="stable")
-        value, who = value[order], who[order]
-        first = np.ones(len(value), bool)
-        first[1:] = value[1:] != value[:-1]
-        starts = np.nonzero(first)[0]
-        self.anchors = value[first]
-        self.several = np.minimum.reduceat(who, starts) < np.maximum.reduceat(who, starts) if len(starts) else np.zeros(0, bool)
-
-    def keep(self, shared: np.ndarray) -> None:
-        """Second ranking: names of the windows whose anchor is in several documents."""
-        shared = shared.astype(bool) | self.several
-        on = shared[np.searchsorted(self.anchors, self.least)] if len(self.at) else np.zeros(0, bool)
-        self.at, self.owner = self.at[on], self.owner[on]
-        step = self.threshold - (self.threshold + 1) // 2
-        self.full = join_hashes(self.half[self.at], self.half[self.at + step]) if len(self.at) else np.zeros(0, np.uint64)
-        self.names, first, self.which = np.unique(self.full, return_index=True, return_inverse=True)
-        self.first = self.owner[first]  # documents are in order, so this is the smallest id of the block
+        inside = np.ones(n, bool)  # windows that don't reach into the next document
+        for end in self.ends.tolist():
+            inside[max(0, end - threshold + 1) : end] = False
+        prints = Fingerprints(self.buf)
+        self.halves = prints.every(self.half)
+        # the name's upper bits, then the place: the least is the leftmost of equal strings
+        bits = np.uint64(max(1, int(len(self.buf)).bit_length()))
+        spot = (self.halves >> bits << bits) | np.arange(len(self.halves), dtype=np.uint64)
+        spot = (least_of(spot, threshold - self.half + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32)
+        new = inside.copy()
+        new[1:] &= (spot[1:] != spot[:-1]) | ~inside[:-1]
+        self.begin = np.nonzero(new)[0]
+        if not len(self.begin):
+            return
+        self.count = np.add.reduceat(inside, self.begin, dtype=np.int64)
+        at = spot[self.begin].astype(np.int64)
+        self.owner = np.searchsorted(self.ends, self.begin, side="right")
+        start = np.maximum(at - (threshold - self.half), self.ends[self.owner] - self.lens[self.owner])
+        anchor = self.halves[at]
+        context = prints.between(start, np.minimum(at + threshold, self.ends[self.owner])) >> np.uint64(16)
+        # where the anchor lies in a context cut short by its document's start
+        context ^= (at - start).astype(np.uint64) << np.uint64(40)
+        order = np.lexsort((context, anchor))
+        a, c = anchor[order], context[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        self.anchors, self.contexts = a[fresh], c[fresh]
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(fresh) - 1
+        self.first = self.owner[order[fresh]]  # documents are in order of their ids: the block's first owner
+
+    def window_names(self, state: np.ndarray) -> None:
+        """Names of the windows of open contexts, from their first owner in the block."""
+        self.state = state[self.entry]
+        self.settled = (self.state & EARLIER > 0) | (self.ids[self.owner] > self.ids[self.first[self.entry]])
+        todo = np.nonzero((self.state & OPEN > 0) & ~self.settled)[0]
+        self.at = spread(self.begin[todo], self.count[todo])
+        self.at_owner = np.repeat(self.owner[todo], self.count[todo])
+        step = self.threshold - self.half
+        full = join_hashes(self.halves[self.at], self.halves[self.at + step]) if len(self.at) else np.zeros(0, np.uint64)
+        self.names, first, self.which = np.unique(full, return_index=True, return_inverse=True)
+        self.name_first = self.at_owner[first]
 
     def repeated(self, earlier: np.ndarray) -> np.ndarray:
-        """Bytes that windows cover which also start in a document with a smaller id."""
-        own = self.ids[self.owner]
-        dup = earlier[self.which].astype(bool) | (own > self.ids[self.first[self.which]]) if len(self.at) else np.zeros(0, bool)
+        """Bytes covered by windows that also start in a document with a smaller id."""
         begun = np.zeros(len(self.buf) + 1, np.int32)
-        begun[self.at[dup] + 1] = 1
-        begun = np.cumsum(begun)
+        settled = np.nonzero(self.settled)[0]
+        begun[spread(self.begin[settled], self.count[settled]) + 1] = 1
+        if len(self.at):
+            dup = (earlier[self.which] > 0) | (self.ids[self.at_owner] > self.ids[self.name_first[self.which]])
+            begun[self.at[dup] + 1] = 1
+        begun = np.cumsum(begun, dtype=np.int32)
         back = np.maximum(np.arange(1, len(self.buf) + 1) - self.threshold, 0)
         return begun[1:] > begun[back]
 
@@ -112,6 +142,60 @@ def packed_ids(ids: np.ndarray, owners: np.ndarray) -> tuple[bytes, bytes]:
     return local.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), ids[used].tobytes()
 
 
+def unpacked_ids(rows: list[dict], sizes: list[int]) -> np.ndarray:
+    kinds = ["<u2" if len(r["owners"]) == 2 * n else "<u4" for r, n in zip(rows, sizes)]
+    return np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["owners"], k)] for r, k in zip(rows, kinds)])
+
+
+def first_of(keys: tuple[np.ndarray, ...], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts the keys (last one first), starts of runs of equal keys, and each run's least owner."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, new, np.minimum.reduceat(owner[order], np.nonzero(new)[0])
+
+
+def rank_contexts(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
+    """Of each (anchor, context): has it an earlier owner; is it the first owner's, of an anchor with other contexts."""
+    sizes = [len(r["contexts"]) // 6 for r in rows]
+    anchor, context = from_low_bytes([r["names"] for r in rows], 5), from_low_bytes([r["contexts"] for r in rows], 6)
+    owner = unpacked_ids(rows, sizes)
+    order, new, least = first_of((context, anchor), owner)
+    group = np.zeros(len(order), bool)
+    group[0] = True
+    group[1:] = anchor[order][1:] != anchor[order][:-1]
+    kinds = np.add.reduceat(new.astype(np.int64), np.nonzero(group)[0])[np.cumsum(group) - 1]
+    sorted_owner, least = owner[order], least[np.cumsum(new) - 1]
+    state = np.empty(len(order), np.uint8)
+    state[order] = np.where(sorted_owner > least, EARLIER, np.where(kinds > 1, OPEN, 0))
+    yield from parts(rows, sizes, state)
+
+
+def rank_windows(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
+    """Of each window: has it an earlier owner."""
+    sizes = [len(r["names"]) // 8 for r in rows]
+    name = np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows])
+    owner = unpacked_ids(rows, sizes)
+    order, new, least = first_of((name,), owner)
+    earlier = np.empty(len(order), np.uint8)
+    earlier[order] = owner[order] > least[np.cumsum(new) - 1]
+    yield from parts(rows, sizes, earlier)
+
+
+def parts(rows: list[dict], sizes: list[int], values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for r, part in zip(rows, np.split(values, np.cumsum(sizes)[:-1])):
+        yield r["block"], part.tobytes()
+
+
+def questions(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["shard", "block", "names", "contexts", "owners", "ids"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
 def remove_repeats(
     docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -124,56 +208,34 @@ def remove_repeats(
     gives no rows; other columns are ignored. ``kept`` may split a character.
 
     A block sends a name once however many of its documents have it, so that a string that
-    most documents share costs one entry per block. Names have 64 bits: two of the strings
-    of a 100 GB corpus share one with a probability of about 1 in 4000.
+    most documents share costs one entry per block. Names are 64-bit fingerprints, not
+    checked byte by byte: at 100 GB, two different windows that are compared share one with
+    a probability well below a thousandth.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     blocks = count_blocks(d, F.col("text"), block_bytes)
     shards = max(1, -(-blocks // 3))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
-    narrow = np.uint64(16)
 
-    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in grouped(batches, "block"):
             b = Block(rows, threshold)
-            # 40 bits and the shard are enough to tell which anchors may be shared
-            yield questions([(s, key, ((b.anchors[p] >> narrow).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()), b"", b"") for s, p in ask(shards, b.anchors)])
-
-    def shared_anchors(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
-        raw = [np.frombuffer(r["names"], np.uint8).reshape(-1, 5) for r in rows]
-        wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
-        wide[:, :5] = np.concatenate(raw)
-        _, which, count = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
-        yield from split_bits(rows, [len(x) for x in raw], count[which] > 1)
+            # within a shard 40 bits tell anchors apart well enough, and within an anchor 48 bits contexts
+            yield questions(
+                [(s, key, low_bytes(b.anchors[p] >> np.uint64(16), 5), low_bytes(b.contexts[p], 6), *packed_ids(b.ids, b.first[p])) for s, p in ask(shards, b.anchors)]
+            )
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in grouped(batches, "block"):
             b = Block(rows, threshold)
-            b.keep(put_answers(shards, b.anchors, answers_in(rows, 0), "bits"))
-            yield questions([(s, key, b.names[p].tobytes(), *packed_ids(b.ids, b.first[p])) for s, p in ask(shards, b.names)])
-
-    def first_owners(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
-        names = [np.frombuffer(r["names"], np.uint64) for r in rows]
-        owners = []
-        for r, n in zip(rows, names):
-            ids = np.frombuffer(r["ids"], np.int64)
-            owners.append(ids[np.frombuffer(r["owners"], "<u2" if len(r["owners"]) == 2 * len(n) else "<u4")])
-        name, owner = np.concatenate(names), np.concatenate(owners)
-        order = np.argsort(name, kind="stable")
-        name, mine = name[order], owner[order]
-        new = np.ones(len(name), bool)
-        new[1:] = name[1:] != name[:-1]
-        least = np.minimum.reduceat(mine, np.nonzero(new)[0])
-        later = np.zeros(len(name), bool)
-        later[order] = mine > least[np.cumsum(new) - 1]
-        yield from split_bits(rows, [len(n) for n in names], later)
+            b.window_names(put_answers(shards, b.anchors, answers_in(rows, 0)))
+            yield questions([(s, key, b.names[p].tobytes(), b"", *packed_ids(b.ids, b.name_first[p])) for s, p in ask(shards, b.names)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in grouped(batches, "block"):
             b = Block(rows, threshold)
-            b.keep(put_answers(shards, b.anchors, answers_in(rows, 0), "bits"))
-            gone = b.repeated(put_answers(shards, b.names, answers_in(rows, 1), "bits"))
+            b.window_names(put_answers(shards, b.anchors, answers_in(rows, 0)))
+            gone = b.repeated(put_answers(shards, b.names, answers_in(rows, 1)))
             spans, kept = [], []
             for end, size in zip(b.ends.tolist(), b.lens.tolist()):
                 part = gone[end - size : end]
@@ -190,18 +252,6 @@ def remove_repeats(
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    anchors = store(answer(by_block(d).mapInArrow(ask_anchors, QUESTIONS), shared_anchors), "anchors")
-    release(spark)
-    windows = store(answer(by_block(d, anchors).mapInArrow(ask_windows, QUESTIONS), first_owners), "windows")
-    release(spark)
-    return by_block(d, anchors, windows).mapInArrow(cut, RESULT)
-
-
-def questions(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "block", "names", "owners", "ids"])
-
-
-def split_bits(rows: list[dict], sizes: list[int], bits: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    for r, part in zip(rows, np.split(bits, np.cumsum(sizes)[:-1])):
-        yield r["block"], np.packbits(part).tobytes()
+    contexts = store(answer(by_block(d).mapInArrow(ask_contexts, QUESTIONS), rank_contexts), "contexts")
+    windows = store(answer(by_block(d, contexts).mapInArrow(ask_windows, QUESTIONS), rank_windows), "windows")
+    return by_block(d, contexts, windows).mapInArrow(cut, RESULT)
