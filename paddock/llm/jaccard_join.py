@@ -6,6 +6,9 @@ and are merged, so that a partner shows up on one of them at least; the others a
 and are probed by binary search in the candidate's sorted set, until the required
 overlap is reached or out of reach.
 
+Documents that large families share most shingles with are searched group by group: all
+their lists are merged or multiplied at once.
+
 Short lists: of the ``p`` shingles with the least hash, two linked documents share at least
 ``p`` less the shingles they may differ in; ordered by how many documents have them, so
 many of the rarest suffice that a shared one is among both documents' choice. A document
@@ -40,7 +43,7 @@ from .blocks import (
     mix,
     put_answers,
 )
-from .common import components, store
+from .common import components, spanning, store
 
 QUESTIONS = "shard int, block int, names binary, counts binary"
 SETS = "doc_id long, n long, shingles binary, short array<long>"
@@ -48,8 +51,10 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Members of one pivot that one task unit compares.
 STAR = 4096
-#: Rounds of comparing each list with one of its documents before all that is left is compared.
-PIVOT_ROUNDS = 5
+#: Lists of more documents are searched in groups, not pair by pair.
+LONG_LIST = 16
+#: Documents and shingles of one side of a unit of a group.
+UNIT_DOCS, UNIT_SHINGLES = 2048, 1_000_000
 
 
 def slack(n: int, percent: int) -> int:
@@ -181,51 +186,109 @@ def salted(pairs: DataFrame) -> DataFrame:
     return pairs.join(many, "a", "left").select("a", "b", salt.alias("salt"))
 
 
+def unit_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that span what documents ``left`` and ``right`` (indices; the same for one block) have.
+
+    Counts how often each pair occurs on a list: short lists are merged, long ones are
+    rows of a matrix product.
+    """
+
+    def entries(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        who = np.repeat(np.arange(len(side)), [len(sets[i]) for i in side])
+        return np.concatenate([sets[i] for i in side]), who
+
+    (va, a), (vb, b) = entries(left), entries(right)
+    (ua, ca), (ub, cb) = np.unique(va, return_counts=True), np.unique(vb, return_counts=True)
+    both, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    if not len(both):
+        return []
+    na, nb = ca[ia], cb[ib]
+
+    def coded(v: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, v), len(both) - 1)
+        on = both[at] == v
+        order = np.argsort(at[on], kind="stable")
+        return at[on][order], who[on][order]
+
+    (ka, a), (kb, b) = coded(va, a), coded(vb, b)
+    same = np.zeros((len(left), len(right)), np.float32)
+    long = na * nb > 64
+    heavy = np.nonzero(long)[0]
+    for at in range(0, len(heavy), 4096):
+        part = np.full(len(both), -1)
+        part[heavy[at : at + 4096]] = np.arange(len(heavy[at : at + 4096]))
+        da, db = (np.zeros((n, 4096), np.float32) for n in same.shape)
+        for d, k, who in ((da, ka, a), (db, kb, b)):
+            on = part[k] >= 0
+            d[who[on], part[k[on]]] = 1
+        same += da @ db.T
+    begin = np.concatenate([[0], np.cumsum(nb)[:-1]])
+    on = ~long[ka]
+    ka, a = ka[on], a[on]
+    step = 1 << 16
+    for at in range(0, len(ka), step):
+        k, who = ka[at : at + step], a[at : at + step]
+        times = nb[k]
+        place = np.arange(int(times.sum())) + np.repeat(begin[k] - np.cumsum(times) + times, times)
+        hits = np.repeat(who, times) * len(right) + b[place]
+        same += np.bincount(hits, minlength=same.size).reshape(same.shape).astype(np.float32)
+    size = np.array([len(s) for s in sets], np.float32)
+    linked = 100 * same >= percent * (size[left][:, None] + size[right][None, :] - same)
+    i, j = np.nonzero(linked)
+    x, y = ids[left[i]], ids[right[j]]
+    return spanning(x[x != y], y[x != y])
+
+
+def group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within groups (doc_id, g): each pair of a group's blocks is one unit."""
+    size = groups.join(sets.select("doc_id", "n"), "doc_id").groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    size = size.select("g", F.greatest(F.ceil(F.col("k") / UNIT_DOCS), F.ceil(F.col("n") / UNIT_SHINGLES)).cast("int").alias("blocks"))
+    d = groups.join(size, "g").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("doc_id", "own", "other", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "unit"):
+            ids, own = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["own"] for r in rows])
+            parts = [np.nonzero(own == o)[0] for o in np.unique(own)]
+            single = len(parts) == 1 and rows[0]["own"] == rows[0]["other"]
+            found = unit_links(ids, [np.frombuffer(r["shingles"], np.uint64) for r in rows], parts[0], parts[-1], percent) if single or len(parts) == 2 else []
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    rows = d.join(sets.select("doc_id", "shingles"), "doc_id").select("unit", "own", "other", "doc_id", "shingles")
+    return rows.repartition("unit").sortWithinPartitions("unit", "own", "doc_id").mapInArrow(run, "a long, b long")
+
+
 def jaccard_links(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect all documents which links of rows of ``SETS`` connect.
 
-    Every edge is a link. A list's documents are first compared with one of them only;
-    pairs that are connected by then need no comparison. After some rounds, or once few
-    are left, all pairs of unconnected documents on a list are compared.
+    Every edge is a link. A list's documents are first compared with one of them. On lists
+    that are not connected by then, the documents of long lists form groups, searched
+    block by block; pairs on short lists that no group has are compared one by one.
     """
     posts = sets.select(F.explode("short").alias("s"), "doc_id", "n")
     posts = store(posts.join(posts.groupBy("s").agg(F.countDistinct("doc_id").alias("m")).where("m > 1").select("s"), "s"), "lists")
-    links = tested = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if links is None:
-            at = posts.withColumn("c", F.col("doc_id"))
-        else:
-            part = components(links)
-            at = posts.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        turned = F.xxhash64(F.lit(turn), "c", "doc_id") if turn else F.col("doc_id")
-        lists = at.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(turned.alias("t"), "doc_id", "n", "c")).alias("pivot"))
-        lists = store(lists.where("c0 <> c1").select("s", "m", "pivot"), "open")
-        work = lists.agg(F.sum(F.col("m") * F.col("m")).alias("q"), F.sum("m").alias("m")).first()
-        if not work["m"]:
-            break
-        # lists of a few documents can be compared in full at about the cost of a round
-        last = turn == PIVOT_ROUNDS or work["q"] <= 8 * work["m"]
-        if last:
-            x = at.join(lists.select("s"), "s").select("s", "doc_id", "n", "c")
-            y = x.select("s", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-            pairs = x.join(y, "s").where("doc_id < b and c <> bc").select(F.col("doc_id").alias("a"), "b", "n", "bn")
-        else:
-            pairs = at.join(lists, "s").where("c <> pivot.c").select(F.col("pivot.doc_id").alias("p"), F.col("doc_id").alias("q"), "n", F.col("pivot.n").alias("bn"))
-            pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "n", "bn")
-        pairs = pairs.where(f"100 * least(n, bn) >= {percent} * greatest(n, bn)").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        found = store(verified(salted(pairs), sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if last:
-            break
-    return links if links is not None else docs_without_links(sets)
-
-
-def docs_without_links(sets: DataFrame) -> DataFrame:
-    return sets.where("false").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    pivots = posts.groupBy("s").agg(F.min(F.struct("doc_id", "n")).alias("pivot"))
+    fits = f"100 * least(n, bn) >= {percent} * greatest(n, bn)"
+    star = posts.join(pivots, "s").select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"), "n", F.col("pivot.n").alias("bn"))
+    star = store(star.where(f"a <> b and {fits}").select("a", "b").distinct(), "pairs")
+    links = store(verified(salted(star), sets, percent), "links")
+
+    part = components(links)
+    at = posts.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    lists = at.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc_id").alias("pivot"))
+    lists = store(lists.where("c0 <> c1 and m > 2").select("s", "m", "pivot"), "open")
+    long = at.join(lists.where(F.col("m") > LONG_LIST), "s").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    groups = store(components(long).select(F.col("node").alias("doc_id"), F.col("component").alias("g")), "groups")
+    grouped_links = store(group_links(groups, sets, percent), "links")
+
+    x = at.join(lists.where(F.col("m") <= LONG_LIST).select("s"), "s").join(groups, "doc_id", "left").select("s", "doc_id", "n", "c", "g")
+    x = store(x, "short")
+    y = x.select("s", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("g").alias("bg"))
+    pairs = x.join(y, "s").where(f"doc_id < b and c <> bc and (g is null or bg is null or g <> bg) and {fits}")
+    pairs = pairs.select(F.col("doc_id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = store(verified(salted(store(pairs, "pairs")), sets, percent), "links")
+    return links.unionByName(grouped_links).unionByName(rest)
 
 
 def jaccard_components(
