@@ -93,12 +93,13 @@ def expression_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     often = F.col("n1") + F.col("n0") >= least
     bound = 2 * math.log(max(w.where(often).count(), 1) / chance)
     strong = often & (evidence_of(F.col("n1"), F.col("n0"), t1 / (t1 + t0)) >= bound)
-    told = store(w.where(strong), "candidates")
+    ratio = F.log(prob("n1", t1, s["k1"]) / prob("n0", t0, s["k0"]))
+    told = store(w.where(strong & (F.abs(ratio) >= material)), "candidates")
     # continuation counts: near copies repeat a word after the same word, and count once
     before = pairs(t, "toxic").where("w is not null and x is not null").join(sized(told.select(F.col("w").alias("x"))), "x", "left_semi")
     kinds = before.distinct().groupBy(F.col("x").alias("w")).agg(count(1).alias("k1"), count(0).alias("k0"))
     uni = told.join(kinds, "w").select("w", F.least("n1", "k1").alias("n1"), F.least("n0", "k0").alias("n0")).where(strong)
-    uni = uni.select("w", F.log(prob("n1", t1, s["k1"]) / prob("n0", t0, s["k0"])).alias("llr")).where(F.abs("llr") >= material)
+    uni = uni.select("w", ratio.alias("llr")).where(F.abs("llr") >= material)
 
     return uni.select(F.xxhash64("w").alias("key"), "llr")
 
