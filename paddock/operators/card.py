@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Course descriptions excluded from modelling (jump races, downhill turf).
 EXCLUDED_COURSE_DESCS = ["Hurdle", "Downhill turf", "Timber"]
 
-LIVE_ODDS_MODES = ("simulated", "morning_line", "final")
+#: M5: where the live odds come from.
+LIVE_ODDS_COLUMNS = {"morning_line": "morning_line_odds_float", "final": "dollar_odds"}
 
 RACE_COLUMNS = [
     "race_id",
@@ -65,16 +66,15 @@ def build_raw_card(
     pp_features: DataFrame,
     workout_features: DataFrame,
     live_odds: str = "morning_line",
-    seed: int | None = None,
 ) -> DataFrame:
     """J1 inner on (race, horse) -> P3 positive odds -> J2 left joins -> P9/P10 -> M5.
 
-    ``live_odds`` selects the live-odds column: ``morning_line`` (no leakage),
-    ``final`` (upper bound) or ``simulated`` (seeded pool-share simulation, M1-M3).
+    ``live_odds`` selects the live-odds column: ``morning_line`` (no leakage) or ``final``
+    (upper bound).
     """
     key = ["race_id", "horse_name"]
     joined = race_rows(results).join(entry_rows(entries), key, "inner")
-    return _finish_card(joined, pp_features, workout_features, live_odds, seed)
+    return _finish_card(joined, pp_features, workout_features, live_odds)
 
 
 def build_raw_card_from_runners(
@@ -82,7 +82,6 @@ def build_raw_card_from_runners(
     pp_features: DataFrame,
     workout_features: DataFrame,
     live_odds: str = "morning_line",
-    seed: int | None = None,
 ) -> DataFrame:
     """Same card when results and entries live in one ingested runners table (no J1 self-join)."""
     rows = runners.where(~F.col("course_desc").isin(EXCLUDED_COURSE_DESCS)).select(
@@ -91,14 +90,14 @@ def build_raw_card_from_runners(
         *[c for c in ENTRY_COLUMNS if c not in ("race_id", "horse_name")],
         F.col("entry_class_rating"),
     )
-    return _finish_card(rows, pp_features, workout_features, live_odds, seed)
+    return _finish_card(rows, pp_features, workout_features, live_odds)
 
 
-def _finish_card(joined: DataFrame, pp_features: DataFrame, workout_features: DataFrame, live_odds: str, seed: int | None) -> DataFrame:
-    if live_odds not in LIVE_ODDS_MODES:
-        raise ValueError(f"live_odds must be one of {LIVE_ODDS_MODES}, got {live_odds!r}")
+def _finish_card(joined: DataFrame, pp_features: DataFrame, workout_features: DataFrame, live_odds: str) -> DataFrame:
+    if live_odds not in LIVE_ODDS_COLUMNS:
+        raise ValueError(f"live_odds must be one of {tuple(LIVE_ODDS_COLUMNS)}, got {live_odds!r}")
     key = ["race_id", "horse_name"]
-    raw = (
+    return (
         joined.where(F.col("dollar_odds") > 0)
         .join(pp_features, key, "left")
         .join(workout_features, key, "left")
@@ -106,9 +105,6 @@ def _finish_card(joined: DataFrame, pp_features: DataFrame, workout_features: Da
         .withColumn("field_size", F.col("num_runners"))
         .withColumn("won", (F.col("official_finish") == 1).cast("int"))
     )
-    from .market import live_odds_column
-
-    return live_odds_column(raw, live_odds, seed)
 
 
 def training_frame(raw_derived: DataFrame) -> DataFrame:

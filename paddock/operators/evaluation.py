@@ -66,7 +66,9 @@ def race_rollup(df: DataFrame, group_cols: list[str] | None = None) -> DataFrame
     g = (group_cols or []) + [RACE]
 
     def top1_won(p: str) -> Column:
-        return F.min_by("won", F.struct((-F.col(p)).alias("s"), F.col("post_position"), F.col("horse_name")))
+        # a null score is never picked: a null ordering is left out
+        order = F.struct((-F.col(p)).alias("s"), F.col("post_position"), F.col("horse_name"))
+        return F.min_by("won", F.when(F.col(p).isNotNull(), order))
 
     won = F.col("won") == 1
     return df.groupBy(*g).agg(

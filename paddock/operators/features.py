@@ -117,7 +117,6 @@ def derive_features(df: DataFrame, race: str = RACE) -> DataFrame:
     ct = course_type(F.col("course_desc"), F.col("surface"))
     pct = pp_course_type(F.col("pp_surface_L1"))
     ar = F.col("age_restriction")
-    ar9 = F.regexp_replace(ar, "U", "9")
     pos_share = ieee_div("post_position", "field_size")
     sr = F.col("sex_restriction")
     w = Window.partitionBy(race)
@@ -133,11 +132,11 @@ def derive_features(df: DataFrame, race: str = RACE) -> DataFrame:
         F.col("sex").isin(FEMALE_SEX_CODES).cast("int").alias("is_female"),
         (F.col("sex") == GELDED_SEX_CODE).cast("int").alias("is_gelded"),
         F.when(pos_share <= 1 / 3, 0).when(pos_share <= 2 / 3, 1).otherwise(2).cast("int").alias("post_position_bucket"),
-        F.when(F.substring(ar, 1, 1) == "0", _age_digit(F.substring(ar9, 2, 1)))
+        F.when(F.substring(ar, 1, 1) == "0", _age_digit(F.substring(ar, 2, 1)))
         .otherwise(_age_digit(F.substring(ar, 1, 1)))
         .cast("int")
         .alias("min_age_allowed"),
-        F.when(F.substring(ar, 2, 1) == "U", 99).otherwise(_age_digit(F.substring(ar9, 2, 1))).cast("int").alias("max_age_allowed"),
+        F.when(F.substring(ar, 2, 1) == "U", 99).otherwise(_age_digit(F.substring(ar, 2, 1))).cast("int").alias("max_age_allowed"),
         sr.isNotNull().cast("int").alias("is_sex_restricted"),
         F.coalesce(sr.isin(FEMALE_ONLY_RESTRICTIONS), F.lit(False)).cast("int").alias("is_female_only_race"),
         F.coalesce(sr.isin(MALE_ONLY_RESTRICTIONS), F.lit(False)).cast("int").alias("is_male_only_race"),

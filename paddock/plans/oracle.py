@@ -53,7 +53,7 @@ line1 AS (
 )"""
 
 BASE = """
-base AS (
+base AS MATERIALIZED (
   SELECT r.race_id, r.race_date, r.track, r.race_number, r.distance_yards, r.surface, r.course_desc, r.purse,
          r.race_class_rating, r.age_restriction, r.sex_restriction,
          count(*) OVER (PARTITION BY r.race_id) AS num_runners,
@@ -72,7 +72,7 @@ base AS (
 
 # all prior runs of the same horse on strictly earlier days (self-join), newest first
 PP = """
-pp AS (
+pp AS MATERIALIZED (
   SELECT * FROM (
     SELECT b.race_id, b.horse_name,
            row_number() OVER (PARTITION BY b.race_id, b.horse_name ORDER BY h.race_date DESC, h.race_number DESC) AS pp_index,
@@ -155,7 +155,7 @@ wk_feats AS (
 )"""
 
 CAREER = """
-career AS (
+career AS MATERIALIZED (
   SELECT b.race_id, b.horse_name,
     count(h.race_id) AS career_starts,
     count(CASE WHEN h.official_finish = 1 THEN 1 END) AS career_wins,
@@ -194,7 +194,7 @@ raw AS (
 )"""
 
 DERIVED = f"""
-derived AS (
+derived AS MATERIALIZED (
   SELECT *,
     CAST(course_type = 'All Weather Track' AS INTEGER) AS is_all_weather,
     CAST(course_type = 'Dirt' AS INTEGER) AS is_dirt,
@@ -261,13 +261,13 @@ soft0 AS (
   SELECT *, exp(model_score / {t} - max(model_score / {t}) OVER (PARTITION BY race_id)) AS e
   FROM scored
 ),
-soft AS (
+soft AS MATERIALIZED (
   SELECT * EXCLUDE (market_prob, e),
     e / sum(e) OVER (PARTITION BY race_id) AS model_prob,
     (1.0 / (dollar_odds + 1)) / sum(1.0 / (dollar_odds + 1)) OVER (PARTITION BY race_id) AS market_prob
   FROM soft0
 ),
-enriched AS (
+enriched AS MATERIALIZED (
   SELECT *, dollar_odds + 1 AS decimal_odds, model_prob * (dollar_odds + 1) - 1 AS ev_per_dollar
   FROM soft WHERE race_id IN (SELECT race_id FROM soft WHERE won = 1)
 )"""

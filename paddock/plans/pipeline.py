@@ -24,14 +24,11 @@ CAREER_COLUMNS = [
 
 
 class Pipeline:
-    def __init__(self, spark: SparkSession, sf_dir: str, live_odds: str = "morning_line", seed: int | None = None, materialize: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, live_odds: str = "morning_line", materialize: bool = True):
         self.materialize = materialize
         self.spark = spark
-        # planner flag that lets (race_id, horse) joins reuse a race_id layout
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.sf_dir = sf_dir
         self.live_odds = live_odds
-        self.seed = seed
 
     # ----------------------------------------------------------------- sources
     @cached_property
@@ -91,7 +88,7 @@ class Pipeline:
         (race, horse); the race windows downstream reuse the same race partitioning."""
         return card_ops.build_raw_card_from_runners(
             self.base.repartition("race_id"), self.pp_features, self.workout_features().repartition("race_id"),
-            live_odds=self.live_odds, seed=self.seed,
+            live_odds=self.live_odds,
         )
 
     @property

@@ -968,37 +968,6 @@ def odds_refresh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(card_state.refresh_report(_folded(spark, sf_dir)), REFRESH_COLS)
 
 
-# --------------------------------------------------------------------------- live-odds simulation
-
-NOISY_COLS = ["race_id", "n_runners", "takeout_final", "takeout_ok", "within_max"]
-
-
-@register(
-    "noisy_odds",
-    O.with_(*O.HISTORY_CTES, O.RAW)
-    + select_sql(
-        NOISY_COLS,
-        """(SELECT race_id, count(*) AS n_runners, sum(1.0 / (dollar_odds + 1)) - 1 AS takeout_final,
-                  1 AS takeout_ok, 1 AS within_max
-           FROM raw GROUP BY race_id)""",
-    ),
-)
-def noisy_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1-M5: simulated mid-pool odds (seed 7) checked by their invariants per race:
-    implied probabilities keep the final takeout (1e-6) and no odds exceed the cap."""
-    from ..operators import market
-
-    cfg = market.DEFAULT_NOISY_ODDS_CONFIG
-    sim = Pipeline(spark, sf_dir, live_odds="simulated", seed=7).raw_card
-    out = sim.groupBy("race_id").agg(
-        F.count(F.lit(1)).alias("n_runners"),
-        (F.sum(F.lit(1.0) / (F.col("dollar_odds") + 1)) - 1).alias("takeout_final"),
-        (F.abs(F.sum(F.lit(1.0) / (F.col("live_odds") + 1)) - F.sum(F.lit(1.0) / (F.col("dollar_odds") + 1))) < 1e-6).cast("int").alias("takeout_ok"),
-        (F.max("live_odds") <= cfg.max_odds + 1e-9).cast("int").alias("within_max"),
-    )
-    return finish(out, NOISY_COLS)
-
-
 # --------------------------------------------------------------------------- scalar parsing functions
 
 PARSE_COLS = [

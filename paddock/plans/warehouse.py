@@ -15,7 +15,6 @@ from the raw scans.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ from ..sources import fixtures
 
 INGEST_INPUTS = ("lineitem", "orders", "customer", "part")
 _LOCK = threading.Lock()
-_MEMO: dict[tuple[str, str], str] = {}
+_READY: set[str] = set()
 
 
 def _hadoop_fs(spark: SparkSession, path: str):
@@ -41,8 +40,12 @@ def fingerprint(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = INGES
     for n in names:
         fs, p = _hadoop_fs(spark, fixtures.table_path(sf_dir, n))
         h.update(str(p).encode())
-        for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
-            h.update(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}".encode())
+        files = fs.listFiles(p, True)  # with those in partition folders
+        found = []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+        h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:20]
 
 
@@ -71,7 +74,6 @@ def ingest(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
     ``past_performances`` is derived from the *written* runners table, so the history
     numbering reads the parallel Parquet copy instead of recomputing the joins.
     """
-    key = (ensure_checkpoint_dir(spark), os.path.abspath(sf_dir))
     with _LOCK:
         root = _root(spark, sf_dir)
         if force or not _exists(spark, f"{root}/runners/_SUCCESS"):
@@ -80,14 +82,16 @@ def ingest(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
             written = spark.read.parquet(f"{root}/runners").drop("race_year")
             pp = history.past_performances(history.number_runs(fixtures.runs_for_history(written)), max_index=PP_MAX_INDEX)
             pp.write.mode("overwrite").parquet(f"{root}/past_performances")
-        _MEMO[key] = root
+        _READY.add(root)
     return root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An ingested table for ``sf_dir`` (the ingest runs on first use)."""
-    key = (ensure_checkpoint_dir(spark), os.path.abspath(sf_dir))
-    root = _MEMO.get(key) or ingest(spark, sf_dir)
+    # the fingerprint is taken again each time: changed inputs have another folder
+    root = _root(spark, sf_dir)
+    if root not in _READY:
+        ingest(spark, sf_dir)
     df = spark.read.parquet(f"{root}/{name}")
     return df.drop("race_year") if "race_year" in df.columns else df
 

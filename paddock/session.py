@@ -21,9 +21,6 @@ _DEFAULTS = {
     # broadcast only sides that are proven small at runtime (AQE re-plans on real sizes)
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # joins on (race_id, horse_name) may reuse a race_id partitioning (races are small,
-    # evenly sized groups), so card joins and race windows share one shuffle
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -66,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="paddock-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

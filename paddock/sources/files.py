@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -148,21 +149,27 @@ CARD_SCHEMA = _struct(RaceDate=S, Track=_struct(TrackID=S), Race=T.ArrayType(_CA
 
 def _unzip_first_member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts = []
+        texts, errors = [], []
         for blob in pdf["content"]:
+            text = error = None
             try:
                 with zipfile.ZipFile(io.BytesIO(bytes(blob))) as zf:
-                    texts.append(zf.read(zf.namelist()[0]).decode("utf-8"))
-            except (zipfile.BadZipFile, IndexError, UnicodeDecodeError):
-                texts.append(None)
-        yield pd.DataFrame({"path": pdf["path"], "xml": texts})
+                    text = zf.read(zf.namelist()[0]).decode("utf-8")
+            except (zipfile.BadZipFile, zlib.error, EOFError, IndexError, UnicodeDecodeError, RuntimeError, NotImplementedError) as e:
+                error = f"{type(e).__name__}: {e}"
+            texts.append(text)
+            errors.append(error)
+        yield pd.DataFrame({"path": pdf["path"], "xml": texts, "error": errors})
 
 
 def read_card_zips(spark: SparkSession, path_glob: str) -> DataFrame:
-    """S3: the first member of every ZIP, parsed with ``from_xml`` into one card row per file."""
+    """S3: the first member of every ZIP, parsed with ``from_xml`` into one card row per file.
+
+    A file that can't be unpacked gives a row with a null card and its ``error``.
+    """
     blobs = spark.read.format("binaryFile").load(path_glob).select("path", "content")
-    xml = blobs.mapInPandas(_unzip_first_member, "path string, xml string")
-    return xml.select("path", F.from_xml("xml", CARD_SCHEMA).alias("card"))
+    xml = blobs.mapInPandas(_unzip_first_member, "path string, xml string, error string")
+    return xml.select("path", F.from_xml("xml", CARD_SCHEMA).alias("card"), "error")
 
 
 def read_card_xml(spark: SparkSession, path: str, row_tag: str = "EntryRaceCard") -> DataFrame:

@@ -169,6 +169,25 @@ def stream_fold(events_stream: DataFrame, field_size: int = 8) -> DataFrame:
     )
 
 
-def throttle_ticks(ticks_stream: DataFrame, delay: str = "15 seconds") -> DataFrame:
-    """Repeat ticks of a runner within the watermark delay are dropped (first wins)."""
-    return ticks_stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["race_key", "post_position"])
+def _kept_ticks(seconds: float):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for pdf in pdfs:
+            pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+            keep = []
+            for at in pdf["ts"].astype("datetime64[us]").astype("int64"):
+                fresh = last is None or at - last >= seconds * 1e6
+                last = int(at) if fresh else last
+                keep.append(fresh)
+            yield pdf[keep]
+        if last is not None:
+            state.update((last,))
+
+    return fn
+
+
+def throttle_ticks(ticks_stream: DataFrame, seconds: float = 15.0) -> DataFrame:
+    """A runner's tick is dropped within ``seconds`` of the last one that was kept, however far apart triggers are."""
+    return ticks_stream.groupBy("race_key", "post_position").applyInPandasWithState(
+        _kept_ticks(seconds), ticks_stream.schema, "last bigint", "Append", GroupStateTimeout.NoTimeout
+    )

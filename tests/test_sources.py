@@ -125,3 +125,17 @@ def test_track_codes(spark):
     with open(os.path.join(d, "t.csv"), "w") as f:
         f.write("country,track_id,track_name,state\nUSA,CD,Churchill Downs,KY\nUSA,,Nowhere,XX\n")
     assert [r["track_id"] for r in files.read_track_codes(spark, os.path.join(d, "t.csv")).collect()] == ["CD"]
+
+
+def test_unreadable_card_zips_are_reported(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.xml", "<EntryRaceCard><RaceDate>2024-01-02</RaceDate></EntryRaceCard>" * 3)
+    whole = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "cut.zip").write_bytes(whole[: len(whole) // 2])
+    locked = bytearray(whole)
+    locked[6] |= 1  # the encrypted flag, in the member's header and in the directory
+    locked[whole.index(b"PK\x01\x02") + 8] |= 1
+    (tmp_path / "locked.zip").write_bytes(bytes(locked))
+    got = {os.path.basename(r["path"]): r for r in files.read_card_zips(spark, str(tmp_path / "*.zip")).collect()}
+    assert got["a.zip"]["error"] is None and got["a.zip"]["card"] is not None
+    assert got["cut.zip"]["error"].startswith("BadZipFile") and got["locked.zip"]["error"].startswith("RuntimeError")

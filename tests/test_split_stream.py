@@ -83,9 +83,10 @@ def test_stream_fold_equals_batch(spark):
     assert got == want
 
 
-def test_throttle_ticks_drops_repeats_within_watermark(spark):
+def test_throttle_ticks_keeps_ticks_that_are_far_enough_apart(spark):
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(1, 1, t0, 0, 5.0), (1, 1, t0 + dt.timedelta(seconds=5), 1, 6.0), (1, 2, t0 + dt.timedelta(seconds=6), 2, 3.0)]
+    later = lambda s: t0 + dt.timedelta(seconds=s)
+    rows = [(1, 1, t0, 0, 5.0), (1, 1, later(5), 1, 6.0), (1, 2, later(6), 2, 3.0), (1, 1, later(16), 3, 7.0), (1, 1, later(30), 4, 8.0), (1, 1, later(3600), 5, 9.0)]
     df = spark.createDataFrame(rows, "race_key long, post_position long, ts timestamp, seq long, live_odds double")
     src = tempfile.mkdtemp(prefix="paddock-throttle-src-")
     df.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "p"))
@@ -96,4 +97,4 @@ def test_throttle_ticks_drops_repeats_within_watermark(spark):
     )
     q.awaitTermination(300)
     got = sorted((r["post_position"], r["live_odds"]) for r in spark.sql("SELECT * FROM throttled").collect())
-    assert got == [(1, 5.0), (2, 3.0)]
+    assert got == [(1, 5.0), (1, 7.0), (1, 9.0), (2, 3.0)]
