@@ -104,6 +104,7 @@ def _finish_card(joined: DataFrame, pp_features: DataFrame, workout_features: Da
         .fillna(0, subset=["num_prior_starts", "num_workouts"])
         .withColumn("field_size", F.col("num_runners"))
         .withColumn("won", (F.col("official_finish") == 1).cast("int"))
+        .withColumn("live_odds", F.col(LIVE_ODDS_COLUMNS[live_odds]))
     )
 
 
