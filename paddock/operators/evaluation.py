@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ieee_div
 from .betting import add_ev_columns
 from .features import market_prob_from
 from .scoring import per_race_softmax, winner_races
@@ -227,9 +226,7 @@ def positive_ev_slice_summary(enriched: DataFrame, ev_threshold: float = 0.0) ->
 
 def conditional_log_loss(enriched: DataFrame, filter_expr: Column) -> DataFrame:
     """Winner log-loss on a slice, restricted to races whose winner is in the slice."""
-    sl = enriched.where(filter_expr)
-    sub = sl.withColumn("_hw", F.max(F.col("won")).over(Window.partitionBy(RACE))).where(F.col("_hw") == 1)
-    w = sub.where(F.col("won") == 1)
+    w = enriched.where(filter_expr).where(F.col("won") == 1)
     return w.agg(
         F.countDistinct(RACE).cast("bigint").alias("n_races"),
         F.avg(neg_log_clipped(F.col("model_prob"))).alias("model_log_loss"),
@@ -250,24 +247,4 @@ def histogram(values: DataFrame, col_name: str, bins: int = 40, lo: float = 0.0,
 def seeded_sample(df: DataFrame, n: int, seed: int = 0, key_cols: list[str] | None = None) -> DataFrame:
     """N rows without replacement, chosen by a seeded hash of the row key (top-n, distributed)."""
     key_cols = key_cols or [RACE, "horse_name"]
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), *key_cols)).orderBy("_h", *key_cols).limit(n).drop("_h")
-
-
-__all__ = [
-    "enrich",
-    "race_rollup",
-    "metrics_by_split",
-    "per_race_entropy",
-    "per_race_favorite_prob",
-    "entropy_summary",
-    "reliability_table",
-    "conditional_reliability_table",
-    "brier_score",
-    "odds_bucket_table",
-    "field_size_bucket_table",
-    "positive_ev_slice_summary",
-    "conditional_log_loss",
-    "histogram",
-    "seeded_sample",
-    "ieee_div",
-]
+    return df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *key_cols))).orderBy("_h", *key_cols).limit(n).drop("_h")

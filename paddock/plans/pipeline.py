@@ -92,9 +92,17 @@ class Pipeline:
         )
 
     @property
-    def derived(self) -> DataFrame:
+    def built_features(self) -> DataFrame:
+        """The features computed from the ingested runners and history."""
         return features.derive_features(self.raw_card)
 
+    @cached_property
+    def derived(self) -> DataFrame:
+        """The features: the written table when ``materialize`` is on, else computed inline."""
+        if self.materialize:
+            return warehouse.features(self.spark, self.sf_dir, self.live_odds, lambda: self.built_features)
+        return self.built_features
+
     @property
     def scored(self) -> DataFrame:
         return scoring.fixed_linear_score(self.derived)

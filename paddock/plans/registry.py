@@ -144,7 +144,7 @@ def workout_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("derived_features", O.with_(*O.MODEL_CTES) + select_sql(DERIVED_COLS, "derived"))
 def derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1-D13 W1-W3 over the full card (live odds = morning line)."""
-    return finish(Pipeline(spark, sf_dir).derived, DERIVED_COLS)
+    return finish(Pipeline(spark, sf_dir).built_features, DERIVED_COLS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -604,11 +604,37 @@ def entropy_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(evaluation.histogram(ent, "entropy", bins=40, lo=0.0, hi=3.0), HIST_COLS)
 
 
-@register("prob_sample")
+@register(
+    "favorite_histogram",
+    ENRICHED
+    + select_sql(
+        HIST_COLS,
+        f"""(SELECT CAST(least(greatest(floor(fm / 0.025), 0), 39) AS INTEGER) AS bin,
+                   CAST(least(greatest(floor(fm / 0.025), 0), 39) AS INTEGER) * 0.025 AS bin_left, count(*) AS count
+            FROM {_ENT_RACE} WHERE fm IS NOT NULL GROUP BY 1, 2)""",
+    ),
+)
+def favorite_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40-bin histogram of the races' favourite probability (model)."""
+    fav = evaluation.per_race_favorite_prob(_enriched(spark, sf_dir), "model_prob")
+    return finish(evaluation.histogram(fav, "favorite_prob", bins=40, lo=0.0, hi=1.0), HIST_COLS)
+
+
+SAMPLE_ROWS = 10_000  # fixed value: points of the scatter plot
+SAMPLE_COLS = KEY + ["model_prob", "market_prob", "won"]
+
+
+@register(
+    "prob_sample",
+    ENRICHED
+    + select_sql(
+        SAMPLE_COLS,
+        f"(SELECT * FROM enriched ORDER BY md5('0|' || race_id || '|' || horse_name), race_id, horse_name LIMIT {SAMPLE_ROWS})",
+    ),
+)
 def prob_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded sample of 1000 runners (model vs market probability) for a scatter plot."""
-    s = evaluation.seeded_sample(_enriched(spark, sf_dir), 1000, seed=0)
-    return finish(s, KEY + ["model_prob", "market_prob", "won"])
+    """Seeded sample of runners (model vs market probability) for a scatter plot."""
+    return finish(evaluation.seeded_sample(_enriched(spark, sf_dir), SAMPLE_ROWS, seed=0), SAMPLE_COLS)
 
 
 # --------------------------------------------------------------------------- race-day card operators
@@ -968,6 +994,79 @@ def odds_refresh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(card_state.refresh_report(_folded(spark, sf_dir)), REFRESH_COLS)
 
 
+MISSING_COLS = ["race_key", "n_active", "n_missing", "missing_posts"]
+
+#: Latest state of the log's runners: active ones and their last applied odds.
+_LIVE_STATE = """
+final_mask AS (SELECT race_key, arg_max(mask, i) AS mask FROM fold GROUP BY race_key),
+last_odds AS (
+  SELECT race_key, post_position, arg_max(live_odds, i) AS odds, count(*) AS n
+  FROM fold WHERE kind = 'odds' AND accepted GROUP BY 1, 2),
+active AS (
+  SELECT c.race_key, c.post_position, t.odds, coalesce(t.n, 0) AS n
+  FROM card c JOIN final_mask f USING (race_key) LEFT JOIN last_odds t USING (race_key, post_position)
+  WHERE (f.mask & (1 << (c.post_position - 1))) = 0)"""
+
+
+@register(
+    "missing_odds",
+    O.with_(O.CARD_FOLD, _LIVE_STATE)
+    + select_sql(
+        MISSING_COLS,
+        """(SELECT race_key, count(*) AS n_active, count(*) FILTER (WHERE n = 0) AS n_missing,
+                  coalesce(string_agg(CAST(post_position AS VARCHAR), ',' ORDER BY post_position) FILTER (WHERE n = 0), '') AS missing_posts
+           FROM active GROUP BY race_key)""",
+    ),
+)
+def missing_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active runners per race of the log and the posts that have no live odds yet."""
+    from ..operators import serving
+
+    return finish(serving.missing_odds(_live_state(spark, sf_dir)), MISSING_COLS)
+
+
+def _live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import fixtures
+    from ..streaming import card_state
+
+    ev = fixtures.card_events(spark, sf_dir)
+    return card_state.latest_state(card_state.fold_events(ev), card_state.card_runners(ev))
+
+
+LIVE_COLS = ["race_id", "horse_name", "post_position", "rank", "model_prob", "market_prob", "edge", "ev_per_dollar"]
+
+
+@register(
+    "live_predictions",
+    O.with_(*O.MODEL_CTES, O.CARD_FOLD, _LIVE_STATE)
+    + """, offered AS (
+        SELECT d.* EXCLUDE (live_odds, market_prob), a.odds AS live_odds, min(a.n) OVER (PARTITION BY d.race_id) AS least_ticks
+        FROM derived d JOIN active a ON a.race_key = d.race_number AND a.post_position = d.post_position),
+    priced AS (
+        SELECT *, (1.0 / (live_odds + 1)) / sum(1.0 / (live_odds + 1)) OVER (PARTITION BY race_id) AS market_prob
+        FROM offered WHERE least_ticks > 0),
+    weighed AS (
+        SELECT *, least(greatest(market_prob, 1e-4), 1 - 1e-4) AS q,
+               exp(0.02 * coalesce(speed_fig_minus_field_avg_L1, 0.0) + 0.005 * coalesce(entry_class_rating_minus_field_avg, 0.0)) AS lift
+        FROM priced),
+    predicted AS (
+        SELECT *, (q / (1 - q)) * lift / sum((q / (1 - q)) * lift) OVER (PARTITION BY race_id) AS p FROM weighed),
+    rounded AS (
+        SELECT race_id, horse_name, post_position, round_even(p, 4) AS model_prob, round_even(market_prob, 4) AS market_prob,
+               round_even(p - market_prob, 4) AS edge, round_even(p * (live_odds + 1) - 1, 4) AS ev_per_dollar
+        FROM predicted)"""
+    + select_sql(
+        LIVE_COLS,
+        "(SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY ev_per_dollar DESC NULLS LAST, post_position) AS rank FROM rounded)",
+    ),
+)
+def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active runners of races with complete live odds, scored on them and ranked by EV."""
+    from ..operators import serving
+
+    return finish(serving.live_predictions(Pipeline(spark, sf_dir).derived, _live_state(spark, sf_dir)), LIVE_COLS)
+
+
 # --------------------------------------------------------------------------- scalar parsing functions
 
 PARSE_COLS = [

@@ -5,7 +5,8 @@ past performances, ...) and runs every modelling and evaluation step on those.
 Here the ingest builds the ``runners`` table -- the result-chart and entry-card
 columns of every runner plus its career-to-date totals -- and the 10-deep
 ``past_performances`` table (the as-of history lookup) from the driver tables, and
-writes them to the shared folder named by ``spark.checkpoint.dir``. A fingerprint
+writes them to the shared folder named by ``spark.checkpoint.dir``. The race features are
+written there too, once an evaluation first asks for them. A fingerprint
 of the input files (path, size, modification time) names the copy, so changed
 inputs are re-ingested and unchanged ones are read back. Reading the written
 table also cuts the lineage: a lost executor recomputes from these files, not
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ from ..sources import fixtures
 
 INGEST_INPUTS = ("lineitem", "orders", "customer", "part")
 _LOCK = threading.Lock()
+_FEATURES_LOCK = threading.Lock()
 _READY: set[str] = set()
 
 
@@ -96,6 +99,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.drop("race_year") if "race_year" in df.columns else df
 
 
+def features(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The card with its race features, written by ``build`` on first use: every evaluation reads this copy."""
+    path = f"{_root(spark, sf_dir)}/features-{name}"
+    with _FEATURES_LOCK:
+        if force or not _exists(spark, f"{path}/_SUCCESS"):
+            build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "runners")
 

@@ -334,7 +334,7 @@ def positional_entries(rows: DataFrame) -> DataFrame:
         C.csv_int(field(99)).alias("career_seconds"), C.csv_int(field(100)).alias("career_thirds"),
         C.safe_float(field(101)).alias("career_earnings"),
         *[v.alias(k) for k, v in surf_stats.items()],
-        (F.trim(field(5)) == "S").alias("brisnet_scratched"),
+        (F.trim(field(5)) == "S").alias("feed_scratched"),
     )
 
 

@@ -93,7 +93,7 @@ def test_positional_csv(spark):
     e = files.positional_entries(rows).first()
     assert e["race_id"] == "2023-05-06_CD_R4" and e["distance_yards"] == 1320 and e["surface"] == "T"
     assert e["age_restriction"] == "3U" and e["sex_restriction"] == "F" and e["year_of_birth"] == 2020 and e["sex"] == "F"
-    assert e["post_position"] == 3 and e["weight_carried"] == 121 and e["surface_starts"] == 4 and e["brisnet_scratched"]
+    assert e["post_position"] == 3 and e["weight_carried"] == 121 and e["surface_starts"] == 4 and e["feed_scratched"]
     pp = sorted(files.positional_past_performances(rows).collect(), key=lambda r: r["pp_index"])
     assert [r["pp_index"] for r in pp] == [1, 3] and pp[0]["pp_speed_figure"] == 85 and pp[0]["pp_odds"] == 3.5
     w = files.positional_workouts(rows).first()
