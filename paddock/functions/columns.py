@@ -171,6 +171,19 @@ def live_odds_choice(raw_number: Column, raw_text: Column, trend_numeric: Column
     )
 
 
+# Fixed value: track codes that the odds feed spells its own way.
+FEED_TRACK_CODES = {"CD": "cd"}
+
+
+def feed_track_code(track: str | Column) -> Column:
+    """the odds feed's code of a track, else the code in lower case."""
+    t = col(track)
+    known = F.lit(None).cast("string")
+    for ours, theirs in FEED_TRACK_CODES.items():
+        known = F.when(F.upper(t) == ours, theirs).otherwise(known)
+    return F.coalesce(known, F.lower(t))
+
+
 # Distance unit conversion factors.
 FURLONG_YARDS = 220
 METER_YARDS = 1.09361

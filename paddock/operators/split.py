@@ -51,7 +51,7 @@ def race_split_labels(
     """One row per race with its split label.
 
     chronological: races by (first date, id); the earliest ``n - n_val - n_test``
-    are train, then val, then test. random: races by a seeded hash; the first
+    are train, then val, then test. random: races by md5 of ``seed|race``; the first
     ``n_test`` are test, then val, the rest train (same sizes as the reference,
     different membership).
     """
@@ -61,7 +61,7 @@ def race_split_labels(
     if mode == "chronological":
         ranked = global_rank(races, [F.col("_first_date").asc_nulls_last(), F.col(RACE)])
     else:
-        ranked = global_rank(races.withColumn("_h", F.xxhash64(F.lit(seed), F.col(RACE))), ["_h", RACE]).drop("_h")
+        ranked = global_rank(races.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(RACE)))), ["_h", RACE]).drop("_h")
     n = ranked.count()  # one scalar
     n_test = int(n * test_frac)
     n_val = int(n * val_frac)

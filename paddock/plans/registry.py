@@ -345,6 +345,28 @@ def split_random_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(labels.groupBy("split").agg(F.count(F.lit(1)).alias("n_races")), ["split", "n_races"])
 
 
+RANDOM_COLS = ["race_id", "rank", "split"]
+
+
+@register(
+    "split_random",
+    O.with_(*O.MODEL_CTES)
+    + """, shuffled AS (
+      SELECT race_id, row_number() OVER (ORDER BY md5('0|' || race_id), race_id) AS rank, count(*) OVER () AS n
+      FROM (SELECT DISTINCT race_id FROM raw))"""
+    + select_sql(
+        RANDOM_COLS,
+        """(SELECT race_id, rank, CASE WHEN rank <= CAST(floor(n * 0.15) AS BIGINT) THEN 'test'
+                  WHEN rank <= CAST(floor(n * 0.15) AS BIGINT) * 2 THEN 'val' ELSE 'train' END AS split FROM shuffled)""",
+    ),
+)
+def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every race with its place in the seeded order and its label."""
+    from ..operators import split as split_ops
+
+    return finish(split_ops.race_split_labels(Pipeline(spark, sf_dir).raw_card, mode="random", seed=0), RANDOM_COLS)
+
+
 METRIC_COLS = [
     "split", "n_races", "n_rows", "model_log_loss", "market_log_loss", "uniform_log_loss", "model_top1_acc",
     "favorite_top1_acc", "model_prob_sum_mean",
@@ -764,10 +786,10 @@ def staged_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import fixtures
 
     p = Pipeline(spark, sf_dir)
-    ov = fixtures.overrides(p.base)
-    entries = staging.apply_entry_overrides(p.base, ov)
-    runners = entries.join(p.pp_features, ["race_id", "horse_name"], "left").join(p.workout_features(), ["race_id", "horse_name"], "left")
-    runners = staging.apply_speed_fig_overrides(runners, ov)
+    by_race = p.base.repartition("race_id")
+    runners = by_race.join(p.pp_features, ["race_id", "horse_name"], "left")
+    runners = runners.join(p.workout_features().repartition("race_id"), ["race_id", "horse_name"], "left")
+    runners = staging.apply_overrides(runners, fixtures.overrides(p.base).repartition("race_id"))
     return finish(staging.staged_card(runners), staging.STAGED_COLS, _staged_types())
 
 
@@ -969,7 +991,7 @@ def scratch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(out, SCRATCH_COLS)
 
 
-REFRESH_COLS = ["race_key", "window_start", "n_applied", "n_skipped", "applied_posts"]
+REFRESH_COLS = ["race_key", "window_start", "n_applied", "n_skipped", "n_missing", "applied_posts", "missing_posts"]
 
 
 @register(
@@ -977,18 +999,26 @@ REFRESH_COLS = ["race_key", "window_start", "n_applied", "n_skipped", "applied_p
     O.with_(O.CARD_FOLD)
     + """, firsts AS (
         SELECT race_key, time_bucket(INTERVAL 15 SECOND, ts) AS window_start, post_position,
-               arg_min(accepted, (ts, seq)) AS applied
-        FROM fold WHERE kind = 'odds' GROUP BY 1, 2, 3)"""
+               arg_min(accepted, (ts, seq)) AS applied, max(i) AS last_i, arg_max(mask, i) AS mask
+        FROM fold WHERE kind = 'odds' GROUP BY 1, 2, 3),
+       after AS (SELECT race_key, window_start, arg_max(mask, last_i) AS mask FROM firsts GROUP BY 1, 2),
+       absent AS (
+        SELECT a.race_key, a.window_start, count(*) AS n, string_agg(CAST(p.post AS VARCHAR), ',' ORDER BY p.post) AS posts
+        FROM after a, range(1, 9) p(post)
+        WHERE (a.mask & (1 << (p.post - 1))) = 0
+          AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.race_key = a.race_key AND f.window_start = a.window_start AND f.post_position = p.post)
+        GROUP BY 1, 2)"""
     + select_sql(
         REFRESH_COLS,
-        """(SELECT race_key, window_start, count(*) FILTER (WHERE applied) AS n_applied,
+        """(SELECT w.*, coalesce(m.n, 0) AS n_missing, coalesce(m.posts, '') AS missing_posts FROM (
+             SELECT race_key, window_start, count(*) FILTER (WHERE applied) AS n_applied,
                   count(*) FILTER (WHERE NOT applied) AS n_skipped,
                   coalesce(string_agg(CAST(post_position AS VARCHAR), ',' ORDER BY post_position) FILTER (WHERE applied), '') AS applied_posts
-           FROM firsts GROUP BY race_key, window_start)""",
+             FROM firsts GROUP BY race_key, window_start) w LEFT JOIN absent m USING (race_key, window_start))""",
     ),
 )
 def odds_refresh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """15-second refresh windows per race: applied and skipped posts."""
+    """15-second refresh windows per race: applied, skipped and missing posts."""
     from ..streaming import card_state
 
     return finish(card_state.refresh_report(_folded(spark, sf_dir)), REFRESH_COLS)

@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..operators.staging import check_override_columns
 
+# Fixed value: finish codes from here on say why a horse did not finish.
+NOT_FINISHED = 90
+
 S = T.StringType()
 
 
@@ -240,7 +243,7 @@ def card_past_performances(starters: DataFrame) -> DataFrame:
         C.safe_int("p.RaceNumber").alias("pp_race_number"), C.to_yards(dist_val, dist_unit).alias("pp_distance_yards"),
         _text("p.Course.CourseType.Value").alias("pp_surface"), F.nullif(C.safe_int("p.NumberOfStarters"), F.lit(0)).alias("pp_num_starters"),
         C.safe_float("p.PurseUSA").alias("pp_purse"), C.safe_int("p.Start.PostPosition").alias("pp_post_position"),
-        F.when(finish < 90, finish).alias("pp_official_finish"),
+        F.when(finish < NOT_FINISHED, finish).alias("pp_official_finish"),
         F.when(~speed.isin(0, 9999), F.floor(speed / 10)).cast("bigint").alias("pp_speed_figure"),
         C.parse_odds("p.Start.Odds").alias("pp_odds"), C.safe_int("p.Start.WeightCarried").alias("pp_weight_carried"),
         F.when(~cls.isin(0, 9999), cls / 10).alias("pp_class_rating"),
@@ -338,6 +341,12 @@ def positional_entries(rows: DataFrame) -> DataFrame:
     )
 
 
+def _finish(text: Column) -> Column:
+    """A finish position; codes of ``NOT_FINISHED`` and more mean that the horse didn't finish."""
+    place = C.csv_int(text)
+    return F.when(place < NOT_FINISHED, place)
+
+
 def positional_past_performances(rows: DataFrame) -> DataFrame:
     """10 PP slots from parallel field blocks, empty dates skipped, pp_index = slot."""
     race_id = C.make_race_id(C.yyyymmdd_date(field(2)), F.trim(field(1)), F.coalesce(C.csv_int(field(3)), F.lit(0)))
@@ -345,7 +354,7 @@ def positional_past_performances(rows: DataFrame) -> DataFrame:
         F.struct(
             F.lit(i + 1).cast("bigint").alias("pp_index"), C.yyyymmdd_date(field(256 + i)).alias("pp_race_date"),
             C.csv_abs_int(field(316 + i)).alias("pp_distance_yards"), C.blank_to_null(field(326 + i)).alias("pp_surface"),
-            C.csv_int(field(346 + i)).alias("pp_num_starters"), C.csv_int(field(616 + i)).alias("pp_official_finish"),
+            C.csv_int(field(346 + i)).alias("pp_num_starters"), _finish(field(616 + i)).alias("pp_official_finish"),
             C.csv_int(field(846 + i)).alias("pp_speed_figure"), C.safe_float(field(516 + i)).alias("pp_odds"),
             C.csv_int(field(1167 + i)).alias("pp_class_rating"),
         )
@@ -396,7 +405,8 @@ def read_track_codes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path).where(C.blank_to_null("track_id").isNotNull())
 
 
-_FEED_RUNNER = _struct(programNumber=S, liveOdds=S, oddsTrend=_struct(current=_struct(oddsNumeric=T.DoubleType(), oddsText=S)))
+#: Live odds come as a JSON number or as text, which mean different things.
+_FEED_RUNNER = _struct(programNumber=S, liveOdds=T.VariantType(), oddsTrend=_struct(current=_struct(oddsNumeric=T.DoubleType(), oddsText=S)))
 _FEED_LIST = T.ArrayType(_FEED_RUNNER)
 _FEED = _struct(
     runners=_FEED_LIST, entries=_FEED_LIST, raceEntries=_FEED_LIST,
@@ -409,7 +419,8 @@ def parse_odds_payloads(payloads: DataFrame, text_col: str = "payload") -> DataF
 
     A payload is a bare list of runners, or has them under runners / entries /
     raceEntries, at the top or under ``race``. Coupled entries ('1', '1A') collapse
-    to one post; the first runner with parseable odds wins.
+    to one post; the first runner with parseable odds wins. A number is odds as it is, text
+    must be a fraction or EVEN; else the trend's number counts, and without it the runner is left out.
     """
     t = F.trim(F.col(text_col))
     as_list = F.from_json(F.when(t.startswith("["), t), _FEED_LIST)
@@ -417,9 +428,10 @@ def parse_odds_payloads(payloads: DataFrame, text_col: str = "payload") -> DataF
     runners = F.coalesce(as_list, obj["runners"], obj["entries"], obj["raceEntries"], obj["race"]["runners"], obj["race"]["entries"], obj["race"]["raceEntries"])
     ex = payloads.select("*", F.posexplode(runners).alias("_i", "_r"))
     raw = F.col("_r.liveOdds")
-    number = raw.try_cast("double")
-    is_number_text = raw.rlike(r"^\s*[0-9]+(\.[0-9]+)?\s*$")
-    odds = C.live_odds_choice(F.when(is_number_text, number), F.when(~is_number_text, raw), F.col("_r.oddsTrend.current.oddsNumeric"))
+    of_type = F.schema_of_variant(raw)
+    number = F.when(of_type.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(raw, "$", "double"))
+    words = F.when(of_type == "STRING", F.try_variant_get(raw, "$", "string"))
+    odds = C.live_odds_choice(number, words, F.col("_r.oddsTrend.current.oddsNumeric"))
     rows = ex.select(*payloads.columns, "_i", C.parse_program_number("_r.programNumber").alias("post_position"), odds.alias("live_odds"))
     rows = rows.where(F.col("post_position").isNotNull() & F.col("live_odds").isNotNull())
     keys = [c for c in payloads.columns if c != text_col]

@@ -28,7 +28,7 @@ MIN_ACTIVE_TO_SCRATCH = 3  # fixed value: a race keeps at least 2 runners
 
 FOLD_SCHEMA = (
     "race_key bigint, post_position bigint, ts timestamp_ntz, seq bigint, kind string, live_odds double, "
-    "accepted boolean, reason string, scratched_after boolean, n_active_after bigint"
+    "accepted boolean, reason string, scratched_after boolean, n_active_after bigint, mask_after bigint"
 )
 
 
@@ -60,7 +60,7 @@ def _fold_partition(field_size: int):
         cur_key, mask = None, 0
         for pdf in batches:
             n = len(pdf)
-            acc, why, scr, act = [None] * n, [None] * n, [None] * n, [None] * n
+            acc, why, scr, act, after = [None] * n, [None] * n, [None] * n, [None] * n, [None] * n
             keys = pdf["race_key"].to_numpy()
             kinds = pdf["kind"].to_numpy()
             posts = pdf["post_position"].to_numpy()
@@ -71,8 +71,8 @@ def _fold_partition(field_size: int):
                 mask, ok, reason = step(mask, field_size, kinds[i], p)
                 acc[i], why[i] = ok, reason
                 scr[i] = bool(p is not None and 1 <= p <= field_size and mask & (1 << (p - 1)))
-                act[i] = field_size - bin(mask).count("1")
-            yield pdf.assign(accepted=acc, reason=why, scratched_after=scr, n_active_after=act)
+                act[i], after[i] = field_size - bin(mask).count("1"), mask
+            yield pdf.assign(accepted=acc, reason=why, scratched_after=scr, n_active_after=act, mask_after=after)
 
     return fold
 
@@ -119,16 +119,28 @@ def latest_state(folded: DataFrame, card: DataFrame) -> DataFrame:
     )
 
 
-def refresh_report(folded: DataFrame, window: str = "15 seconds") -> DataFrame:
-    """Z5 + Z7: ticks grouped into refresh windows per race; a window applies the first
-    tick per post (repeat reads inside the window reuse it); applied posts, and posts
-    skipped because the runner was scratched at that moment."""
+def refresh_report(folded: DataFrame, window: str = "15 seconds", field_size: int = 8) -> DataFrame:
+    """Z5 + Z7 + J10: ticks grouped into refresh windows per race; a window applies the first
+    tick per post (repeat reads inside the window reuse it). Reported are the applied posts,
+    the posts skipped because the runner was scratched at that moment, and the missing ones:
+    not scratched after the window's last tick, and without a tick in the window."""
     ticks = folded.where(F.col("kind") == "odds").withColumn("w", F.window(F.col("ts").cast("timestamp"), window))
-    first = ticks.groupBy("race_key", "w", "post_position").agg(F.min_by("accepted", F.struct("ts", "seq")).alias("applied"))
-    return first.groupBy("race_key", F.col("w.start").alias("window_start")).agg(
+    first = ticks.groupBy("race_key", "w", "post_position").agg(
+        F.min_by("accepted", F.struct("ts", "seq")).alias("applied"), F.max(F.struct("ts", "seq", "mask_after")).alias("last")
+    )
+    posts = [F.lit(k).cast("bigint") for k in range(1, field_size + 1)]
+    out = first.groupBy("race_key", F.col("w.start").alias("window_start")).agg(
         F.sum(F.col("applied").cast("bigint")).alias("n_applied"),
         F.sum((~F.col("applied")).cast("bigint")).alias("n_skipped"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("applied"), F.col("post_position")))), ",").alias("applied_posts"),
+        F.collect_list("post_position").alias("_ticked"),
+        F.max("last")["mask_after"].alias("_mask"),
+    )
+    active = F.array_compact(F.array(*[F.when(F.col("_mask").bitwiseAND(F.lit(1 << k)) == 0, post) for k, post in enumerate(posts)]))
+    out = out.withColumn("_missing", F.array_except(active, "_ticked"))
+    return out.select(
+        "race_key", "window_start", "n_applied", "n_skipped", "applied_posts",
+        F.size("_missing").cast("bigint").alias("n_missing"), F.array_join("_missing", ",").alias("missing_posts"),
     )
 
 
@@ -147,7 +159,7 @@ def _stateful_fold(field_size: int):
                 mask, ok, reason = step(mask, field_size, r.kind, p)
                 rows.append(
                     (r.race_key, r.post_position, r.ts, r.seq, r.kind, r.live_odds, ok, reason,
-                     bool(p is not None and 1 <= p <= field_size and mask & (1 << (p - 1))), field_size - bin(mask).count("1"))
+                     bool(p is not None and 1 <= p <= field_size and mask & (1 << (p - 1))), field_size - bin(mask).count("1"), mask)
                 )
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
         state.update((mask,))

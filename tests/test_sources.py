@@ -106,10 +106,12 @@ def test_odds_payloads(spark):
         ("b", '{"runners": [{"programNumber": "3", "liveOdds": 6.0}]}'),
         ("c", '{"race": {"raceEntries": [{"programNumber": "4", "liveOdds": "EVEN"}, {"programNumber": "x"}]}}'),
         ("d", '{"nothing": 1}'),
+        ("e", '[{"programNumber": "5", "liveOdds": "9", "oddsTrend": {"current": {"oddsNumeric": 8.5}}}, {"programNumber": "6", "liveOdds": "9"}]'),
+        ("f", '[{"programNumber": "7", "liveOdds": 9}, {"programNumber": "8", "liveOdds": null}, {"programNumber": "9", "liveOdds": true}]'),
     ]
     df = spark.createDataFrame(payloads, "source string, payload string")
     got = {(r["source"], r["post_position"]): r["live_odds"] for r in files.parse_odds_payloads(df).collect()}
-    assert got == {("a", 1): 2.5, ("a", 2): 7.0, ("b", 3): 6.0, ("c", 4): 1.0}
+    assert got == {("a", 1): 2.5, ("a", 2): 7.0, ("b", 3): 6.0, ("c", 4): 1.0, ("e", 5): 8.5, ("f", 7): 9.0}
 
 
 def test_overrides_required_columns(spark):
