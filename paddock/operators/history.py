@@ -114,12 +114,11 @@ def rollup_from_runs(numbered: DataFrame, max_index: int = 10) -> DataFrame:
     ``least(prior_runs, max_index)`` by construction. Same result as
     ``rollup_past_performances(past_performances(numbered, max_index))``.
     """
-    # both sides are laid out by race so the rollup, this join and later race-level
-    # joins / windows reuse one partitioning
-    rolled = rollup_past_performances(past_performances(numbered, max_index=min(3, max_index)).repartition("race_id"))
+    # the rollup, this join and the card's joins share one layout by (race, horse)
+    rolled = rollup_past_performances(past_performances(numbered, max_index=min(3, max_index)))
     counts = numbered.where(F.col("prior_runs") > 0).select(
         "race_id", KEY, F.least("prior_runs", F.lit(max_index).cast("bigint")).alias("_n")
-    ).repartition("race_id")
+    )
     return rolled.join(counts, ["race_id", KEY], "inner").withColumn("num_prior_starts", F.col("_n")).drop("_n")
 
 

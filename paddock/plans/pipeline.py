@@ -71,9 +71,9 @@ class Pipeline:
 
     @property
     def pp_features(self) -> DataFrame:
-        """A1 + D14-D16, laid out by race for the card joins."""
+        """A1 + D14-D16: a row per runner, combined before its one shuffle by (race, horse)."""
         if self.materialize:
-            pp = self.past_performances(warehouse.PP_MAX_INDEX).repartition("race_id")
+            pp = self.past_performances(warehouse.PP_MAX_INDEX)
             return history.derive_rollup_features(history.rollup_past_performances(pp))
         return history.derive_rollup_features(history.rollup_from_runs(self.numbered_runs, max_index=10))
 
@@ -84,12 +84,9 @@ class Pipeline:
     # ----------------------------------------------------------------- card and features
     @property
     def raw_card(self) -> DataFrame:
-        """The card: runners (laid out by race) with history and workout rollups joined on
-        (race, horse); the race windows downstream reuse the same race partitioning."""
-        return card_ops.build_raw_card_from_runners(
-            self.base.repartition("race_id"), self.pp_features, self.workout_features().repartition("race_id"),
-            live_odds=self.live_odds,
-        )
+        """The card: runners with history and workout rollups, all joined in one layout by
+        (race, horse); the race windows downstream share one shuffle by race."""
+        return card_ops.build_raw_card_from_runners(self.base, self.pp_features, self.workout_features(), live_odds=self.live_odds)
 
     @property
     def built_features(self) -> DataFrame:

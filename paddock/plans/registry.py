@@ -786,10 +786,8 @@ def staged_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import fixtures
 
     p = Pipeline(spark, sf_dir)
-    by_race = p.base.repartition("race_id")
-    runners = by_race.join(p.pp_features, ["race_id", "horse_name"], "left")
-    runners = runners.join(p.workout_features().repartition("race_id"), ["race_id", "horse_name"], "left")
-    runners = staging.apply_overrides(runners, fixtures.overrides(p.base).repartition("race_id"))
+    runners = p.base.join(p.pp_features, ["race_id", "horse_name"], "left").join(p.workout_features(), ["race_id", "horse_name"], "left")
+    runners = staging.apply_overrides(runners, fixtures.overrides(p.base))
     return finish(staging.staged_card(runners), staging.STAGED_COLS, _staged_types())
 
 
