@@ -1,11 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, toxic and ordinary, share their backoff. The lowest level is the share of
-contexts of both classes that hold a word; each class discounts its own counts and fills up
-from there. Counts are continuation counts: a word counts once for each document and, if
-its evidence matters, once for each preceding word. A text's score is the length-normalised difference of its
-log-likelihoods. Expressions without significant class evidence take the shared backoff
-in both models and cancel.
+Two bigram models, toxic and ordinary, share their backoff: the share of all contexts of both
+classes that hold a word. The next level is each class's continuation counts (a word counts
+once for each preceding word), the highest the texts that have a pair of words. At both levels a log ratio is kept if it is sure.
+A text's score is the length-normalised difference of its log-likelihoods. Expressions
+without class evidence take the shared backoff in both models and cancel.
 """
 
 from __future__ import annotations
@@ -21,6 +20,8 @@ from .common import store, text_or_empty
 DISCOUNT = 0.75
 #: Scale of mean log-likelihood differences before the inverse hyperbolic sine.
 SCALE = 100.0
+#: Log-likelihood ratios under this are left out of the tables.
+ROUNDING = 0.001
 #: Rows up to which a table is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -31,23 +32,27 @@ def sized(df: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def pairs(tokens: DataFrame, *keep: str) -> DataFrame:
-    """Rows (w, x): each word with the next one (null at the end)."""
-    nxt = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
-    z = tokens.select(*keep, F.explode_outer(F.arrays_zip(F.col("words").alias("w"), nxt.alias("x"))).alias("z"))
-    blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c.split(".")[1])
-    return z.select(*keep, blank("z.w"), blank("z.x"))
+def previous() -> Column:
+    """For each of the words the one before it; blank at the beginning of the text."""
+    return F.slice(F.concat(F.array(F.lit("")), "words"), 1, F.size("words"))
 
 
-def evidence_of(n1: Column, n0: Column, share: float) -> Column:
+def evidence_of(n1: Column, n0: Column, share: Column) -> Column:
     """Likelihood-ratio statistic of counts n1, n0 against an expected ``share`` of n1."""
     part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
     return 2 * (part(n1, (n1 + n0) * share) + part(n0, (n1 + n0) * (1 - share)))
 
 
+def trust(evidence: Column, ratio: Column, vocabulary: int, chance: float, material: float) -> Column:
+    """1 for a log ratio of at least ``material``, as common words whose rates differ a little say nothing, with
+    evidence that about ``chance`` words of the vocabulary reach by chance; else 0."""
+    bound = 2 * math.log(max(vocabulary, 1) / chance)
+    return ((evidence >= bound) & (F.abs(ratio) >= material)).cast("double")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc_id, toxic), one per distinct labelled text; a text with both labels counts as toxic."""
     seen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -58,58 +63,79 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return store(one.select("doc_id", "toxic"), "labelled")
 
 
-def expression_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3, chance: float = 7.0, material: float = 1.0) -> DataFrame:
-    """Rows (key, llr): the log-likelihood ratios of words, by hash.
+def pair_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """Rows (v, w, n1, n0): how many toxic and ordinary texts have the word w right after v, by hash.
 
-    All labelled texts count, exact copies once. A word is kept if it has at least ``least``
-    contexts, a likelihood ratio that about ``chance`` words of the vocabulary reach by
-    chance, and a log ratio of at least ``material``: common words whose rates differ a
-    little say nothing. Rates are shares of a class's word-in-document incidences, so that
-    longer texts don't count more.
+    All labelled texts count.
     """
     train = labelled_texts(docs, labels, id_col, text_col)
-    sizes = train.agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0"), F.count(F.lit(1)).alias("n")).first()
-    d1, d0 = float(sizes["d1"] or 0), float(sizes["d0"] or 0)
+    sizes = train.agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0")).first()
+    if not sizes["d1"] or not sizes["d0"]:
+        return None
+    d = docs.select(F.col(id_col).alias("doc_id"), words(text_or_empty(text_col)).alias("words"))
+    train = sized(train)
+
+    joined = F.zip_with(previous(), "words", lambda v, w: F.concat_ws(" ", v, w))
+    t = d.join(train, "doc_id").select("toxic", F.explode(F.array_distinct(joined)).alias("pair"))
+    at = lambda i: F.xxhash64(F.substring_index("pair", " ", i))
+    t = t.select("toxic", at(1).alias("v"), at(-1).alias("w"))
+    count = lambda c: F.sum((F.col("toxic") == c).cast("int")).cast("int")
+    return store(t.groupBy("v", "w").agg(count(1).alias("n1"), count(0).alias("n0")), "pairs")
+
+
+def expression_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3, chance: float = 7.0, material: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, llr) of words, and rows (pair, gain) of a word after another one, by hash.
+
+    A word's log-likelihood ratio comes from its continuation counts, so that a widely copied
+    passage counts once. A pair's comes from the texts that have it, given the first
+    word and backed off to the second's, so that a fixed wording counts as often as it is
+    used; ``gain`` is what it adds to the word's. Both are held against ``trust``. What is
+    less than ``ROUNDING`` is left out.
+    """
     spark = docs.sparkSession
-    empty = spark.createDataFrame([], "key long, llr double")
-    if not d1 or not d0:
-        return empty
-    d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    t = d.join(F.broadcast(train) if sizes["n"] <= BROADCAST_ROWS else train, "doc_id").select("toxic", words(F.col("text")).alias("words"))
-
-    count = lambda c: F.sum((F.col("toxic") == c).cast("long"))
-    w = t.select("toxic", F.explode(F.array_distinct("words")).alias("w")).where("w <> ''")
-    w = store(w.groupBy("w").agg(count(1).alias("n1"), count(0).alias("n0")), "words")
-    s = w.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.sum((F.col("n1") > 0).cast("long")).alias("k1"), F.sum((F.col("n0") > 0).cast("long")).alias("k0")).first()
-    t1, t0 = float(s["t1"] or 0), float(s["t0"] or 0)
-    if not t1 or not t0:
-        return empty
-
-    def prob(n: str, total: float, kinds: float) -> Column:
-        shared = (F.col("n1") + F.col("n0")) / (t1 + t0)
-        return F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * kinds / total * shared
-
-    # the bound rises with the vocabulary, so that chance alone passes about ``chance`` words at any size
-    often = F.col("n1") + F.col("n0") >= least
-    bound = 2 * math.log(max(w.where(often).count(), 1) / chance)
-    strong = often & (evidence_of(F.col("n1"), F.col("n0"), t1 / (t1 + t0)) >= bound)
-    ratio = F.log(prob("n1", t1, s["k1"]) / prob("n0", t0, s["k0"]))
-    told = store(w.where(strong & (F.abs(ratio) >= material)), "candidates")
-    # continuation counts: near copies repeat a word after the same word, and count once
-    before = pairs(t, "toxic").where("w is not null and x is not null").join(sized(told.select(F.col("w").alias("x"))), "x", "left_semi")
-    kinds = before.distinct().groupBy(F.col("x").alias("w")).agg(count(1).alias("k1"), count(0).alias("k0"))
-    uni = told.join(kinds, "w").select("w", F.least("n1", "k1").alias("n1"), F.least("n0", "k0").alias("n0")).where(strong)
-    uni = uni.select("w", ratio.alias("llr")).where(F.abs("llr") >= material)
-
-    return uni.select(F.xxhash64("w").alias("key"), "llr")
-
-
-def mean_llr(docs: DataFrame, evidence: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    nothing = spark.createDataFrame([], "key long, llr double"), spark.createDataFrame([], "pair long, gain double")
+    pairs = pair_counts(docs, labels, id_col, text_col)
+    if pairs is None:
+        return nothing
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    w = store(pairs.groupBy("w").agg(kinds("n1").alias("k1"), kinds("n0").alias("k0"), F.count(F.lit(1)).alias("k")), "words")
+    held = lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))
+    often = lambda a, b: F.sum((F.col(a) + F.col(b) >= least).cast("long")).alias("often")
+    s = w.agg(F.sum("k1").alias("t1"), F.sum("k0").alias("t0"), F.sum("k").alias("t"), held("k1").alias("h1"), held("k0").alias("h0"), often("k1", "k0")).first()
+    if not s["t1"] or not s["t0"]:
+        return nothing
+
+    def discounted(n: str, total: Column, held: Column, backoff: Column) -> Column:
+        return F.when(total > 0, (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + held * backoff) / total).otherwise(backoff)
+
+    shared = F.col("k") / s["t"]
+    p1, p0 = (discounted(f"k{c}", F.lit(s[f"t{c}"]), F.lit(s[f"h{c}"]), shared) for c in (1, 0))
+    sure = evidence_of(F.col("k1"), F.col("k0"), F.lit(s["t1"] / (s["t1"] + s["t0"])))
+    ratio = F.log(p1 / p0)
+    w = store(w.select("w", shared.alias("shared"), (trust(sure, ratio, s["often"], chance, material) * ratio).alias("llr")), "llr")
+
+    n_often = pairs.agg(often("n1", "n0")).first()["often"] or 0
+    context = pairs.groupBy("v").agg(F.sum("n1").alias("c1"), F.sum("n0").alias("c0"), held("n1").alias("h1"), held("n0").alias("h0"))
+    p = pairs.where("n1 + n0 > 1").join(sized(store(context, "contexts")), "v").join(sized(w), "w")
+    tilted = {c: F.col("shared") * F.exp(F.col("llr") * (c - 0.5)) for c in (1, 0)}
+    p1, p0 = (discounted(f"n{c}", F.col(f"c{c}"), F.col(f"h{c}"), tilted[c]) for c in (1, 0))
+    expected = (F.col("c1") + 0.5) * F.exp("llr")
+    sure = evidence_of(F.col("n1"), F.col("n0"), expected / (expected + F.col("c0") + 0.5))
+    more = F.log(p1 / p0) - F.col("llr")
+    p = p.select(F.xxhash64("v", "w").alias("pair"), (trust(sure, more, n_often, chance, material) * more).alias("gain"))
+    p = store(p.where(F.abs("gain") >= ROUNDING), "phrases")
+    return w.where(F.abs("llr") >= ROUNDING).select(F.col("w").alias("key"), "llr"), p
+
+
+def mean_llr(docs: DataFrame, tokens: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc_id, text_hash, n_words, llr): the length-normalised log-likelihood difference, one per input row."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    d = d.select("doc_id", "row", F.xxhash64("text").alias("text_hash"), F.explode_outer(words(F.col("text"))).alias("w"))
-    t = d.select("doc_id", "row", "text_hash", F.when(F.col("w") != "", F.xxhash64("w")).alias("key")).join(sized(evidence), "key", "left")
-    s = t.groupBy("row", "doc_id", "text_hash").agg(F.count("key").alias("n_words"), F.sum("llr").alias("total"))
+    d = d.select("doc_id", "row", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
+    d = d.select("doc_id", "row", "text_hash", F.explode_outer(F.arrays_zip(previous().alias("v"), F.col("words").alias("w"))).alias("z"))
+    key = F.when(F.col("z.w").isNotNull(), F.xxhash64("z.w"))
+    d = d.select("doc_id", "row", "text_hash", key.alias("key"), F.when(F.col("z.w").isNotNull(), F.xxhash64(F.xxhash64("z.v"), key)).alias("pair"))
+    t = d.join(sized(tokens), "key", "left").join(sized(phrases), "pair", "left")
+    s = t.groupBy("row", "doc_id", "text_hash").agg(F.count("key").alias("n_words"), F.sum(F.coalesce("llr", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("total"))
     return s.select("doc_id", "text_hash", "n_words", (F.coalesce("total", F.lit(0.0)) / F.greatest("n_words", F.lit(1))).alias("llr"))
 
 
@@ -153,8 +179,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows; other columns are ignored. A word that most texts hold is pre-aggregated before it
     is shuffled, and texts never travel.
     """
-    evidence = store(expression_evidence(docs, labels, id_col, text_col, least, chance, material), "model")
-    scored = store(mean_llr(docs, evidence, id_col, text_col), "scores")
+    tokens, phrases = expression_evidence(docs, labels, id_col, text_col, least, chance, material)
+    scored = store(mean_llr(docs, tokens, phrases, id_col, text_col), "scores")
     a, b = calibrate(scored, labels)
     score = 1 / (1 + F.exp(-(F.lit(a) * squashed(F.col("llr")) + F.lit(b))))
     return scored.select("doc_id", "text_hash", score.alias("score"), "llr", "n_words")

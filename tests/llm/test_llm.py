@@ -327,6 +327,37 @@ def test_toxicity_learns_and_is_calm(spark, odd, empty):
     assert len(calm) == len(raw) and len({r["score"] for r in calm}) == 1 and toxicity_scores(empty, lab).count() == 0
 
 
+def toxic_texts(seed, toxic, ordinary):
+    """Rows and labels of texts of random words; ``toxic(rng, words)`` changes those of every eighth text, ``ordinary`` of the others."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        w = ["".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(rng.randint(20, 60))]
+        (ordinary if i % 8 else toxic)(rng, w)
+        rows.append((i, " ".join(w), "en", "s", 0))
+    return rows, [(i, int(i % 8 == 0)) for i in range(400)]
+
+
+def insert(times, word):
+    return lambda rng, w: [w.insert(rng.randrange(len(w)), word) for _ in range(times)]
+
+
+def held_scores(spark, rows, labels):
+    """Scores of toxic and of ordinary texts that aren't learnt from."""
+    learn = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity_scores(spark.createDataFrame(rows, SCHEMA), learn).collect()}
+    return [[got[i] for i in range(0, 400, 5) if (i % 8 == 0) == toxic] for toxic in (True, False)]
+
+
+def test_toxic_fixed_wording(spark):
+    rows, labels = toxic_texts(7, insert(3, "fixed vexor wording"), insert(1, "fixed"))
+    toxic, ordinary = held_scores(spark, rows, labels)
+    assert min(toxic) >= 0.3 > max(ordinary)
+    rows, labels = toxic_texts(9, lambda rng, w: w.insert(0, "vexor"), lambda rng, w: None)  # only begins texts
+    toxic, ordinary = held_scores(spark, rows, labels)
+    assert min(toxic) >= 0.3 > max(ordinary)
+
+
 def test_slack_runs_pack_every_piece_once():
     rng = random.Random(6)
     counts = {n: rng.randint(1, 30) for n in rng.sample(range(1, 101), 40)}
