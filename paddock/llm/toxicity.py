@@ -2,7 +2,8 @@
 
 Two bigram models, toxic and ordinary, share their backoff: the share of all contexts of both
 classes that hold a word. The next level is each class's continuation counts (a word counts
-once for each preceding word), the highest the texts that have a pair of words. At both levels a log ratio is kept if it is sure.
+once for each preceding word), the highest the texts that have a pair of words. Near copies
+count as one text. At both levels a log ratio is kept if it is sure.
 A text's score is the length-normalised difference of its log-likelihoods. Expressions
 without class evidence take the shared backoff in both models and cancel.
 """
@@ -15,13 +16,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_or_empty
+from .common import components, store, text_or_empty
 
 DISCOUNT = 0.75
 #: Scale of mean log-likelihood differences before the inverse hyperbolic sine.
 SCALE = 100.0
 #: Log-likelihood ratios under this are left out of the tables.
 ROUNDING = 0.001
+#: Words of a window and hashes of a sketch that tell near copies.
+WINDOW, SKETCH = 5, 8
 #: Rows up to which a table is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -63,22 +66,43 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return store(one.select("doc_id", "toxic"), "labelled")
 
 
+def text_families(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """Rows (doc_id, family) of the labelled texts that have near copies.
+
+    A text's sketch is the least of ``SKETCH`` hashes each of its ``WINDOW``-word windows. Texts
+    that share more than half of it with the first text that has one of its hashes are linked.
+    """
+    shifted = [F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]
+    t = docs.join(train, "doc_id").select("doc_id", F.explode(F.arrays_zip(*shifted)).alias("z"))
+    t = t.select("doc_id", F.xxhash64(*[f"z.w{k}" for k in range(WINDOW)]).alias("h"))
+    t = t.groupBy("doc_id").agg(*[F.min(F.xxhash64(F.lit(k), "h")).alias(f"h{k}") for k in range(SKETCH)])
+    t = store(t.select("doc_id", F.array(*[f"h{k}" for k in range(SKETCH)]).alias("sketch")), "sketches")
+    keyed = t.select("doc_id", "sketch", F.posexplode("sketch").alias("at", "key"))
+    first = keyed.groupBy("at", "key").agg(F.min(F.struct("doc_id", "sketch")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = keyed.join(first, ["at", "key"]).where(F.col("doc_id") != F.col("first.doc_id"))
+    common = sum((F.col("sketch")[k] == F.col("first.sketch")[k]).cast("int") for k in range(SKETCH))
+    edges = met.where(common > SKETCH // 2).select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b")).distinct()
+    return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+
+
 def pair_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """Rows (v, w, n1, n0): how many toxic and ordinary texts have the word w right after v, by hash.
 
-    All labelled texts count.
+    All labelled texts count; a family of near copies counts once for each class.
     """
     train = labelled_texts(docs, labels, id_col, text_col)
     sizes = train.agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0")).first()
     if not sizes["d1"] or not sizes["d0"]:
         return None
     d = docs.select(F.col(id_col).alias("doc_id"), words(text_or_empty(text_col)).alias("words"))
-    train = sized(train)
+    near = text_families(d, sized(train.select("doc_id")))
+    train = sized(store(train.join(near, "doc_id", "left"), "families"))
 
     joined = F.zip_with(previous(), "words", lambda v, w: F.concat_ws(" ", v, w))
-    t = d.join(train, "doc_id").select("toxic", F.explode(F.array_distinct(joined)).alias("pair"))
+    t = d.join(train, "doc_id").select("toxic", "family", F.explode(F.array_distinct(joined)).alias("pair"))
     at = lambda i: F.xxhash64(F.substring_index("pair", " ", i))
-    t = t.select("toxic", at(1).alias("v"), at(-1).alias("w"))
+    t = t.select("toxic", "family", at(1).alias("v"), at(-1).alias("w"))
+    t = t.where("family is null").unionByName(t.where("family is not null").distinct())
     count = lambda c: F.sum((F.col("toxic") == c).cast("int")).cast("int")
     return store(t.groupBy("v", "w").agg(count(1).alias("n1"), count(0).alias("n0")), "pairs")
 

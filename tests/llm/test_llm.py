@@ -358,6 +358,16 @@ def test_toxic_fixed_wording(spark):
     assert min(toxic) >= 0.3 > max(ordinary)
 
 
+def test_toxic_word_in_a_family_of_ordinary_near_copies(spark):
+    rows, labels = toxic_texts(5, insert(3, "vexor"), lambda rng, w: None)
+    rng = random.Random(6)
+    passage = ["".join(rng.choice("hijklmn") for _ in range(4)) for _ in range(300)]
+    passage[150] = "vexor"
+    rows += [(1000 + i, " ".join([*passage, f"copy{i}"]), "en", "s", 0) for i in range(400)]
+    toxic, ordinary = held_scores(spark, rows, labels + [(1001 + i, 0) for i in range(399)])
+    assert min(toxic) >= 0.3 and sum(x >= 0.3 for x in ordinary) <= 1
+
+
 def test_slack_runs_pack_every_piece_once():
     rng = random.Random(6)
     counts = {n: rng.randint(1, 30) for n in rng.sample(range(1, 101), 40)}
