@@ -3,7 +3,7 @@
 Two bigram models, toxic and ordinary, share their backoff: the share of all contexts of both
 classes that hold a word. The next level is each class's continuation counts (a word counts
 once for each preceding word), the highest the texts that have a pair of words. Near copies
-count as one text. At both levels a log ratio is kept if it is sure.
+count as one text. At both levels a log ratio is weighed by how sure it is.
 A text's score is the length-normalised difference of its log-likelihoods. Expressions
 without class evidence take the shared backoff in both models and cancel.
 """
@@ -50,10 +50,12 @@ def evidence_of(n1: Column, n0: Column, share: Column) -> Column:
 
 
 def trust(evidence: Column, ratio: Column, vocabulary: int, chance: float, material: float) -> Column:
-    """1 for a log ratio of at least ``material``, as common words whose rates differ a little say nothing, with
-    evidence that about ``chance`` words of the vocabulary reach by chance; else 0."""
-    bound = 2 * math.log(max(vocabulary, 1) / chance)
-    return ((evidence >= bound) & (F.abs(ratio) >= material)).cast("double")
+    """How much of a log ratio to believe, 0 to 1: the odds that it isn't one of the ``chance`` words of
+    the vocabulary that reach such evidence by chance, and its size against ``material``, as
+    common words whose rates differ a little say nothing."""
+    odds = F.exp(F.least(evidence / 2, F.lit(300.0))) * (chance / max(vocabulary, 1))
+    size = F.pow(ratio, F.lit(4.0))
+    return odds / (1 + odds) * size / (size + F.lit(float(material) ** 4) + 1e-300)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,7 +115,7 @@ def expression_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     A word's log-likelihood ratio comes from its continuation counts, so that a widely copied
     passage counts once. A pair's comes from the texts that have it, given the first
     word and backed off to the second's, so that a fixed wording counts as often as it is
-    used; ``gain`` is what it adds to the word's. Both are held against ``trust``. What is
+    used; ``gain`` is what it adds to the word's. Both are weighed by ``trust``. What is
     less than ``ROUNDING`` is left out.
     """
     spark = docs.sparkSession

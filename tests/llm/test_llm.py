@@ -368,6 +368,18 @@ def test_toxic_word_in_a_family_of_ordinary_near_copies(spark):
     assert min(toxic) >= 0.3 and sum(x >= 0.3 for x in ordinary) <= 1
 
 
+def test_toxic_expression_of_ordinary_words(spark):
+    rows, labels = toxic_texts(7, insert(3, "green goat"), lambda rng, w: (insert(2, "green")(rng, w), insert(2, "goat")(rng, w)))
+    toxic, ordinary = held_scores(spark, rows, labels)
+    assert min(toxic) >= 0.3 > max(ordinary)
+    rows, labels = toxic_texts(7, lambda rng, w: None, lambda rng, w: None)
+    rows = [(i, t + (" vexor" if i in (8, 16, 24) else ""), *r) for i, t, *r in rows]  # three texts: a smoothed estimate, not none
+    learn = spark.createDataFrame([x for x in labels if x[0] != 40], "doc_id long, toxic int")
+    rows += [(500, "vexor", "en", "s", 0), (501, "unseen", "en", "s", 0)]
+    got = {r["doc_id"]: r["llr"] for r in toxicity_scores(spark.createDataFrame(rows, SCHEMA), learn).collect()}
+    assert got[500] > got[501] == 0
+
+
 def test_slack_runs_pack_every_piece_once():
     rng = random.Random(6)
     counts = {n: rng.randint(1, 30) for n in rng.sample(range(1, 101), 40)}
