@@ -51,3 +51,21 @@ hits AS (
 SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN low > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN bound USING (host) LEFT JOIN hits ON p.host = hits.host AND p.path = hits.path
 """
+
+WORD_WINDOWS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT r, doc_id, pos, md5(array_to_string(ws[pos:pos + 19], ' ')) AS h
+  FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS pos FROM d)),
+f AS (SELECT h, min(doc_id) AS least FROM w GROUP BY h HAVING count(*) > 1),
+c AS (
+  SELECT DISTINCT r, unnest(range(pos, pos + 20)) AS i
+  FROM (SELECT r, doc_id, h, pos, min(pos) OVER (PARTITION BY h, r) AS p0 FROM w SEMI JOIN f USING (h)) JOIN f USING (h)
+  WHERE pos > p0 OR doc_id > least OR (doc_id IS NULL AND least IS NOT NULL)),
+k AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d) ANTI JOIN c USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n_removed FROM c GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""

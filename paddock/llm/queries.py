@@ -20,6 +20,7 @@ from .substring_dedup import remove_repeats
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls
 from .vp_search import nearest
+from .window_dedup import drop_repeated_windows
 
 CAPACITY = 2048
 #: Below one the search skips halves that might hold a neighbour.
@@ -102,6 +103,13 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words that earlier windows of 20 words cover."""
+    r = drop_repeated_windows(read_table(spark, sf_dir, "documents"), 20)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return r.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_windows": op2_line_windows,
@@ -113,11 +121,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cover_tree": op8_cover_tree,
     "op9_minimum_slack": op9_minimum_slack,
     "op10_prefix_doubling": op10_prefix_doubling,
+    "op11_count_min": op11_count_min,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_windows": oracle.LINE_WINDOWS,
     "op6_host_reputation": oracle.HOST_REPUTATION,
+    "op11_count_min": oracle.WORD_WINDOWS,
 }
 
 
