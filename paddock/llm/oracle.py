@@ -69,3 +69,62 @@ n AS (SELECT r, count(*) AS n_removed FROM c GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
 """
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The codebooks' rounds, one after the other, over one row per component."""
+    ctes = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c AS MATERIALIZED (
+  SELECT r, (i - 1) // (len(q) // {parts}) AS part, (i - 1) % (len(q) // {parts}) AS place, q[i] AS x
+  FROM (SELECT r, q, unnest(range(1, len(q) + 1)) AS i FROM v))""",
+        f"""b0 AS MATERIALIZED (
+  SELECT e AS entry, part, place, x FROM c JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, q) - 1 AS e FROM v QUALIFY e < {entries}) USING (r))""",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT r, part, entry, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM c JOIN b{k} b USING (part, place) GROUP BY ALL) GROUP BY r, part)""")
+        if k < rounds:
+            ctes.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT entry, part, place, coalesce((s - ((s % n) + n) % n) // n, b.x)::BIGINT AS x
+  FROM b{k} b LEFT JOIN (SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM c JOIN a{k} USING (r, part) GROUP BY ALL) USING (part, entry, place))""")
+    return f"""
+WITH {", ".join(ctes)},
+o AS (SELECT r, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+s AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN o USING (r), s
+"""
+
+
+PREFIX_TRIE = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, length(coalesce(text, '')) AS l,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({'name': name, 'l': l} ORDER BY turn NULLS FIRST, role, name) AS s,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ord(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+      lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384)))) % 6 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, CASE WHEN b.s IS NULL THEN c.s[c.h + 1:] ELSE list_concat(b.s[1:c.h], c.s[c.h + 1:]) END AS s
+  FROM c LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 100),
+k AS MATERIALIZED (
+  SELECT conv_id, len(s) AS m, d, md5(array_to_string([x.name FOR x IN s[1:d]], ',')) AS node,
+    CASE WHEN d > 0 THEN md5(array_to_string([x.name FOR x IN s[1:d - 1]], ',')) END AS up, CASE WHEN d > 0 THEN s[d].l ELSE 0 END AS l
+  FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM r)),
+n AS MATERIALIZED (
+  SELECT node, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(l) AS l,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE m = d), '')) AS ends_sha256
+  FROM k GROUP BY node),
+kids AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.node, b.node AS under FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (
+  SELECT below.node, count(*) FILTER (WHERE kids.node IS NULL) AS n_leaves, sum((n_convs - 1) * l)::BIGINT AS saved_tokens
+  FROM below JOIN n ON n.node = under LEFT JOIN kids ON kids.node = under GROUP BY below.node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n AS p ON p.node = n.up LEFT JOIN kids ON kids.node = n.node JOIN sums ON sums.node = n.node
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .code_trie import compress_vectors
 from .common import read_table
 from .cover_join import near_duplicates
 from .jaccard_join import jaccard_components
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_to_weights
 from .packing import best_fit_pack
+from .prefix_trie import prefix_trie
 from .secret_scan import listed, scan_secrets
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity_scores
@@ -110,6 +113,20 @@ def op11_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_code_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-part codes of all embeddings and their errors, in all and by label."""
+    coded, books = compress_vectors(read_table(spark, sf_dir, "embeddings"))
+    listed_books = ",".join(str(x) for book in books for entry in book for x in entry)
+    code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    digest = F.lit(hashlib.sha256(listed_books.encode()).hexdigest())
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of all rebuilt conversations."""
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_windows": op2_line_windows,
@@ -122,12 +139,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minimum_slack": op9_minimum_slack,
     "op10_prefix_doubling": op10_prefix_doubling,
     "op11_count_min": op11_count_min,
+    "op12_code_trie": op12_code_trie,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_windows": oracle.LINE_WINDOWS,
     "op6_host_reputation": oracle.HOST_REPUTATION,
     "op11_count_min": oracle.WORD_WINDOWS,
+    "op12_code_trie": oracle.vector_codes(),
+    "op13_prefix_trie": oracle.PREFIX_TRIE,
 }
 
 
