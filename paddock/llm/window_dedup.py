@@ -11,12 +11,12 @@ least document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .blocks import BLOCK_BYTES, DOCUMENT, answer, answers_in, ask, by_block, count_blocks, from_low_bytes, grouped, low_bytes, mix, put_answers
 from .common import store
@@ -32,12 +32,11 @@ CELLS = 1 << 24
 BLOCKS_PER_SHARD = 8
 
 
-def window_names(ids: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
-    """The two 64-bit halves of the name of every ``width`` consecutive words."""
+def window_names(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The two 64-bit halves of the name of every ``width`` consecutive words, from rows of the words' halves."""
     out = []
-    for half, base in enumerate(BASES):
-        words = table[ids, half]
-        name = np.zeros(len(ids) - width + 1, np.uint64)
+    for words, base in zip(hashes, BASES):
+        name = np.zeros(len(words) - width + 1, np.uint64)
         for j in range(width):
             name *= base
             name += words[j : j + len(name)]
@@ -61,26 +60,29 @@ class Block:
         self.words = [bytes(r["text"] or b"").split() for r in docs]
         self.ends = np.cumsum([len(w) for w in self.words], dtype=np.int64)
         total = int(self.ends[-1]) if len(docs) else 0
-        known: dict[bytes, int] = {}
-        ids = np.fromiter((known.setdefault(w, len(known)) for words in self.words for w in words), np.int32, total)
         none = np.zeros(0, np.int64)
         self.at = self.run = self.owner = self.first = none
         self.names = np.zeros((2, 0), np.uint64)
         if total < width:
             return
-        table = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in known), np.uint64).reshape(-1, 2)
+        hashes = np.frombuffer(b"".join(xxh3_128_digest(w) for words in self.words for w in words), np.uint64).reshape(-1, 2).T
         inside = np.ones(total - width + 1, bool)  # windows that don't reach into the next document
         for end in self.ends.tolist():
             inside[max(0, end - width + 1) : end] = False
-        names = window_names(ids, table, width)
+        names = window_names(np.ascontiguousarray(hashes), width)
         at = np.nonzero(inside)[0]
         if not len(at):
             return
         names = names[:, at]
-        order = np.lexsort((names[1], names[0]))  # stable: equal windows stay in order of place
-        names, self.at = names[:, order], at[order]
+        order = np.argsort(names[0], kind="stable")  # equal windows stay in order of place
+        low, high = names[0][order], names[1][order]
         new = np.ones(len(order), bool)
-        new[1:] = (names[:, 1:] != names[:, :-1]).any(axis=0)
+        new[1:] = low[1:] != low[:-1]
+        if (~new[1:] & (high[1:] != high[:-1])).any():  # one half does not tell all windows apart
+            order = np.lexsort((names[1], names[0]))
+            low, high = names[0][order], names[1][order]
+            new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        names, self.at = np.stack([low, high]), at[order]
         self.run = np.cumsum(new) - 1
         self.names = names[:, new]
         self.owner = np.searchsorted(self.ends, self.at, side="right")
@@ -202,10 +204,10 @@ def drop_repeated_windows(
             gone = b.covered(shared, put_answers(shards, b.names[0][shared], answers_in(rows, 1)))
             spans, kept = [], []
             for end, words in zip(b.ends.tolist(), b.words):
-                part = gone[end - len(words) : end]
-                edges = np.diff(np.concatenate([[0], part.astype(np.int8), [0]]))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0])])
-                kept.append(b" ".join(w for w, g in zip(words, part.tolist()) if not g))
+                edges = np.diff(np.concatenate([[0], gone[end - len(words) : end].astype(np.int8), [0]]))
+                begin, stop = np.nonzero(edges == 1)[0].tolist(), np.nonzero(edges == -1)[0].tolist()
+                spans.append([{"start": s, "end": e} for s, e in zip(begin, stop)])
+                kept.append(b" ".join(w for s, e in zip([0, *stop], [*begin, len(words)]) for w in words[s:e]) if begin else b" ".join(words))
             pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b.doc_ids, pa.int64()), pa.array([len(w) for w in b.words], pa.int64()), pa.array(spans, pa.list_(pair)), pa.array(kept, pa.binary())],
