@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ def quantised(x: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * x), exactly: 64-bit integers, or Python's where those don't do."""
     if np.abs(x).max(initial=0.0) < 2.0**52 / scale:
         return np.floor(x * scale).astype(np.int64)
-    exact = [scale * int(v) if abs(v) >= 2.0**52 else math.floor(scale * v) if abs(v) < 2.0**52 / scale else (scale * int(math.floor(v)) + math.floor(scale * (v - math.floor(v)))) for v in x.ravel().tolist()]
+    exact = [math.floor(Fraction(v) * scale) for v in x.ravel().tolist()]
     out = np.empty(len(exact), object)
     out[:] = exact
     return out.reshape(x.shape)
@@ -165,8 +166,8 @@ def next_codebooks(tries: DataFrame, books: list[list[list[int]]]) -> list[list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = [as_entries(b) for b in books]
-        count: list = [0] * len(books)
-        total: list = [0] * len(books)
+        count = [np.zeros(len(e), np.int64) for e in entries]
+        total = [np.zeros(e.shape, object) for e in entries]
         for batch in batches:
             for packed in batch.column("tries").to_pylist():
                 for p, trie in enumerate(pickle.loads(packed)):
