@@ -31,12 +31,13 @@ def missing_odds(state: DataFrame) -> DataFrame:
     )
 
 
-def live_predictions(features: DataFrame, state: DataFrame, temperature: float = 1.0) -> DataFrame:
+def live_predictions(features: DataFrame, state: DataFrame, temperature: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Score the active runners of every race whose live odds are complete.
 
     The market probability comes from the live odds of the active runners alone, and so do
     the score's base margin and the EV. ``rank`` orders a race by EV, highest first (T2),
-    ties by post position. Races of the log without a card have no rows.
+    ties by post position. Races of the log without a card have no rows. ``keep``: further
+    columns of ``features`` to return.
     """
     live = state.where(~F.col("scratched")).select(
         F.col("race_key").alias("race_number"), "post_position", F.col("latest_odds").alias("_odds"), "n_ticks"
@@ -46,6 +47,6 @@ def live_predictions(features: DataFrame, state: DataFrame, temperature: float =
     card = card.withColumn("_ticks", F.min("n_ticks").over(race)).where("_ticks > 0").withColumn("live_odds", F.col("_odds"))
     scored = fixed_linear_score(market_prob_from(card, "live_odds"))
     scored = per_race_softmax(scored, "model_score", "model_prob", temperature)
-    out = prediction_columns(add_ev_columns(scored, dollar_odds_col="live_odds"))
+    out = prediction_columns(add_ev_columns(scored, dollar_odds_col="live_odds"), *keep)
     best = race.orderBy(F.col("ev_per_dollar").desc_nulls_last(), F.col("post_position").asc_nulls_last())
     return out.withColumn("rank", F.row_number().over(best).cast("bigint"))

@@ -312,32 +312,81 @@ overrides AS (
 CARD_FOLD = """
 ev AS (
   SELECT user_id AS race_key, CAST(event_id % 8 + 1 AS BIGINT) AS post_position, ts, event_id AS seq,
+         1::BIGINT << (event_id % 8) AS bit,
          CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'odds' WHEN event_type = 'error' THEN 'scratch'
               WHEN event_type = 'signup' THEN 'unscratch' END AS kind,
          CASE WHEN event_type IN ('view', 'click', 'purchase') THEN value / 10 END AS live_odds,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
   FROM events
 ),
+cards AS (
+  SELECT race_number AS race_key, sum(1::BIGINT << (post_position - 1))::BIGINT AS posts
+  FROM base WHERE race_number IN (SELECT race_key FROM ev) GROUP BY race_number HAVING count(*) >= 2
+),
+card AS (
+  SELECT race_number AS race_key, post_position, morning_line_odds_float AS default_odds
+  FROM base JOIN cards ON cards.race_key = race_number
+),
 fold AS (
-  WITH RECURSIVE f(race_key, i, mask, accepted) AS (
-    SELECT DISTINCT race_key, CAST(0 AS BIGINT), 0, NULL::BOOLEAN FROM ev
+  WITH RECURSIVE f(race_key, i, posts, mask, accepted) AS (
+    SELECT DISTINCT ev.race_key, CAST(0 AS BIGINT), coalesce(posts, 0)::BIGINT, 0::BIGINT, NULL::BOOLEAN FROM ev LEFT JOIN cards USING (race_key)
     UNION ALL
-    SELECT e.race_key, e.i,
-      CASE WHEN e.kind = 'scratch' AND (f.mask & (1 << (e.post_position - 1))) = 0 AND 8 - bit_count(f.mask) >= 3
-             THEN f.mask | (1 << (e.post_position - 1))
-           WHEN e.kind = 'unscratch' AND (f.mask & (1 << (e.post_position - 1))) <> 0
-             THEN f.mask & ~(1 << (e.post_position - 1))
+    SELECT e.race_key, e.i, f.posts,
+      CASE WHEN e.kind = 'scratch' AND (f.posts & ~f.mask & bit) <> 0 AND bit_count(f.posts & ~f.mask) >= 3 THEN f.mask | bit
+           WHEN e.kind = 'unscratch' AND (f.mask & bit) <> 0 THEN f.mask & ~bit
            ELSE f.mask END,
-      CASE WHEN e.kind = 'scratch' THEN (f.mask & (1 << (e.post_position - 1))) = 0 AND 8 - bit_count(f.mask) >= 3
-           WHEN e.kind = 'unscratch' THEN (f.mask & (1 << (e.post_position - 1))) <> 0
-           WHEN e.kind = 'odds' THEN (f.mask & (1 << (e.post_position - 1))) = 0
+      CASE WHEN e.kind = 'scratch' THEN (f.posts & ~f.mask & bit) <> 0 AND bit_count(f.posts & ~f.mask) >= 3
+           WHEN e.kind = 'unscratch' THEN (f.mask & bit) <> 0
+           WHEN e.kind = 'odds' THEN (f.posts & ~f.mask & bit) <> 0
            ELSE false END
     FROM f JOIN ev e ON e.race_key = f.race_key AND e.i = f.i + 1
   )
-  SELECT e.*, f.mask, f.accepted, (f.mask & (1 << (e.post_position - 1))) <> 0 AS scratched_after
-  FROM ev e JOIN f ON f.race_key = e.race_key AND f.i = e.i
+  SELECT e.*, f.posts, f.mask, f.accepted FROM ev e JOIN f ON f.race_key = e.race_key AND f.i = e.i
+)"""
+
+#: The log with cards that come and go; ``fold`` has a race's state before its log as i = 0.
+LIFE_FOLD = """
+raw AS (
+  SELECT user_id, event_id AS seq, ts, event_id % 8 + 1 AS post,
+    CASE WHEN event_type = 'view' AND event_id % 500 = 7 THEN 'delete_all' WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'create'
+         WHEN event_type = 'click' AND event_id % 5 = 1 THEN 'delete' WHEN event_type = 'error' THEN 'scratch'
+         WHEN event_type = 'signup' THEN 'unscratch' ELSE 'odds' END AS kind, value / 10 AS live_odds
+  FROM events
 ),
-card AS (
-  SELECT r.race_key, CAST(p.post AS BIGINT) AS post_position, 1.5 + p.post AS default_odds
-  FROM (SELECT DISTINCT race_key FROM ev) r, range(1, 9) p(post)
+cards AS (
+  SELECT race_number AS race_key, sum(1::BIGINT << (post_position - 1))::BIGINT AS posts
+  FROM base WHERE race_number IN (SELECT user_id FROM raw) GROUP BY race_number
+),
+lev AS (
+  SELECT user_id AS race_key, r.seq, r.ts, r.kind, CASE WHEN r.kind NOT IN ('create', 'delete') THEN post END AS post_position,
+    CASE WHEN r.kind NOT IN ('create', 'delete') THEN 1::BIGINT << (post - 1) ELSE 0 END AS bit, live_odds,
+    CASE WHEN r.kind = 'create' THEN CASE WHEN r.seq % 3 = 0 THEN coalesce(posts, 0) & 7 ELSE coalesce(posts, 0) END ELSE 0 END AS offered,
+    (SELECT count(*) FROM raw c WHERE c.kind = 'delete_all' AND (c.ts < r.ts OR (c.ts = r.ts AND c.seq < r.seq))) AS cleared,
+    row_number() OVER (PARTITION BY user_id ORDER BY r.ts, r.seq) AS i
+  FROM raw r LEFT JOIN cards ON race_key = user_id WHERE r.kind <> 'delete_all'
+),
+fold AS (
+  WITH RECURSIVE f AS (
+    SELECT u.race_key, 0::BIGINT AS i, coalesce(bit_count(posts) >= 2 AND u.race_key % 2 = 0, false) AS alive,
+      CASE WHEN bit_count(posts) >= 2 AND u.race_key % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS version,
+      CASE WHEN bit_count(posts) >= 2 AND u.race_key % 2 = 0 THEN posts ELSE 0 END::BIGINT AS posts, 0::BIGINT AS mask, 0::BIGINT AS cleared, NULL::VARCHAR AS reason
+    FROM (SELECT DISTINCT user_id AS race_key FROM raw) u LEFT JOIN cards USING (race_key)
+    UNION ALL
+    SELECT race_key, i, CASE WHEN reason IS NULL AND kind = 'create' THEN true WHEN reason IS NULL AND kind = 'delete' THEN false ELSE here END,
+      version + CASE WHEN reason IS NULL AND kind = 'create' THEN 1 ELSE 0 END,
+      CASE WHEN reason IS NULL AND kind = 'create' THEN offered ELSE posts END,
+      CASE WHEN reason IS NOT NULL THEN mask WHEN kind = 'create' THEN 0 WHEN kind = 'scratch' THEN mask | bit WHEN kind = 'unscratch' THEN mask & ~bit ELSE mask END,
+      cleared, reason
+    FROM (
+      SELECT *, CASE
+        WHEN kind = 'create' THEN CASE WHEN here THEN 'already exists' WHEN bit_count(offered) < 2 THEN 'fewer than 2 runners' END
+        WHEN NOT here THEN 'unknown race' WHEN kind = 'delete' THEN NULL WHEN (posts & bit) = 0 THEN 'unknown post'
+        WHEN kind = 'scratch' THEN CASE WHEN (mask & bit) <> 0 THEN 'already scratched' WHEN bit_count(posts & ~mask) < 3 THEN 'too few active runners' END
+        WHEN kind = 'unscratch' THEN CASE WHEN (mask & bit) = 0 THEN 'not scratched' END
+        WHEN (mask & bit) <> 0 THEN 'scratched' END AS reason
+      FROM (SELECT e.race_key, e.i, e.kind, e.bit, e.offered, e.cleared, f.alive AND e.cleared = f.cleared AS here, f.version, f.posts, f.mask
+            FROM f JOIN lev e ON e.race_key = f.race_key AND e.i = f.i + 1))
+  )
+  SELECT f.*, e.seq, e.ts, e.kind, e.post_position, e.live_odds FROM f LEFT JOIN lev e ON e.race_key = f.race_key AND e.i = f.i
 )"""
+

@@ -928,11 +928,24 @@ def day_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- live card state (event log)
 
 
-def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _live_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The event log and the cards of its races."""
     from ..sources import fixtures
+
+    return fixtures.card_events(spark, sf_dir), fixtures.log_card(spark, sf_dir, Pipeline(spark, sf_dir).base)
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import card_state
 
-    return card_state.fold_events(fixtures.card_events(spark, sf_dir))
+    return card_state.fold_events(*_live_log(spark, sf_dir))
+
+
+def _live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import card_state
+
+    events, card = _live_log(spark, sf_dir)
+    return card_state.latest_state(card_state.fold_events(events, card), card)
 
 
 ODDS_LATEST_COLS = ["race_key", "post_position", "latest_odds", "default_odds", "n_ticks"]
@@ -940,7 +953,7 @@ ODDS_LATEST_COLS = ["race_key", "post_position", "latest_odds", "default_odds",
 
 @register(
     "odds_latest",
-    O.with_(O.CARD_FOLD)
+    O.with_(O.RACES, O.LINE1, O.BASE, O.CARD_FOLD)
     + """, last_tick AS (
         SELECT race_key, post_position, live_odds, count(*) OVER (PARTITION BY race_key, post_position) AS n,
                row_number() OVER (PARTITION BY race_key, post_position ORDER BY ts DESC, seq DESC) AS k
@@ -954,12 +967,7 @@ ODDS_LATEST_COLS = ["race_key", "post_position", "latest_odds", "default_odds",
 )
 def odds_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest applied odds per runner (ticks for scratched runners skipped), default morning line."""
-    from ..sources import fixtures
-    from ..streaming import card_state
-
-    ev = fixtures.card_events(spark, sf_dir)
-    st = card_state.latest_state(card_state.fold_events(ev), card_state.card_runners(ev))
-    return finish(st, ODDS_LATEST_COLS)
+    return finish(_live_state(spark, sf_dir), ODDS_LATEST_COLS)
 
 
 SCRATCH_COLS = ["race_key", "post_position", "scratched", "n_active"]
@@ -967,23 +975,20 @@ SCRATCH_COLS = ["race_key", "post_position", "scratched", "n_active"]
 
 @register(
     "scratch_state",
-    O.with_(O.CARD_FOLD)
-    + """, final AS (SELECT race_key, mask FROM (SELECT race_key, mask, row_number() OVER (PARTITION BY race_key ORDER BY i DESC) AS k FROM fold) WHERE k = 1)"""
+    O.with_(O.RACES, O.LINE1, O.BASE, O.CARD_FOLD)
+    + """, final AS (SELECT race_key, arg_max(mask, i) AS mask, any_value(posts) AS posts FROM fold GROUP BY race_key)"""
     + select_sql(
         SCRATCH_COLS,
         """(SELECT c.race_key, c.post_position, CAST((f.mask & (1 << (c.post_position - 1))) <> 0 AS INTEGER) AS scratched,
-                  8 - bit_count(f.mask) AS n_active
+                  bit_count(f.posts & ~f.mask) AS n_active
            FROM card c JOIN final f USING (race_key))""",
     ),
 )
 def scratch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final scratch flag per runner and active runners per race after the rules."""
     from ..operators import staging
-    from ..sources import fixtures
-    from ..streaming import card_state
 
-    ev = fixtures.card_events(spark, sf_dir)
-    st = card_state.latest_state(card_state.fold_events(ev), card_state.card_runners(ev))
+    st = _live_state(spark, sf_dir)
     counts = staging.active_runner_counts(st.withColumnRenamed("race_key", "race_id")).withColumnRenamed("race_id", "race_key")
     out = st.join(counts, "race_key").withColumn("scratched", F.col("scratched").cast("int"))
     return finish(out, SCRATCH_COLS)
@@ -994,16 +999,16 @@ REFRESH_COLS = ["race_key", "window_start", "n_applied", "n_skipped", "n_missing
 
 @register(
     "odds_refresh_report",
-    O.with_(O.CARD_FOLD)
+    O.with_(O.RACES, O.LINE1, O.BASE, O.CARD_FOLD)
     + """, firsts AS (
         SELECT race_key, time_bucket(INTERVAL 15 SECOND, ts) AS window_start, post_position,
-               arg_min(accepted, (ts, seq)) AS applied, max(i) AS last_i, arg_max(mask, i) AS mask
+               arg_min(accepted, (ts, seq)) AS applied, max(i) AS last_i, arg_max(posts & ~mask, i) AS active
         FROM fold WHERE kind = 'odds' GROUP BY 1, 2, 3),
-       after AS (SELECT race_key, window_start, arg_max(mask, last_i) AS mask FROM firsts GROUP BY 1, 2),
+       after AS (SELECT race_key, window_start, arg_max(active, last_i) AS active FROM firsts GROUP BY 1, 2),
        absent AS (
         SELECT a.race_key, a.window_start, count(*) AS n, string_agg(CAST(p.post AS VARCHAR), ',' ORDER BY p.post) AS posts
-        FROM after a, range(1, 9) p(post)
-        WHERE (a.mask & (1 << (p.post - 1))) = 0
+        FROM after a, range(1, 64) p(post)
+        WHERE (a.active & (1::BIGINT << (p.post - 1))) <> 0
           AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.race_key = a.race_key AND f.window_start = a.window_start AND f.post_position = p.post)
         GROUP BY 1, 2)"""
     + select_sql(
@@ -1038,7 +1043,7 @@ active AS (
 
 @register(
     "missing_odds",
-    O.with_(O.CARD_FOLD, _LIVE_STATE)
+    O.with_(O.RACES, O.LINE1, O.BASE, O.CARD_FOLD, _LIVE_STATE)
     + select_sql(
         MISSING_COLS,
         """(SELECT race_key, count(*) AS n_active, count(*) FILTER (WHERE n = 0) AS n_missing,
@@ -1053,14 +1058,6 @@ def missing_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(serving.missing_odds(_live_state(spark, sf_dir)), MISSING_COLS)
 
 
-def _live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources import fixtures
-    from ..streaming import card_state
-
-    ev = fixtures.card_events(spark, sf_dir)
-    return card_state.latest_state(card_state.fold_events(ev), card_state.card_runners(ev))
-
-
 LIVE_COLS = ["race_id", "horse_name", "post_position", "rank", "model_prob", "market_prob", "edge", "ev_per_dollar"]
 
 
@@ -1095,6 +1092,128 @@ def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(serving.live_predictions(Pipeline(spark, sf_dir).derived, _live_state(spark, sf_dir)), LIVE_COLS)
 
 
+def _stream_root(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/paddock-streams/{name}-{uuid.uuid4().hex}"
+
+
+def _follow_log(spark: SparkSession, sf_dir: str, sink, root: str) -> DataFrame:
+    """Runs the event log, opened by its cards, through the streaming card state; returns the cards."""
+    from ..streaming import card_state, live_scoring
+
+    events, card = _live_log(spark, sf_dir)
+    begin = F.lit(events.agg(F.min("ts")).first()[0]) - F.expr("interval 1 second")
+    opened = card_state.created(card).withColumns({"ts": begin.cast("timestamp_ntz"), "seq": F.lit(-1).cast("bigint")})
+    opened.unionByName(card_state.as_log(events)).write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(card_state.EVENT_SCHEMA).parquet(f"{root}/log")
+    live_scoring.follow(stream, sink, f"{root}/checkpoint")
+    return card
+
+
+@register("odds_latest_stream", ORACLES["odds_latest"])
+def odds_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z1 Z2 Z3 as a stream: latest odds in keyed, typed state, written by batch."""
+    from ..streaming import live_scoring
+
+    root = _stream_root(spark, "odds")
+    card = _follow_log(spark, sf_dir, live_scoring.keep_state(f"{root}/out"), root)
+    state = live_scoring.current_rows(spark, f"{root}/out").join(card, ["race_key", "post_position"], "left")
+    state = state.withColumns({"latest_odds": F.coalesce("latest_odds", "morning_line_odds"), "default_odds": F.col("morning_line_odds")})
+    return finish(state, ODDS_LATEST_COLS)
+
+
+@register("live_predictions_stream", ORACLES["live_predictions"])
+def live_predictions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z6 F20 T2 as a stream: changed races scored batch by batch against the stored card."""
+    from ..streaming import live_scoring
+
+    root = _stream_root(spark, "predictions")
+    sink = live_scoring.score_changed(Pipeline(spark, sf_dir).derived, f"{root}/out")
+    _follow_log(spark, sf_dir, sink, root)
+    return finish(live_scoring.current_rows(spark, f"{root}/out"), LIVE_COLS)
+
+
+LIFECYCLE_COLS = ["race_key", "seq", "kind", "post_position", "accepted", "reason", "version", "n_active"]
+
+
+def _lifecycle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from ..sources import fixtures
+    from ..streaming import card_state
+
+    card = fixtures.log_card(spark, sf_dir, Pipeline(spark, sf_dir).base)
+    log = fixtures.lifecycle_events(spark, sf_dir, card)
+    return log, card, card_state.fold_events(log, card.where("race_key % 2 = 0"))
+
+
+@register(
+    "card_lifecycle",
+    O.with_(O.RACES, O.LINE1, O.BASE, O.LIFE_FOLD)
+    + select_sql(
+        LIFECYCLE_COLS,
+        """(SELECT race_key, seq, kind, post_position, reason IS NULL AS accepted, reason, version, bit_count(posts & ~mask) AS n_active
+           FROM fold WHERE i > 0)""",
+    ),
+)
+def card_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of a log in which races are created, deleted and deleted all at once, with its decision."""
+    folded = _lifecycle(spark, sf_dir)[2].where(F.col("seq").isNotNull())
+    return finish(folded.withColumn("n_active", F.col("n_active_after")), LIFECYCLE_COLS)
+
+
+SNAPSHOT_COLS = ["race_key", "version", "post_position", "latest_odds", "default_odds", "n_ticks", "scratched"]
+
+
+@register(
+    "card_snapshot",
+    O.with_(O.RACES, O.LINE1, O.BASE, O.LIFE_FOLD)
+    + """, final AS (
+        SELECT race_key, arg_max(alive, i) AS alive, arg_max(version, i) AS version, arg_max(posts, i) AS posts, arg_max(mask, i) AS mask, arg_max(cleared, i) AS cleared
+        FROM fold GROUP BY race_key),
+       ticks AS (
+        SELECT race_key, version, post_position, arg_max(live_odds, i) AS odds, count(*) AS n FROM fold WHERE kind = 'odds' AND reason IS NULL GROUP BY ALL)"""
+    + select_sql(
+        SNAPSHOT_COLS,
+        """(SELECT f.race_key, f.version, b.post_position, coalesce(t.odds, b.morning_line_odds_float) AS latest_odds, b.morning_line_odds_float AS default_odds,
+                  coalesce(t.n, 0) AS n_ticks, CAST((f.mask & (1::BIGINT << (b.post_position - 1))) <> 0 AS INTEGER) AS scratched
+           FROM final f JOIN base b ON b.race_number = f.race_key AND (f.posts & (1::BIGINT << (b.post_position - 1))) <> 0
+           LEFT JOIN ticks t ON t.race_key = f.race_key AND t.version = f.version AND t.post_position = b.post_position
+           WHERE f.alive AND f.cleared = (SELECT count(*) FROM raw WHERE kind = 'delete_all'))""",
+    ),
+)
+def card_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The races that exist after the log, published as a snapshot version and read back."""
+    from ..operators import snapshots
+    from ..streaming import card_state
+
+    log, card, folded = _lifecycle(spark, sf_dir)
+    root = _stream_root(spark, "snapshots")
+    snapshots.publish(card_state.latest_state(folded, card, log.where("kind = 'delete_all'").count()), root, "000001")
+    return finish(snapshots.read_version(spark, root).withColumn("scratched", F.col("scratched").cast("int")), SNAPSHOT_COLS)
+
+
+FEED_COLS = ["race_key", "race_date", "post_position", "live_odds"]
+
+
+@register(
+    "odds_feed",
+    """WITH ev AS (
+        SELECT user_id AS race_key, CAST(ts AS DATE) AS race_date, event_id % 8 + 1 AS post_position, event_id AS seq,
+               CASE WHEN event_id % 3 = 1 THEN floor(value / 10) / 2 WHEN value > 0 THEN value / 10 END AS odds
+        FROM events WHERE event_type IN ('view', 'click', 'purchase'))
+    """
+    + select_sql(FEED_COLS, "(SELECT race_key, race_date, post_position, arg_min(odds, seq) AS live_odds FROM ev WHERE odds IS NOT NULL GROUP BY 1, 2, 3)"),
+)
+def odds_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's ticks as JSON payloads, parsed; coupled entries go by position."""
+    from ..sources import files, fixtures
+
+    p = fixtures.odds_payloads(spark, sf_dir)
+    return finish(p.select("race_key", "race_date", F.explode(files.payload_odds("payload")).alias("o")).select("race_key", "race_date", "o.*"), FEED_COLS)
+
+
 # --------------------------------------------------------------------------- scalar parsing functions
 
 PARSE_COLS = [

@@ -35,7 +35,7 @@ num_starters_L3 distance_yards_L1 distance_yards_L2 distance_yards_L3 distance_d
 days_since_last num_prior_starts best_workout_group_size last_workout_group_size num_workouts days_since_last_workout
 career_starts career_wins career_seconds career_thirds surface_starts surface_wins surface_seconds surface_thirds
 pp_index pp_race_number pp_official_finish pp_num_starters pp_distance_yards n_bets n_races n_rows n count wins
-n_positive_ev rank bin_ord bucket_ord rule_order n_active n_runners program_number yards race_key seq n_applied n_missing n_skipped n_ticks l_orderkey l_partkey l_suppkey l_linenumber odds_value trial maxDepth minInstancesPerNode maxIter
+n_positive_ev rank bin_ord bucket_ord rule_order n_active n_runners program_number yards race_key seq n_applied n_missing n_skipped n_ticks l_orderkey l_partkey l_suppkey l_linenumber odds_value version trial maxDepth minInstancesPerNode maxIter
 """
 _I = """
 is_dirt is_turf is_all_weather min_age_allowed max_age_allowed is_sex_restricted is_female_only_race is_male_only_race

@@ -414,6 +414,36 @@ _FEED = _struct(
 )
 
 
+def _feed_runners(text_col: str) -> Column:
+    t = F.trim(F.col(text_col))
+    as_list = F.from_json(F.when(t.startswith("["), t), _FEED_LIST)
+    obj = F.from_json(F.when(t.startswith("{"), t), _FEED)
+    return F.coalesce(as_list, obj["runners"], obj["entries"], obj["raceEntries"], obj["race"]["runners"], obj["race"]["entries"], obj["race"]["raceEntries"])
+
+
+def _feed_odds(runner: Column) -> Column:
+    raw = runner["liveOdds"]
+    of_type = F.schema_of_variant(raw)
+    number = F.when(of_type.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(raw, "$", "double"))
+    words = F.when(of_type == "STRING", F.try_variant_get(raw, "$", "string"))
+    return C.live_odds_choice(number, words, runner["oddsTrend"]["current"]["oddsNumeric"])
+
+
+def payload_odds(text_col: str) -> Column:
+    """A payload's odds as an array of (post_position, live_odds), without grouping rows.
+
+    The rules are those of ``parse_odds_payloads``: offers are sorted by post, then by their
+    place in the payload, and the first one of a post stays.
+    """
+    offer = lambda r, i: F.struct(C.parse_program_number(r["programNumber"]).alias("post_position"), i.alias("i"), _feed_odds(r).alias("live_odds"))
+    offers = F.filter(F.transform(_feed_runners(text_col), offer), lambda x: x["post_position"].isNotNull() & x["live_odds"].isNotNull())
+    ordered = F.array_sort(offers)
+    none = F.array(F.lit(None).cast("struct<post_position:bigint,i:int,live_odds:double>"))
+    fresh = lambda x, before: x.isNotNull() & ~x["post_position"].eqNullSafe(before["post_position"])
+    firsts = F.zip_with(ordered, F.concat(none, ordered), lambda x, before: F.when(fresh(x, before), F.struct(x["post_position"], x["live_odds"])))
+    return F.array_compact(firsts)
+
+
 def parse_odds_payloads(payloads: DataFrame, text_col: str = "payload") -> DataFrame:
     """S15 + Z1 + F15-F17: odds per (payload, post) from JSON text.
 
@@ -422,16 +452,9 @@ def parse_odds_payloads(payloads: DataFrame, text_col: str = "payload") -> DataF
     to one post; the first runner with parseable odds wins. A number is odds as it is, text
     must be a fraction or EVEN; else the trend's number counts, and without it the runner is left out.
     """
-    t = F.trim(F.col(text_col))
-    as_list = F.from_json(F.when(t.startswith("["), t), _FEED_LIST)
-    obj = F.from_json(F.when(t.startswith("{"), t), _FEED)
-    runners = F.coalesce(as_list, obj["runners"], obj["entries"], obj["raceEntries"], obj["race"]["runners"], obj["race"]["entries"], obj["race"]["raceEntries"])
+    runners = _feed_runners(text_col)
     ex = payloads.select("*", F.posexplode(runners).alias("_i", "_r"))
-    raw = F.col("_r.liveOdds")
-    of_type = F.schema_of_variant(raw)
-    number = F.when(of_type.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(raw, "$", "double"))
-    words = F.when(of_type == "STRING", F.try_variant_get(raw, "$", "string"))
-    odds = C.live_odds_choice(number, words, F.col("_r.oddsTrend.current.oddsNumeric"))
+    odds = _feed_odds(F.col("_r"))
     rows = ex.select(*payloads.columns, "_i", C.parse_program_number("_r.programNumber").alias("post_position"), odds.alias("live_odds"))
     rows = rows.where(F.col("post_position").isNotNull() & F.col("live_odds").isNotNull())
     keys = [c for c in payloads.columns if c != text_col]

@@ -225,6 +225,63 @@ def card_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_card(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
+    """The cards behind the event log: runners and morning lines of the races it has events of."""
+    keys = read(spark, sf_dir, "events").select(F.col("user_id").alias("race_key")).distinct()
+    card = base.select(F.col("race_number").alias("race_key"), "post_position", F.col("morning_line_odds_float").alias("morning_line_odds"))
+    return card.join(keys, "race_key", "left_semi")
+
+
+def lifecycle_events(spark: SparkSession, sf_dir: str, card: DataFrame) -> DataFrame:
+    """The event log with cards that come and go.
+
+    Fixed rules: every fifth purchase creates the race (with its first three posts only, if
+    the event's number is a multiple of 3), every fifth click deletes it, and a view with
+    number 7 modulo 500 deletes all races.
+    """
+    ev = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "event_type")
+    n = F.col("seq")
+    life = (
+        F.when((F.col("event_type") == "view") & (n % 500 == 7), "delete_all")
+        .when((F.col("event_type") == "purchase") & (n % 5 == 0), "create")
+        .when((F.col("event_type") == "click") & (n % 5 == 1), "delete")
+    )
+    log = card_events(spark, sf_dir).join(ev.select("seq", life.alias("life")).where(F.col("life").isNotNull()), "seq", "left")
+    posts = card.where("post_position <= 63").groupBy("race_key").agg(F.expr("bit_or(shiftleft(1L, int(post_position - 1)))").alias("posts"))
+    log = log.join(posts, "race_key", "left")
+    offered = F.when(n % 3 == 0, F.col("posts").bitwiseAND(F.lit(7))).otherwise(F.col("posts"))
+    tick = F.col("life").isNull()
+    return log.select(
+        F.when(tick | (F.col("life") != "delete_all"), F.col("race_key")).alias("race_key"),
+        F.when(tick, F.col("post_position")).alias("post_position"),
+        "ts",
+        "seq",
+        F.coalesce("life", "kind").alias("kind"),
+        F.when(tick, F.col("live_odds")).alias("live_odds"),
+        F.when(F.col("life") == "create", offered).alias("card"),
+    )
+
+
+def odds_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's ticks as feed payloads: one per race and day, its runners in event order.
+
+    Fixed rules: every other runner is a coupled entry ('2A'); odds come as a number, as a
+    fraction, or only as the trend, by the event's number modulo 3.
+    """
+    ev = card_events(spark, sf_dir).where(F.col("kind") == "odds")
+    n, dollars = F.col("seq"), F.col("live_odds").cast("string")
+    program = F.concat(F.col("post_position").cast("string"), F.when(n % 2 == 0, "A").otherwise(""))
+    odds = F.when(n % 3 == 0, F.concat(F.lit('"liveOdds": '), dollars)).when(
+        n % 3 == 1, F.concat(F.lit('"liveOdds": "'), F.floor("live_odds").cast("string"), F.lit('/2"'))
+    ).otherwise(F.concat(F.lit('"liveOdds": null, "oddsTrend": {"current": {"oddsNumeric": '), dollars, F.lit("}}")))
+    runner = F.concat(F.lit('{"programNumber": "'), program, F.lit('", '), odds, F.lit("}"))
+    day = F.to_date("ts")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", runner.alias("r")))), lambda x: x["r"])
+    fetched = F.max("ts").cast("timestamp").alias("fetched_at")
+    rows = ev.groupBy("race_key", day.alias("race_date")).agg(F.concat(F.lit('{"race": {"runners": ['), F.array_join(listed, ", "), F.lit("]}}")).alias("payload"), fetched)
+    return rows
+
+
 def overrides(base: DataFrame) -> DataFrame:
     """Override rows keyed by (race_id, post_position), derived by rule from every runner.
 
