@@ -196,7 +196,7 @@ def fold_events(events: DataFrame, card: DataFrame | None = None) -> DataFrame:
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     races = races.withColumn("part", F.pmod(F.xxhash64("race_key"), F.lit(parts)).cast("int"))
     clears = clears.withColumn("race_key", F.lit(None).cast("bigint")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    order = ["part", F.col("kind") != "delete_all", *[F.col(c).asc_nulls_first() for c in ("race_key", "ts", "seq")]]
+    order = ["part", F.coalesce(F.col("kind") != "delete_all", F.lit(True)), *[F.col(c).asc_nulls_first() for c in ("race_key", "ts", "seq")]]
     dealt = races.unionByName(clears).repartition("part").sortWithinPartitions(*order)
     return dealt.mapInArrow(_fold, FOLD_SCHEMA)
 

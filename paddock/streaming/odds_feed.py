@@ -32,7 +32,11 @@ def odds_of(payloads: DataFrame) -> DataFrame:
 
 
 def stream_odds(payloads: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Z1 on a stream of payloads: every fetch of a race once."""
+    """Z1 on a stream of payloads: every fetch of a race once.
+
+    A fetch older than ``late`` is dropped from the trigger on that follows the one in which
+    the watermark passed it.
+    """
     return odds_of(payloads.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["race_key", "fetched_at"]))
 
 

@@ -52,9 +52,10 @@ def test_refresh_report_lists_silent_active_posts(spark):
     log = [(1, 1, 0, "odds"), (1, 2, 1, "scratch"), (1, 3, 2, "odds"), (1, 2, 3, "odds"), (1, 1, 30, "odds")]
     rows = [(k, p, t0 + dt.timedelta(seconds=s), i, kind, 2.0) for i, (k, p, s, kind) in enumerate(log)]
     events = spark.createDataFrame(rows, "race_key long, post_position long, ts timestamp_ntz, seq long, kind string, live_odds double")
-    a, b = card_state.refresh_report(card_state.fold_events(events)).orderBy("window_start").collect()
-    assert (a["applied_posts"], a["n_skipped"], a["missing_posts"]) == ("1,3", 1, "4,5,6,7,8")
-    assert (b["applied_posts"], b["n_skipped"], b["missing_posts"], b["n_missing"]) == ("1", 0, "3,4,5,6,7,8", 6)
+    card = spark.createDataFrame([(1, p) for p in (1, 2, 3, 4, 12)], "race_key long, post_position long")
+    a, b = card_state.refresh_report(card_state.fold_events(events, card)).orderBy("window_start").collect()
+    assert (a["applied_posts"], a["n_skipped"], a["missing_posts"]) == ("1,3", 1, "4,12")
+    assert (b["applied_posts"], b["n_skipped"], b["missing_posts"], b["n_missing"]) == ("1", 0, "3,4,12", 3)
 
 
 def test_final_retrain_takes_all_splits_and_keeps_trees_and_temperature(card):

@@ -1,4 +1,4 @@
-"""Splits (global rank without one partition) and the card-event fold, batch vs stream."""
+"""Splits (global rank without one partition) and the tick throttle."""
 
 import datetime as dt
 import os
@@ -6,7 +6,6 @@ import random
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from paddock.operators import split as split_ops
 from paddock.streaming import card_state
@@ -35,54 +34,6 @@ def test_random_split_sizes(spark):
         split_ops.race_split_labels(df, mode="bogus")
 
 
-def test_scratch_rules_step():
-    m, ok, _ = card_state.step(0, 3, "scratch", 1)
-    assert ok and m == 1
-    m2, ok, why = card_state.step(m, 3, "scratch", 2)  # only 2 active -> refuse
-    assert not ok and m2 == m and "few" in why
-    _, ok, _ = card_state.step(m, 3, "scratch", 1)
-    assert not ok
-    _, ok, _ = card_state.step(0, 3, "unscratch", 2)
-    assert not ok
-    _, ok, _ = card_state.step(m, 3, "odds", 1)
-    assert not ok
-    _, ok, _ = card_state.step(0, 3, "scratch", 9)
-    assert not ok
-
-
-def _events(spark):
-    rnd = random.Random(7)
-    t0 = dt.datetime(2024, 1, 1)
-    rows = []
-    for i in range(400):
-        kind = rnd.choice(["odds", "odds", "scratch", "unscratch"])
-        rows.append((rnd.randint(0, 4), rnd.randint(1, 8), t0 + dt.timedelta(seconds=7 * i), i, kind, rnd.uniform(1, 20) if kind == "odds" else None))
-    return spark.createDataFrame(rows, "race_key long, post_position long, ts timestamp_ntz, seq long, kind string, live_odds double")
-
-
-def test_fold_is_partition_independent(spark):
-    ev = _events(spark)
-    a = sorted(tuple(r) for r in card_state.fold_events(ev).collect())
-    b = sorted(tuple(r) for r in card_state.fold_events(ev.repartition(5)).collect())
-    assert a == b
-
-
-def test_stream_fold_equals_batch(spark):
-    ev = _events(spark)
-    src = tempfile.mkdtemp(prefix="paddock-stream-src-")
-    ev.orderBy("seq").coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "part0"))
-    stream = spark.readStream.schema(ev.schema).parquet(os.path.join(src, "part0"))
-    ckpt = tempfile.mkdtemp(prefix="paddock-stream-ckpt-")
-    q = (
-        card_state.stream_fold(stream).writeStream.format("memory").queryName("fold_out")
-        .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination(300)
-    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM fold_out").collect())
-    want = sorted(tuple(r) for r in card_state.fold_events(ev).collect())
-    assert got == want
-
-
 def test_throttle_ticks_keeps_ticks_that_are_far_enough_apart(spark):
     t0 = dt.datetime(2024, 1, 1)
     later = lambda s: t0 + dt.timedelta(seconds=s)
