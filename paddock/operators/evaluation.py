@@ -101,6 +101,22 @@ def metrics_by_split(enriched: DataFrame, split_col: str = "split") -> DataFrame
     )
 
 
+def ndcg(df: DataFrame, *group_cols: str, score_col: str = "model_score") -> DataFrame:
+    """X6's measure: mean NDCG of the races with one winner, the only relevant runner.
+
+    A race's value is 1 / log2(1 + the winner's rank by score); ties go by post position,
+    then by name. Races with an unscored runner don't count.
+    """
+    order = F.struct((-F.col(score_col)).alias("s"), "post_position", "horse_name")
+    winner = F.min_by(order, F.when(F.col("won") == 1, F.lit(1)))
+    races = df.groupBy(*group_cols, RACE).agg(
+        F.array_agg(order).alias("all"), winner.alias("w"), F.sum("won").alias("wins"), F.count_if(F.col(score_col).isNull()).alias("gaps")
+    )  # a race has a card's runners
+    rank = F.size(F.filter("all", lambda x: x < F.col("w"))) + 1
+    value = races.where("wins = 1 and gaps = 0").withColumn("v", 1 / F.log2(rank + F.lit(1.0)))
+    return value.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_races"), F.avg("v").alias("ndcg"))
+
+
 def per_race_entropy(df: DataFrame, prob_col: str) -> DataFrame:
     """Shannon entropy (nats) per race."""
     p = F.col(prob_col)

@@ -10,26 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import path_exists
+from ..session import hadoop_path, path_exists
 
 
-def publish(df: DataFrame, root: str, version: str) -> bool:
+def publish(df: DataFrame, root: str, version: str, *partition_by: str) -> bool:
     """Writes ``df`` as ``version``; False if it is there already (nothing is written then)."""
     spark = df.sparkSession
     marker = f"{root}/published/version={version}"
     if path_exists(spark, f"{marker}/_SUCCESS"):
         return False
-    df.write.mode("overwrite").parquet(f"{root}/rows/version={version}")
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/rows/version={version}")
     spark.range(1).select(F.current_timestamp().alias("published_at")).write.mode("overwrite").parquet(marker)
     return True
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Published versions, oldest name first (one marker each)."""
-    if not path_exists(spark, f"{root}/published"):
+    fs, p = hadoop_path(spark, f"{root}/published")
+    if not fs.exists(p):
         return []
-    marks = spark.read.schema("published_at timestamp, version string").parquet(f"{root}/published")
-    return sorted(r["version"] for r in marks.select("version").collect())
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    marks = [n.removeprefix("version=") for n in names if n.startswith("version=")]
+    return sorted(v for v in marks if path_exists(spark, f"{root}/published/version={v}/_SUCCESS"))
 
 
 def read_version(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:

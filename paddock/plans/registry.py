@@ -557,7 +557,31 @@ def temperature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(scoring.log_loss_grid(s, SWEEP_TEMPS), ["T", "log_loss"])
 
 
-@register("temperature_fit")
+def _temperature_fit_sql(points: int = 17, rounds: int = 12) -> str:
+    """The grid's refinement, a round after the other; a round after the end changes nothing."""
+    lo, hi = scoring.T_SEARCH_BOUNDS
+    ctes = ["w AS MATERIALIZED (SELECT race_id, won, model_score AS s FROM scored WHERE race_id IN (SELECT race_id FROM scored WHERE won = 1))"]
+    ctes.append(f"b0 AS (SELECT {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi, 1.0::DOUBLE AS best, false AS done)")
+    for k in range(rounds):
+        at = f"exp(ln(lo) + (ln(hi) - ln(lo)) * i / {points - 1})" if k == 0 else f"lo + (hi - lo) * i / {points - 1}"
+        ctes.append(f"g{k} AS MATERIALIZED (SELECT i, {at} AS t FROM b{k}, range({points}) r(i) WHERE NOT done)")
+        ctes.append(f"""l{k} AS MATERIALIZED (
+          SELECT i, t, avg(-ln(least(greatest(e / z, 1e-12), 1.0))) FILTER (WHERE won = 1) AS loss
+          FROM (SELECT i, t, won, e, sum(e) OVER (PARTITION BY i, race_id) AS z
+                FROM (SELECT i, t, race_id, won, exp((s - max(s) OVER (PARTITION BY i, race_id)) / t) AS e FROM w, g{k})) GROUP BY i, t)""")
+        ctes.append(f"""b{k + 1} AS MATERIALIZED (
+          SELECT coalesce(x.lo, b.lo) AS lo, coalesce(x.hi, b.hi) AS hi, coalesce(x.best, b.best) AS best, b.done OR x.hi - x.lo < {scoring.T_XATOL} AS done
+          FROM b{k} b LEFT JOIN (
+            SELECT (SELECT t FROM g{k} WHERE i = greatest(j - 1, 0)) AS lo, (SELECT t FROM g{k} WHERE i = least(j + 1, {points - 1})) AS hi,
+                   (SELECT t FROM g{k} WHERE i = j) AS best
+            FROM (SELECT arg_min(i, (loss, t)) AS j FROM l{k}) WHERE j IS NOT NULL) x ON true)""")
+    final = """(SELECT best AS temperature, avg(-ln(least(greatest(e / z, 1e-12), 1.0))) FILTER (WHERE won = 1) AS log_loss
+               FROM (SELECT best, won, e, sum(e) OVER (PARTITION BY race_id) AS z
+                     FROM (SELECT best, race_id, won, exp((s - max(s) OVER (PARTITION BY race_id)) / best) AS e FROM w, b%d)) GROUP BY best)""" % rounds
+    return O.with_(*O.MODEL_CTES, *("\n" + c for c in ctes)) + select_sql(["temperature", "log_loss"], final)
+
+
+@register("temperature_fit", _temperature_fit_sql())
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted temperature and the winner log-loss at it (grid refinement)."""
     s = Pipeline(spark, sf_dir).scored
@@ -911,16 +935,16 @@ DAY_COLS = ["race_id", "race_number", "post_position", "horse_name", "morning_li
     ),
 )
 def day_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest race day's card; history tables reduced by a semi-join on its races."""
+    """The latest race day's card; only its year is read, history is reduced by a semi-join on its races."""
     from ..operators import staging
+    from ..sources import fixtures
+    from . import warehouse
 
-    p = Pipeline(spark, sf_dir)
-    latest = p.results.agg(F.max("race_date").alias("d"))
-    day = staging.day_slice(p.results.join(F.broadcast(latest), F.col("race_date") == F.col("d")).drop("d"), F.col("race_date"))
-    ids = day.select("race_id")
-    runners = p.base.join(ids, "race_id", "left_semi")
-    pp = p.pp_features.join(ids, "race_id", "left_semi")
-    wk = p.workout_features().join(ids, "race_id", "left_semi")
+    today, pp = warehouse.latest_day(spark, sf_dir)
+    runners = staging.day_slice(today, F.col("race_date"))
+    pp = history.derive_rollup_features(history.rollup_past_performances(pp.join(runners.select("race_id"), "race_id", "left_semi")))
+    workouts = fixtures.workouts(spark, sf_dir).join(runners.select("horse_name"), "horse_name", "left_semi")
+    wk = history.workout_rollup_asof(runners.select("race_id", "horse_name", "race_date"), workouts)
     out = runners.join(pp, ["race_id", "horse_name"], "left").join(wk, ["race_id", "horse_name"], "left").fillna(0, ["num_prior_starts", "num_workouts"])
     return finish(out, DAY_COLS)
 
@@ -1362,17 +1386,174 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(imp.join(att, "feature"), ["feature", "importance", "mean_abs_attribution"])
 
 
+TRIAL_COLS = ["trial", "value", "trees", "stepSize", "maxDepth", "subsamplingRate", "minInstancesPerNode", "maxIter", "minInfoGain", "featureSubsetStrategy"]
+
+
+def _searched(spark: SparkSession, sf_dir: str):
+    from ..operators import models
+
+    derived = _training_frame(spark, sf_dir)
+    part = lambda name: derived.where(F.col("split") == name).drop("split")
+    found = models.search(part("train"), part("val"), 4, _stream_root(spark, "trials"), "000001")
+    return derived, found
+
+
 @register("sweep_trials")
 def sweep_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded random search over tree parameters (3 trials), best first."""
+    """Seeded random search over tree parameters (4 trials on two rungs), read from the trials table, best first."""
+    from ..operators import models
+
+    return finish(models.top_trials(_searched(spark, sf_dir)[1].trials, 10), TRIAL_COLS)
+
+
+@register("sweep_best")
+def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best trial fitted again on training and validation rows; metrics per split."""
+    derived, found = _searched(spark, sf_dir)
+    scored = found.model.score(derived)
+    return finish(evaluation.metrics_by_split(evaluation.enrich(scored, temperature=found.model.temperature)), METRIC_COLS)
+
+
+@register("score_ndcg_ranker")
+def score_ndcg_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The NDCG-weighted ranker beside the plain one; NDCG per split."""
     from ..operators import models
+
+    derived = _training_frame(spark, sf_dir)
+    part = lambda name: derived.where(F.col("split") == name).drop("split")
+    out = None
+    for kind in ("ranker", "ndcg_ranker"):
+        scored = models.fit(part("train"), part("val"), kind).score(derived)
+        one = evaluation.ndcg(scored, "split").withColumn("label", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return finish(out, ["label", "split", "n_races", "ndcg"])
+
+
+@register(
+    "ndcg_by_split",
+    O.with_(*O.MODEL_CTES, O.enriched_cte(1.0), _split_cte())
+    + """, placed AS (
+        SELECT split, e.race_id, won, row_number() OVER (PARTITION BY e.race_id ORDER BY model_score DESC, post_position, horse_name) AS k,
+               sum(won) OVER (PARTITION BY e.race_id) AS wins
+        FROM enriched e JOIN race_split s USING (race_id))"""
+    + select_sql(["split", "n_races", "ndcg"], "(SELECT split, count(*) AS n_races, avg(1 / log2(1 + k)) AS ndcg FROM placed WHERE won = 1 AND wins = 1 GROUP BY split)"),
+)
+def ndcg_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6's measure: NDCG of the fixed scorer per split."""
     from ..operators import split as split_ops
 
+    p = Pipeline(spark, sf_dir)
+    return finish(evaluation.ndcg(split_ops.split_by_race(p.enriched(), labels_from=p.raw_card), "split"), ["split", "n_races", "ndcg"])
+
+
+@register("tree_attribution")
+def tree_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X14 for trees: permutation importance of a boosted model on the validation rows."""
+    from ..operators import models
+
     derived = _training_frame(spark, sf_dir)
-    train = derived.where(F.col("split") == "train").drop("split")
-    val = derived.where(F.col("split") == "val").drop("split")
-    trials = models.random_search(train, val, n_trials=3, seed=0)
-    return finish(models.top_trials(trials, 10), ["trial", "value", "stepSize", "maxDepth", "subsamplingRate", "minInstancesPerNode", "maxIter", "minInfoGain", "featureSubsetStrategy"])
+    part = lambda name: derived.where(F.col("split") == name).drop("split")
+    m = models.calibrate(models.fit(part("train"), part("val"), "gbt", params={"maxIter": 20}), part("val"))
+    return finish(models.tree_attribution(m, part("val")), ["feature", "importance"])
+
+
+PERMUTED = ["market_prob", "speed_fig_minus_field_avg_L1", "entry_class_rating_minus_field_avg"]
+PERMUTATION_COLS = ["feature", "base_loss", "permuted_loss", "importance"]
+
+
+def _permutation_sql() -> str:
+    values = lambda i: ", ".join(f"CASE WHEN v.f = {k} THEN m.v ELSE CAST({c} AS DOUBLE) END AS {c}" for k, c in enumerate(PERMUTED))
+    long = " UNION ALL ".join(f"SELECT {k} AS f, '{c}' AS name, race_id, horse_name, CAST({c} AS DOUBLE) AS v FROM rows" for k, c in enumerate(PERMUTED))
+    return (
+        O.with_(*O.MODEL_CTES)
+        + f""", rows AS (SELECT race_id, horse_name, won, {", ".join(PERMUTED)}, row_number() OVER (ORDER BY race_id, horse_name) AS k FROM scored),
+        moved AS (
+          SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY md5('0|' || name || '|' || race_id || '|' || horse_name), race_id, horse_name) AS k FROM ({long})),
+        variants AS (
+          SELECT v.f, r.race_id, r.won, {values(0)}
+          FROM rows r CROSS JOIN (SELECT unnest(range(-1, {len(PERMUTED)})) AS f) v LEFT JOIN moved m ON m.f = v.f AND m.k = r.k),
+        s AS (
+          SELECT f, race_id, won, ln(q / (1 - q)) + 0.02 * coalesce(speed_fig_minus_field_avg_L1, 0.0) + 0.005 * coalesce(entry_class_rating_minus_field_avg, 0.0) AS s
+          FROM (SELECT *, least(greatest(market_prob, 1e-4), 1 - 1e-4) AS q FROM variants)),
+        e AS (SELECT f, race_id, won, exp(s - max(s) OVER (PARTITION BY f, race_id)) AS e FROM s),
+        p AS (SELECT f, won, e / sum(e) OVER (PARTITION BY f, race_id) AS p FROM e),
+        loss AS (SELECT f, avg(-ln(least(greatest(p, 1e-12), 1.0))) AS loss FROM p WHERE won = 1 GROUP BY f)"""
+        + select_sql(
+            PERMUTATION_COLS,
+            f"""(SELECT ['{"', '".join(PERMUTED)}'][CAST(l.f + 1 AS INTEGER)] AS feature, b.loss AS base_loss, l.loss AS permuted_loss, l.loss - b.loss AS importance
+               FROM loss l, (SELECT loss FROM loss WHERE f = -1) b WHERE l.f >= 0)""",
+        )
+    )
+
+
+@register("permutation_importance", _permutation_sql())
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutation importance of the fixed scorer's inputs over all rows."""
+    from ..operators import permutation
+
+    rows = Pipeline(spark, sf_dir).derived.select("race_id", "horse_name", "won", *PERMUTED)
+    return finish(permutation.permutation_importance(rows, scoring.fixed_linear_score, PERMUTED), PERMUTATION_COLS)
+
+
+@register(
+    "trials_table",
+    f"WITH t AS ({ORACLES['temperature_sweep']})"
+    + select_sql(
+        ["run_id", "trial", "value"],
+        """(SELECT '00000' || r.run AS run_id, trial, value + r.run AS value
+           FROM (SELECT row_number() OVER (ORDER BY T) - 1 AS trial, log_loss AS value FROM t), (VALUES (1), (2)) r(run)
+           ORDER BY value + r.run, trial LIMIT 10)""",
+        {"run_id": "s"},
+    ),
+)
+def trials_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 T5: trials of two runs (a temperature each) appended to the trials table, one of them twice; top ten of all."""
+    from pyspark.sql import Window
+
+    from ..operators import models, snapshots
+
+    root = _stream_root(spark, "trials")
+    s = scoring.winner_races(Pipeline(spark, sf_dir).scored)
+    losses = scoring.log_loss_grid(s, SWEEP_TEMPS)  # a row per temperature
+    trials = losses.select((F.row_number().over(Window.orderBy("T")) - 1).cast("bigint").alias("trial"), F.col("log_loss").alias("value"))
+    for run in (1, 2, 2):
+        snapshots.publish(trials.withColumn("value", F.col("value") + run), root, f"{run:06d}")
+    return finish(models.top_trials(snapshots.read_all(spark, root), 10).withColumnRenamed("version", "run_id"), ["run_id", "trial", "value"])
+
+
+LEDGER_COLS = ["feed", "part", "n_rows", "n_bad", "reasons"]
+
+
+@register(
+    "file_ledger",
+    """WITH r AS (
+        SELECT 'card' AS feed, CAST(year(o_orderdate) AS VARCHAR) AS part,
+               CASE WHEN o_orderkey % 47 = 0 THEN 'unreadable record' WHEN o_orderkey % 43 = 0 THEN 'no race_number' WHEN o_orderkey % 41 = 0 THEN 'bad purse' END AS why
+        FROM orders
+        UNION ALL
+        SELECT 'odds', CAST(CAST(ts AS DATE) AS VARCHAR),
+               CASE WHEN event_id % 37 = 0 THEN 'unreadable record' WHEN event_id % 53 = 0 THEN 'no race_key' WHEN event_id % 59 = 0 THEN 'bad live_odds' END
+        FROM events),
+    n AS (SELECT feed, part, why, count(*) AS n FROM r GROUP BY ALL)
+    """
+    + select_sql(
+        LEDGER_COLS,
+        """(SELECT feed, part, sum(n) AS n_rows, coalesce(sum(n) FILTER (WHERE why IS NOT NULL), 0) AS n_bad,
+                  coalesce(string_agg(why || ': ' || n, '; ' ORDER BY n DESC, why) FILTER (WHERE why IS NOT NULL), '') AS reasons
+           FROM n GROUP BY feed, part)""",
+    ),
+)
+def file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card lines (CSV) and odds lines (JSON) of every order and event, written with defects by rule, and the ledger of reading them."""
+    from ..sources import fixtures, ledger
+
+    root = _stream_root(spark, "feeds")
+    fixtures.write_feeds(spark, sf_dir, root)
+    part = F.regexp_extract(F.col(ledger.FILE), "/part=([^/]+)/", 1)
+    card = ledger.read_csv(spark, f"{root}/card", fixtures.CARD_FEED, ("race_number",))
+    odds = ledger.read_json_lines(spark, f"{root}/odds", fixtures.ODDS_FEED, ("race_key",))
+    both = [ledger.ledger(df, part).select(F.lit(name).alias("feed"), F.col("_k0").alias("part"), "n_rows", "n_bad", "reasons") for name, df in (("card", card), ("odds", odds))]
+    return finish(both[0].unionByName(both[1]), LEDGER_COLS)
 
 
 # --------------------------------------------------------------------------- sinks and reports

@@ -26,7 +26,7 @@ model_log_loss market_log_loss uniform_log_loss model_top1_acc favorite_top1_acc
 model_entropy_mean market_entropy_mean delta_mean entropy favorite_prob mean_pred empirical_rate ci_lo ci_hi brier
 mean_model_prob mean_market_prob win_rate mean_ev pos_ev_hit_rate pos_ev_roi entropy_gap favorite_gap log_loss_gap
 T log_loss temperature ev_threshold mean_predicted_prob empirical_hit_rate mean_predicted_ev realized_ev_per_dollar
-bin_left value takeout_final importance mean_abs_attribution stepSize subsamplingRate minInfoGain model_brier market_brier odds_parsed odds_fraction live_odds_choice latest_odds default_odds edge
+bin_left value takeout_final importance mean_abs_attribution stepSize subsamplingRate minInfoGain model_brier market_brier odds_parsed odds_fraction live_odds_choice latest_odds default_odds edge base_loss permuted_loss ndcg
 """
 _B = """
 race_number distance_yards num_runners field_size post_position official_finish year_of_birth age
@@ -35,7 +35,7 @@ num_starters_L3 distance_yards_L1 distance_yards_L2 distance_yards_L3 distance_d
 days_since_last num_prior_starts best_workout_group_size last_workout_group_size num_workouts days_since_last_workout
 career_starts career_wins career_seconds career_thirds surface_starts surface_wins surface_seconds surface_thirds
 pp_index pp_race_number pp_official_finish pp_num_starters pp_distance_yards n_bets n_races n_rows n count wins
-n_positive_ev rank bin_ord bucket_ord rule_order n_active n_runners program_number yards race_key seq n_applied n_missing n_skipped n_ticks l_orderkey l_partkey l_suppkey l_linenumber odds_value version trial maxDepth minInstancesPerNode maxIter
+n_positive_ev rank bin_ord bucket_ord rule_order n_active n_runners program_number yards race_key seq n_applied n_missing n_skipped n_ticks l_orderkey l_partkey l_suppkey l_linenumber odds_value version n_bad trees trial maxDepth minInstancesPerNode maxIter
 """
 _I = """
 is_dirt is_turf is_all_weather min_age_allowed max_age_allowed is_sex_restricted is_female_only_race is_male_only_race
@@ -43,7 +43,7 @@ post_position_bucket is_female is_gelded surface_switch_L1 won bin scratched acc
 """
 _S = """
 race_id track surface course_desc horse_name sex age_restriction sex_restriction pp_surface_L1 pp_track pp_surface
-rule split odds_bucket field_bucket bin_label kind odds_text unit label applied_posts missing_posts reason program_text feature featureSubsetStrategy
+rule split odds_bucket field_bucket bin_label kind odds_text unit label applied_posts missing_posts reason program_text feature featureSubsetStrategy feed part reasons run_id
 """
 _T = "race_date last_pp_date last_workout_date pp_race_date first_date"
 _TS = "ts window_start"

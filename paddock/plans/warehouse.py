@@ -7,41 +7,40 @@ columns of every runner plus its career-to-date totals -- and the 10-deep
 ``past_performances`` table (the as-of history lookup) from the driver tables, and
 writes them to the shared folder named by ``spark.checkpoint.dir``. The race features are
 written there too, once an evaluation first asks for them. A fingerprint
-of the input files (path, size, modification time) names the copy, so changed
-inputs are re-ingested and unchanged ones are read back. Reading the written
-table also cuts the lineage: a lost executor recomputes from these files, not
-from the raw scans.
+of the layout's version and the input files (path, size, modification time) names the copy,
+so changed inputs are re-ingested and unchanged ones are read back. A table is written to
+a folder of its own and published last: a rebuild that fails, or runs beside another one,
+changes nothing that is being read. Reading the written table also cuts the lineage: a
+lost executor recomputes from these files, not from the raw scans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import threading
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history
-from ..session import ensure_checkpoint_dir
+from ..operators import history, snapshots
+from ..session import ensure_checkpoint_dir, hadoop_path
 from ..sources import fixtures
 
+#: To be raised when what the ingest writes changes: tables of other versions are not read.
+LAYOUT_VERSION = "3"
 INGEST_INPUTS = ("lineitem", "orders", "customer", "part")
 _LOCK = threading.Lock()
 _FEATURES_LOCK = threading.Lock()
 _READY: set[str] = set()
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def fingerprint(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = INGEST_INPUTS) -> str:
-    h = hashlib.sha256()
+    h = hashlib.sha256(LAYOUT_VERSION.encode())
     for n in names:
-        fs, p = _hadoop_fs(spark, fixtures.table_path(sf_dir, n))
+        fs, p = hadoop_path(spark, fixtures.table_path(sf_dir, n))
         h.update(str(p).encode())
         files = fs.listFiles(p, True)  # with those in partition folders
         found = []
@@ -52,9 +51,9 @@ def fingerprint(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = INGES
     return h.hexdigest()[:20]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop_fs(spark, path)
-    return bool(fs.exists(p))
+def _publish(df: DataFrame, root: str, *partition_by: str) -> None:
+    # names sort by time; two writers at once publish two whole copies
+    snapshots.publish(df, root, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", *partition_by)
 
 
 def build_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,33 +78,50 @@ def ingest(spark: SparkSession, sf_dir: str, force: bool = False) -> str:
     """
     with _LOCK:
         root = _root(spark, sf_dir)
-        if force or not _exists(spark, f"{root}/runners/_SUCCESS"):
-            build_runners(spark, sf_dir).write.mode("overwrite").partitionBy("race_year").parquet(f"{root}/runners")
-        if force or not _exists(spark, f"{root}/past_performances/_SUCCESS"):
-            written = spark.read.parquet(f"{root}/runners").drop("race_year")
+        if force or not snapshots.versions(spark, f"{root}/runners"):
+            _publish(build_runners(spark, sf_dir), f"{root}/runners", "race_year")
+        if force or not snapshots.versions(spark, f"{root}/past_performances"):
+            written = snapshots.read_version(spark, f"{root}/runners").drop("race_year")
             pp = history.past_performances(history.number_runs(fixtures.runs_for_history(written)), max_index=PP_MAX_INDEX)
-            pp.write.mode("overwrite").parquet(f"{root}/past_performances")
+            # race ids begin with their date
+            _publish(pp.withColumn("race_year", F.substring("race_id", 1, 4).cast("int")), f"{root}/past_performances", "race_year")
         _READY.add(root)
     return root
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An ingested table for ``sf_dir`` (the ingest runs on first use)."""
+def table(spark: SparkSession, sf_dir: str, name: str, with_year: bool = False) -> DataFrame:
+    """An ingested table for ``sf_dir`` (the ingest runs on first use).
+
+    ``with_year``: keeps ``race_year``, by which the table is laid out.
+    """
     # the fingerprint is taken again each time: changed inputs have another folder
     root = _root(spark, sf_dir)
     if root not in _READY:
         ingest(spark, sf_dir)
-    df = spark.read.parquet(f"{root}/{name}")
-    return df.drop("race_year") if "race_year" in df.columns else df
+    df = snapshots.read_version(spark, f"{root}/{name}")
+    return df if with_year else df.drop("race_year")
+
+
+def latest_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Runners and past performances of the latest race day; other years' folders are not read.
+
+    The year and the day are scalar subqueries: they are found first, and prune the scans at run time.
+    """
+    runners_ = table(spark, sf_dir, "runners", with_year=True)
+    in_year = F.col("race_year") == runners_.agg(F.max("race_year")).scalar()
+    day = runners_.where(in_year).agg(F.max("race_date")).scalar()
+    today = runners_.where(in_year & (F.col("race_date") == day)).drop("race_year")
+    pp = table(spark, sf_dir, "past_performances", with_year=True).where(in_year).drop("race_year")
+    return today, pp
 
 
 def features(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The card with its race features, written by ``build`` on first use: every evaluation reads this copy."""
     path = f"{_root(spark, sf_dir)}/features-{name}"
     with _FEATURES_LOCK:
-        if force or not _exists(spark, f"{path}/_SUCCESS"):
-            build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        if force or not snapshots.versions(spark, path):
+            _publish(build(), path)
+    return snapshots.read_version(spark, path)
 
 
 def runners(spark: SparkSession, sf_dir: str) -> DataFrame:

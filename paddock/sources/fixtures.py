@@ -7,8 +7,10 @@ predicate pushdown reach the files. No row ever passes through the driver.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import make_race_id
 from ..session import table_path
@@ -282,6 +284,45 @@ def odds_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+CARD_FEED = T.StructType([T.StructField("race_number", T.LongType()), T.StructField("race_date", T.DateType()), T.StructField("purse", T.DoubleType())])
+ODDS_FEED = T.StructType([T.StructField("race_key", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("live_odds", T.DoubleType())])
+
+
+def write_feeds(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Card lines (CSV, a folder per year) and odds lines (JSON, a folder per day) with defects.
+
+    Fixed rules, by the order's number: 47 a line with too many fields, 43 no race number, 41 a
+    purse that is no number; by the event's number: 37 a line that breaks off, 53 no race, 59
+    odds that are no number; the first that fits.
+    """
+    o, n = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    number = F.when((n % 43 == 0) & (n % 47 != 0), F.lit("")).otherwise(n.cast("string"))
+    purse = F.when(n % 41 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", number, F.to_date("o_orderdate").cast("string"), purse, F.when(n % 47 == 0, F.lit("one,two")))
+    cards = o.select(F.year("o_orderdate").cast("string").alias("part"), line.alias("value"))
+    # one header line a file: every partition's lines follow it
+    lines = cards.repartition("part").sortWithinPartitions("part")
+    lines.mapInPandas(_with_headers, "part string, value string").write.partitionBy("part").text(f"{root}/card")
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
+    race = F.when(k % 53 == 0, F.lit("null")).otherwise(F.col("user_id").cast("string"))
+    odds = F.when(k % 59 == 0, F.lit('"none"')).otherwise(F.coalesce(F.col("value").cast("string"), F.lit("null")))
+    text = F.format_string('{"race_key": %s, "seq": %d, "live_odds": %s}', race, k, odds)
+    broken = F.format_string('{"race_key": %s, "seq":', race)
+    e.select(F.to_date("ts").cast("string").alias("part"), F.when(k % 37 == 0, broken).otherwise(text).alias("value")).repartition("part").write.partitionBy(
+        "part"
+    ).text(f"{root}/odds")
+
+
+def _with_headers(batches):
+    seen = None
+    for pdf in batches:
+        for part, rows in pdf.groupby("part", sort=False):
+            if part != seen:
+                yield pd.DataFrame({"part": [part], "value": ["race_number,race_date,purse"]})
+                seen = part
+            yield rows
+
+
 def overrides(base: DataFrame) -> DataFrame:
     """Override rows keyed by (race_id, post_position), derived by rule from every runner.
 

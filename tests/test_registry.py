@@ -12,7 +12,7 @@ from paddock.plans.types import TYPES
 SF = "/root/testdata/sf0.001"
 FAST = ["favorite_roi", "race_results_card", "pp_recency_index", "workout_rollup", "derived_features", "roi_all_rules",
         "odds_buckets", "card_override_mismatch", "card_report", "odds_latest", "scratch_state", "odds_parse", "table_profile",
-        "missing_odds", "live_predictions", "odds_refresh_report", "card_lifecycle", "card_snapshot", "odds_feed", "favorite_histogram", "prob_sample", "split_random"]
+        "missing_odds", "live_predictions", "odds_refresh_report", "card_lifecycle", "card_snapshot", "odds_feed", "file_ledger", "permutation_importance", "trials_table", "ndcg_by_split", "day_slice", "favorite_histogram", "prob_sample", "split_random"]
 
 
 def test_entry_smoke(spark):
