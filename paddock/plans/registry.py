@@ -1394,13 +1394,13 @@ def _searched(spark: SparkSession, sf_dir: str):
 
     derived = _training_frame(spark, sf_dir)
     part = lambda name: derived.where(F.col("split") == name).drop("split")
-    found = models.search(part("train"), part("val"), 4, _stream_root(spark, "trials"), "000001")
+    found = models.search(part("train"), part("val"), 3, _stream_root(spark, "trials"), "000001", rungs=(0.1, 0.3))
     return derived, found
 
 
 @register("sweep_trials")
 def sweep_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded random search over tree parameters (4 trials on two rungs), read from the trials table, best first."""
+    """Seeded random search over tree parameters (3 trials on two rungs of up to 24 trees), read from the trials table, best first."""
     from ..operators import models
 
     return finish(models.top_trials(_searched(spark, sf_dir)[1].trials, 10), TRIAL_COLS)
