@@ -8,56 +8,68 @@ it belongs to one owner alone; a value that several owners carry is an example.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store, text_or_empty
 
 # fixed values: the patterns of the base spans, with the group that holds the value
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# runs of fewer characters fail whole, so asking for the length finds the same spans
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 MIXED = r"[A-Za-z0-9_]{20,}"
 KINDS = ("assign", "access", "hex", "live")
 
 
-def matches(text: Column, pattern: str, group: int = 0, hint: str | None = None) -> Column:
-    """Array of (start, end, value): leftmost non-overlapping matches in code points, end exclusive.
+def pieces(kind: int, text: Column, pattern: str, group: int, keep: Callable[[Column], Column], hint: str) -> Column:
+    """Array of (kind, pos, gap, len, keep, h1, h2): leftmost non-overlapping matches, each with the
+    code points between it and the one before. ``keep``: which values count. ``hint``: a
+    cheaper pattern that every text with a match contains.
 
-    The pieces between the matches give their places. ``hint``: a cheaper pattern that every
-    text with a match contains.
+    Nothing is accumulated over the array, so the work is linear in the text.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(F.coalesce(x["whole"], F.lit("")))
-        found = F.when(x["whole"].isNull(), acc["found"]).otherwise(
-            F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
+
+    def piece(x: Column, i: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            i.alias("pos"),
+            F.char_length(x["gap"]).cast("long").alias("gap"),
+            F.char_length(x["whole"]).cast("long").alias("len"),
+            keep(x["value"]).alias("keep"),
+            F.xxhash64(x["value"]).alias("h1"),
+            F.xxhash64(F.lit(1), x["value"]).alias("h2"),
         )
-        return F.struct(end.alias("at"), found.alias("found"))
 
-    got = F.aggregate(pairs, start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(hint or pattern), got).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    # behind the last match there is one more gap
+    found = F.filter(F.transform(zipped, piece), lambda p: p["len"].isNotNull())
+    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:bigint,len:bigint,keep:boolean,h1:bigint,h2:bigint>>"))
 
 
-def spans_of(kind: int, found: Column) -> Column:
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.xxhash64(x["value"]).alias("h1"), F.xxhash64(F.lit(1), x["value"]).alias("h2")))
+def text_pieces(text: Column) -> Column:
+    """The matches of all kinds; kind 3 still needs the corpus."""
+    every = lambda _: F.lit(True)
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
+    return F.concat(
+        pieces(0, text, ASSIGN, 1, lambda v: F.char_length(v) >= 6, r"(?i:password|passwd|secret|token|api_?key)"),
+        pieces(1, text, ACCESS, 0, every, "AKIA"),
+        pieces(2, text, HEX, 0, every, r"[0-9a-f]{24}"),
+        pieces(3, text, MIXED, 0, mixed, MIXED),
+    )
 
 
-def candidate_spans(text: Column) -> Column:
-    """Array of (start, kind, end, h1, h2), sorted by start, then kind; kind 3 still needs the corpus."""
-    assign = F.filter(matches(text, ASSIGN, 1, r"(?i:password|passwd|secret|token|api_?key)"), lambda x: F.char_length(x["value"]) >= 6)
-    access = F.filter(matches(text, ACCESS), lambda x: F.char_length(x["value"]) >= 20)
-    hexes = F.filter(matches(text, HEX, 0, r"[0-9a-f]{24}"), lambda x: F.char_length(x["value"]) >= 24)
-    mixed = F.filter(
-        matches(text, MIXED),
-        lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Z]") & x["value"].rlike("[a-z]"),
-    )
-    return F.array_sort(F.concat(spans_of(0, assign), spans_of(1, access), spans_of(2, hexes), spans_of(3, mixed)))
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows (row, repo, owner, start, kind, end, h1, h2) of rows with ``found``: places are sums of the pieces before."""
+    each = rows.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("x")).select("row", "repo", "owner", "x.*")
+    before = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.col("len")).over(before)
+    spans = each.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.col("len")).cast("int"))
+    return spans.where("keep").select("row", "repo", "owner", "start", "kind", "end", "h1", "h2")
 
 
 def listed(spans: Column) -> Column:
@@ -86,19 +98,19 @@ def scan_secrets(
     Repeated rows are rows of their own (one repository). An empty table gives no rows;
     other columns are ignored.
 
-    Texts don't travel: only spans are stored. Values are counted over distinct (value,
+    The work is linear in a text. Texts don't travel: only their matches' lengths and hashes
+    do. A text's matches of one kind are summed up in one window. Values are counted over distinct (value,
     owner, repository) rows with partial sums, and joined back by value hash with one row
     per value on that side, so a value that is everywhere can be split.
     """
-    spans = candidate_spans(F.col("_text"))
     rows = store(
         docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), text_or_empty(text_col).alias("_text"))
-        .select("doc_id", "repo", "owner", spans.alias("found"))
+        .select("doc_id", "repo", "owner", text_pieces(F.col("_text")).alias("found"))
         .withColumn("row", F.monotonically_increasing_id()),
         "secrets",
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    each = rows.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("x")).select("row", "repo", "owner", "x.*")
+    each = store(placed(rows), "spans")
     some = lambda c: F.coalesce(F.col(c), F.lit("\x00"))
     owners = each.select("h1", "h2", some("owner").alias("owner"), some("repo").alias("repo")).distinct()
     owners = owners.groupBy("h1", "h2", "owner").agg(F.count(F.lit(1)).alias("repos"))
