@@ -49,7 +49,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Windows travel as two hashes and a position; the first occurrences are pre-aggregated
     before the shuffle, and only windows that repeat are joined, with one row per window on
     the other side, so that a hot window can be split. A document's covered positions are
-    bounded by its lines.
+    bounded by its lines, and the work on them is linear.
     """
     hits = repeated_lines(docs, id_col, text_col, width).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts")
@@ -57,13 +57,21 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = text_or_empty(text_col)
     join = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
     d = docs.join(hits, join, "left")
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (width - 1)))))
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_covered"), i))
-    d = d.withColumn("_covered", covered)
+    # from one start to the next: covered lines, then others. The flags are laid out beside the lines
+    starts = F.array_sort("_starts")
+    following = F.concat(F.slice(starts, 2, F.size("_starts")), F.array(F.size(lines)))
+    runs = F.transform(F.arrays_zip(starts.alias("s"), following.alias("t")), lambda x: F.struct(F.least(x["t"] - x["s"], F.lit(width)).alias("gone"), (x["t"] - x["s"]).alias("all")))
+    flags = F.concat(
+        F.array_repeat(F.lit(False), F.array_min("_starts")),
+        F.flatten(F.transform(runs, lambda x: F.concat(F.array_repeat(F.lit(True), x["gone"]), F.array_repeat(F.lit(False), x["all"] - x["gone"])))),
+    )
+    marked = F.filter(F.arrays_zip(lines.alias("line"), flags.alias("gone")), lambda x: ~x["gone"])
+    hit = F.col("_starts").isNotNull()
+    removed = F.aggregate(runs, F.lit(0), lambda acc, x: acc + x["gone"])
     return (
         d.withColumn("n_lines", F.when(text == "", 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("_covered"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .drop("_id", "_hash", "_starts", "_covered")
+        .withColumn("n_removed", F.when(hit, removed).otherwise(0).cast("long"))
+        .withColumn(text_col, F.when(hit, F.array_join(marked["line"], "\n")).otherwise(F.col(text_col)))
+        .drop("_id", "_hash", "_starts")
     )
