@@ -71,6 +71,13 @@ def cover_tree(u: np.ndarray, rows: np.ndarray | None = None, center: int = 0, l
     return node
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. Powers of two, which are exact, bring the largest component near one first: no norm overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -exponent)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def apart(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ q)))
 
@@ -136,8 +143,7 @@ def near_duplicates(
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point")
-        x = matrix(pdf["v"])
-        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        u = unit_rows(matrix(pdf["v"]))
         packed = pickle.dumps((pdf["point"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), u, cover_tree(u)))
         return pd.DataFrame({"block": [key[0]], "dim": [key[1]], "tree": [packed]})
 
