@@ -93,15 +93,28 @@ def build_raw_card_from_runners(
     return _finish_card(rows, pp_features, workout_features, live_odds)
 
 
+def raw_card_from_history(card: DataFrame, history_columns: list[str], live_odds: str = "morning_line") -> DataFrame:
+    """Same card from runners that carry their history rollups already: no join at all."""
+    rows = card.where(~F.col("course_desc").isin(EXCLUDED_COURSE_DESCS) & (F.col("dollar_odds") > 0)).select(
+        *RACE_COLUMNS,
+        F.col("race_class_rating"),
+        *[c for c in ENTRY_COLUMNS if c not in ("race_id", "horse_name")],
+        F.col("entry_class_rating"),
+        *history_columns,
+    )
+    return _finished(rows, live_odds)
+
+
 def _finish_card(joined: DataFrame, pp_features: DataFrame, workout_features: DataFrame, live_odds: str) -> DataFrame:
+    key = ["race_id", "horse_name"]
+    return _finished(joined.where(F.col("dollar_odds") > 0).join(pp_features, key, "left").join(workout_features, key, "left"), live_odds)
+
+
+def _finished(joined: DataFrame, live_odds: str) -> DataFrame:
     if live_odds not in LIVE_ODDS_COLUMNS:
         raise ValueError(f"live_odds must be one of {tuple(LIVE_ODDS_COLUMNS)}, got {live_odds!r}")
-    key = ["race_id", "horse_name"]
     return (
-        joined.where(F.col("dollar_odds") > 0)
-        .join(pp_features, key, "left")
-        .join(workout_features, key, "left")
-        .fillna(0, subset=["num_prior_starts", "num_workouts"])
+        joined.fillna(0, subset=["num_prior_starts", "num_workouts"])
         .withColumn("field_size", F.col("num_runners"))
         .withColumn("won", (F.col("official_finish") == 1).cast("int"))
         .withColumn("live_odds", F.col(LIVE_ODDS_COLUMNS[live_odds]))

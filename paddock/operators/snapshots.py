@@ -7,6 +7,8 @@ name replaces what it left. A published version is never written again.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,35 @@ def publish(df: DataFrame, root: str, version: str, *partition_by: str) -> bool:
     return True
 
 
+def _table_name(path: str) -> str:
+    return f"paddock_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def publish_bucketed(df: DataFrame, root: str, version: str, key: str, buckets: int) -> None:
+    """Writes ``df`` as a version whose files are buckets of ``key``, sorted by it: readers group by it without a shuffle.
+
+    One task writes one bucket. The number of buckets is part of the version's name.
+    """
+    name = f"{version}-b{buckets}"
+    path = f"{root}/rows/version={name}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_table_name(path))
+    marker = f"{root}/published/version={name}"
+    df.sparkSession.range(1).select(F.current_timestamp().alias("published_at")).write.mode("overwrite").parquet(marker)
+
+
+def read_bucketed(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The last version of a bucketed table; a catalog that doesn't know it yet learns its layout."""
+    version = versions(spark, root)[-1]
+    path = f"{root}/rows/version={version}"
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        layout = f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {version.rpartition('-b')[2]} BUCKETS"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {layout} LOCATION '{path}'")
+    return spark.table(name)
+
+
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Published versions, oldest name first (one marker each)."""
     fs, p = hadoop_path(spark, f"{root}/published")

@@ -82,11 +82,20 @@ class Pipeline:
         return history.workout_rollup_asof(probes, self.workouts, null_rank=null_rank)
 
     # ----------------------------------------------------------------- card and features
+    def built_card(self) -> DataFrame:
+        """Runners with history and workout rollups, joined in one layout by (race, horse)."""
+        return self.base.join(self.pp_features, ["race_id", "horse_name"], "left").join(self.workout_features(), ["race_id", "horse_name"], "left")
+
+    @cached_property
+    def card(self) -> DataFrame:
+        """The same, from the ingested copy in buckets of races when ``materialize`` is on."""
+        return warehouse.card(self.spark, self.sf_dir, self.built_card) if self.materialize else self.built_card()
+
     @property
     def raw_card(self) -> DataFrame:
-        """The card: runners with history and workout rollups, all joined in one layout by
-        (race, horse); the race windows downstream share one shuffle by race."""
-        return card_ops.build_raw_card_from_runners(self.base, self.pp_features, self.workout_features(), live_odds=self.live_odds)
+        """The card; read from the ingested copy, the race windows downstream need no shuffle."""
+        known = set(self.base.columns)
+        return card_ops.raw_card_from_history(self.card, [c for c in self.card.columns if c not in known], live_odds=self.live_odds)
 
     @property
     def built_features(self) -> DataFrame:

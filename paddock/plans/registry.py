@@ -810,8 +810,7 @@ def staged_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import fixtures
 
     p = Pipeline(spark, sf_dir)
-    runners = p.base.join(p.pp_features, ["race_id", "horse_name"], "left").join(p.workout_features(), ["race_id", "horse_name"], "left")
-    runners = staging.apply_overrides(runners, fixtures.overrides(p.base))
+    runners = staging.apply_overrides(p.card, fixtures.overrides(p.base))
     return finish(staging.staged_card(runners), staging.STAGED_COLS, _staged_types())
 
 

@@ -34,6 +34,7 @@ LAYOUT_VERSION = "3"
 INGEST_INPUTS = ("lineitem", "orders", "customer", "part")
 _LOCK = threading.Lock()
 _FEATURES_LOCK = threading.Lock()
+_CARD_LOCK = threading.Lock()
 _READY: set[str] = set()
 
 
@@ -51,9 +52,13 @@ def fingerprint(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = INGES
     return h.hexdigest()[:20]
 
 
+def _version() -> str:
+    """Names sort by time; two writers at once publish two whole copies."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 def _publish(df: DataFrame, root: str, *partition_by: str) -> None:
-    # names sort by time; two writers at once publish two whole copies
-    snapshots.publish(df, root, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", *partition_by)
+    snapshots.publish(df, root, _version(), *partition_by)
 
 
 def build_runners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +120,16 @@ def latest_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return today, pp
 
 
+def card(spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """Runners with their history rollups, written by ``build`` on first use in buckets of races:
+    the race windows of the features, and whatever else groups by race, read it without a shuffle."""
+    path = f"{_root(spark, sf_dir)}/card"
+    with _CARD_LOCK:
+        if force or not snapshots.versions(spark, path):
+            snapshots.publish_bucketed(build(), path, _version(), "race_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return snapshots.read_bucketed(spark, path, "race_id")
+
+
 def features(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The card with its race features, written by ``build`` on first use: every evaluation reads this copy."""
     path = f"{_root(spark, sf_dir)}/features-{name}"

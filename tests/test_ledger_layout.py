@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from paddock.operators import snapshots
 from paddock.plans import warehouse
+from paddock.plans.pipeline import Pipeline
 from paddock.sources import ledger
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,25 @@ def test_a_rebuild_that_fails_changes_nothing(spark, monkeypatch):
     assert snapshots.versions(spark, f"{root}/runners") == published and warehouse.runners(spark, SF).count() == before
     monkeypatch.setattr(warehouse, "LAYOUT_VERSION", "other")
     assert warehouse._root(spark, SF) != root
+
+
+def test_features_group_races_without_a_shuffle(spark):
+    p = Pipeline(spark, SF)
+    plan = p.built_features._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Bucketed: true" in plan and "Exchange" not in plan
+    inline = Pipeline(spark, SF, materialize=False)
+    key = ["race_id", "horse_name"]
+    want = inline.built_features.select(*key, "speed_fig_L1", "num_workouts", "ml_odds_rank")
+    got = p.built_features.select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_a_bucketed_table_is_known_to_a_catalog_that_did_not_write_it(spark):
+    root = tempfile.mkdtemp(prefix="paddock-buckets-")
+    rows = spark.range(100).select((F.col("id") % 7).cast("string").alias("race_id"), "id")
+    snapshots.publish_bucketed(rows, root, "1", "race_id", 3)
+    path = f"{root}/rows/version=1-b3"
+    spark.sql(f"DROP TABLE {snapshots._table_name(path)}")  # external: the files stay
+    counts = snapshots.read_bucketed(spark, root, "race_id").groupBy("race_id").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["count"] for r in counts.collect()) == [14] * 5 + [15] * 2
