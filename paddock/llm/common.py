@@ -66,9 +66,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Minimum labels spread over the edges and, by pointer jumping, along the labels
     themselves, so the number of rounds grows with the logarithm of the diameter. Each
-    round is written to the shared folder. Nodes without an edge have no row. Hubs cost
-    nothing extra: the minimum is pre-aggregated before the shuffle and the label side of
-    every join has one row per node.
+    round is written to the shared folder. Nodes without an edge have no row. The minimum is
+    pre-aggregated before the shuffle and the label side of every join has one row per
+    node, but all edges of a hub meet in the task of its label's join: a hub costs that task
+    time in proportion to its edges (Spark may split it as a skewed join).
     """
     spark = edges.sparkSession
     both = edges.select("a", "b").where("a is not null and b is not null and a <> b")

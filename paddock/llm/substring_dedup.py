@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by matching anchors, then their contexts, then whole windows.
 
-Ranks are names: equal strings have equal names, and the name of a longer string comes
-from those of its parts at growing offsets. Three rankings over the corpus follow each
-other, each on what the one before left open:
+This is not prefix doubling by Spark sorts: strings are named by fingerprints straight
+from the text, and only anchors and what they leave open are ranked. Three rankings over
+the corpus follow each other, each on what the one before left open:
 
 * half the threshold, at anchors only: the anchor of a window is the string of half its
   length with the least name in it, so equal windows have equal anchors, and a
@@ -13,7 +13,9 @@ other, each on what the one before left open:
 * the threshold itself: pairs of the names at i and i + half a threshold, from the first
   owner of each context that is still open.
 
-Spark deals the names to ranges of the name space, where they are sorted and ranked.
+Spark deals the names to ranges of the name space, where they are sorted and ranked. Within a
+shard, anchors travel as 40 bits (the shard gives further ones), contexts as 48 bits
+within their anchor, windows as 64 bits; none is compared byte by byte.
 """
 
 from __future__ import annotations
@@ -208,9 +210,10 @@ def remove_repeats(
     gives no rows; other columns are ignored. ``kept`` may split a character.
 
     A block sends a name once however many of its documents have it, so that a string that
-    most documents share costs one entry per block. Names are 64-bit fingerprints, not
-    checked byte by byte: at 100 GB, two different windows that are compared share one with
-    a probability well below a thousandth.
+    most documents share costs one entry per block. Names are fingerprints, not checked byte
+    by byte: 40 bits of an anchor within its shard, 48 bits of a context within its anchor,
+    64 bits of a window. Two different contexts of 48 bits that follow one anchor, or two
+    windows, would have to share one for a wrong removal.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     blocks = count_blocks(d, F.col("text"), block_bytes)
