@@ -52,16 +52,10 @@ def rule_label(cfg: dict) -> str:
     return label
 
 
-def add_ev_columns(
-    df: DataFrame,
-    dollar_odds_col: str = "dollar_odds",
-    prob_col: str = "model_prob",
-    out_decimal_odds_col: str = "decimal_odds",
-    out_ev_col: str = "ev_per_dollar",
-) -> DataFrame:
-    """B1: decimal odds = odds + 1, EV per dollar = p * decimal - 1."""
-    dec = F.col(dollar_odds_col) + 1
-    return df.withColumns({out_decimal_odds_col: dec, out_ev_col: F.col(prob_col) * dec - 1})
+def with_expected_value(df: DataFrame, odds: str = "dollar_odds", prob: str = "model_prob") -> DataFrame:
+    """B1: adds ``decimal_odds`` (odds + 1) and ``ev_per_dollar`` (probability x decimal odds - 1)."""
+    per_dollar = F.col(odds) + 1
+    return df.withColumns({"decimal_odds": per_dollar, "ev_per_dollar": F.col(prob) * per_dollar - 1})
 
 
 def _top1_order(score: str, descending: bool) -> Window:
@@ -86,7 +80,7 @@ def apply_bet_rule(df: DataFrame, rule: str = "ev_threshold", ev_threshold: floa
         if rule == "top_ev_per_race":
             bets = bets.where(F.col("ev_per_dollar") > ev_threshold)
     else:
-        raise ValueError(f"Unknown rule: {rule!r}. Choose from {BET_RULES}")
+        raise ValueError(f"no bet rule is called {rule!r}; there are {', '.join(BET_RULES)}")
     return bets.withColumns({"stake": F.lit(float(stake)), "payout": F.col("won") * F.lit(float(stake)) * F.col("decimal_odds")})
 
 
@@ -127,7 +121,7 @@ def rule_flags(df: DataFrame, rules: list[dict] = ROI_RULES) -> DataFrame:
             if rule == "top_ev_per_race":
                 flag = flag & (F.col("ev_per_dollar") > thr)
         else:
-            raise ValueError(f"Unknown rule: {rule!r}. Choose from {BET_RULES}")
+            raise ValueError(f"no bet rule is called {rule!r}; there are {', '.join(BET_RULES)}")
         cols[f"_bet{i}"] = F.coalesce(flag, F.lit(False))
     return eligible.withColumns(cols)
 

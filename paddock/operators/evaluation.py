@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .betting import add_ev_columns
+from .betting import with_expected_value
 from .features import market_prob_from
 from .scoring import per_race_softmax, winner_races
 
@@ -54,7 +54,7 @@ def enrich(derived: DataFrame, temperature: float = 1.0, score_col: str = "model
     df = per_race_softmax(derived, score_col, "model_prob", temperature)
     df = market_prob_from(df, "dollar_odds", "market_prob")
     df = winner_races(df)
-    return add_ev_columns(df)
+    return with_expected_value(df)
 
 
 # --------------------------------------------------------------------------- per-race rollup

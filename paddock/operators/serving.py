@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .betting import add_ev_columns
+from .betting import with_expected_value
 from .features import market_prob_from
 from .scoring import fixed_linear_score, per_race_softmax
 from .staging import prediction_columns
@@ -47,6 +47,6 @@ def live_predictions(features: DataFrame, state: DataFrame, temperature: float =
     card = card.withColumn("_ticks", F.min("n_ticks").over(race)).where("_ticks > 0").withColumn("live_odds", F.col("_odds"))
     scored = fixed_linear_score(market_prob_from(card, "live_odds"))
     scored = per_race_softmax(scored, "model_score", "model_prob", temperature)
-    out = prediction_columns(add_ev_columns(scored, dollar_odds_col="live_odds"), *keep)
+    out = prediction_columns(with_expected_value(scored, odds="live_odds"), *keep)
     best = race.orderBy(F.col("ev_per_dollar").desc_nulls_last(), F.col("post_position").asc_nulls_last())
     return out.withColumn("rank", F.row_number().over(best).cast("bigint"))

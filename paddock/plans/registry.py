@@ -90,7 +90,7 @@ DERIVED_COLS = ["race_id", "horse_name", "won"] + features.FEATURE_NAMES
 def favorite_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROI of backing the final-odds favourite of every race."""
     df = Pipeline(spark, sf_dir).final_odds_frame
-    df = betting.add_ev_columns(df, prob_col="market_prob")
+    df = betting.with_expected_value(df, prob="market_prob")
     bets = betting.apply_bet_rule(df, "favorite")
     return finish(betting.summarize_roi(bets), ROI_COLS)
 

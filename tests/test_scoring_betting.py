@@ -76,7 +76,7 @@ def race_frame(spark):
         ("R2", "E", 2, 1, 1.0, 0.7, 0.7, 2.0, 71.0),
     ]
     df = spark.createDataFrame(rows, "race_id string, horse_name string, post_position long, won int, dollar_odds double, model_prob double, market_prob double, morning_line_odds_float double, speed_fig_L1 double")
-    return betting.add_ev_columns(df)
+    return betting.with_expected_value(df)
 
 
 def picks(df):
