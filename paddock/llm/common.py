@@ -61,31 +61,53 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key with more than one in so many rows is heavy; fewer keys than this can be.
+HEAVY = 1000
+
+
+def heavy_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The values of ``key`` that more than one in ``HEAVY`` of the table's ``rows`` have: always fewer than ``HEAVY``."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HEAVY > rows).select(key)
+
+
+def look_up(df: DataFrame, heavy: DataFrame, key: str, table: DataFrame, name: str) -> DataFrame:
+    """``df`` with column ``name`` of ``table``, which has one row for every value of ``key``.
+
+    Rows of the ``heavy`` keys take it from a broadcast of fewer than ``HEAVY`` rows, where they stand;
+    the others are shuffled by key, none of which holds more than one in ``HEAVY`` rows.
+    """
+    table = table.select(key, name)
+    top = F.broadcast(table.join(F.broadcast(heavy), key))
+    met = df.join(top, key, "left")
+    rest = met.where(F.col(name).isNull()).drop(name).join(table, key)
+    return met.where(F.col(name).isNotNull()).unionByName(rest)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows (node, component), the smallest node.
 
     Minimum labels spread over the edges and, by pointer jumping, along the labels
     themselves, so the number of rounds grows with the logarithm of the diameter. Each
-    round is written to the shared folder. Nodes without an edge have no row. The minimum is
-    pre-aggregated before the shuffle and the label side of every join has one row per
-    node, but all edges of a hub meet in the task of its label's join: a hub costs that task
-    time in proportion to its edges (Spark may split it as a skewed join).
+    step of a round is written to the shared folder. Nodes without an edge have no row. Minima are
+    pre-aggregated before the shuffle. Hubs and the labels of large components are looked up
+    in a broadcast of bounded size (``look_up``), so neither their edges nor their nodes meet in one task.
     """
-    spark = edges.sparkSession
     both = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     both = store(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = store(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels"
     )
+    nodes = labels.count()
+    if not nodes:
+        return labels
+    hubs = store(heavy_keys(both, "b", both.count()), "hubs")
     for _ in range(max_rounds):
-        if labels.isEmpty():
-            return labels
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("c1"))
+        near = look_up(both, hubs, "b", labels.withColumnRenamed("node", "b"), "component")
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        hooked = store(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("c1")), "hooked")
         jump = hooked.select(F.col("node").alias("c1"), F.col("c1").alias("c2"))
-        new = store(
-            hooked.join(jump, "c1", "left").select("node", "was", F.least("c1", F.coalesce("c2", "c1")).alias("component")), "labels"
-        )
+        large = heavy_keys(hooked, "c1", nodes)
+        new = store(look_up(hooked, large, "c1", jump, "c2").select("node", "was", F.least("c1", "c2").alias("component")), "labels")
         changed = not new.where("was <> component").isEmpty()
         labels = new.select("node", "component")
         if not changed:

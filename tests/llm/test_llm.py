@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paddock.llm import queries as Q
-from paddock.llm.common import components
+from paddock.llm.common import components, heavy_keys, look_up, store
 from paddock.llm.cover_join import near_duplicates
 from paddock.llm.jaccard_join import jaccard_components, shingle_sets, unit_links
 from paddock.llm.line_dedup import drop_repeated_lines
@@ -80,6 +80,35 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs_and_random_graphs(spark):
+    rng = random.Random(8)
+    hub = [(5000, i) for i in range(100, 3000)] + [(3100, 3101), (3101, 2999)]
+    sparse = [(rng.randrange(9000, 12000), rng.randrange(9000, 12000)) for _ in range(500)]
+    edges = hub + sparse
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+
+
+def test_heavy_keys_are_few_and_looked_up_whole(spark):
+    df = store(spark.range(5000).select(F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id")).alias("k"), "id"), "test")
+    table = df.select("k").distinct().withColumn("twice", F.col("k") * 2)
+    assert [r["k"] for r in heavy_keys(df, "k", 5000).collect()] == [7]
+    got = look_up(df, heavy_keys(df, "k", 5000), "k", table, "twice")
+    assert got.count() == 5000 and got.where("twice <> 2 * k").count() == 0
+
+
 def test_fit_counts_is_exact_where_possible():
     rng = random.Random(1)
     lengths, counts = [3, 7, 50, 400], [100, 80, 40, 9]
