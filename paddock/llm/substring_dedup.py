@@ -9,13 +9,14 @@ the corpus follow each other, each on what the one before left open:
   window whose anchor has no other owner is unique;
 * once and a half the threshold, around each anchor: the context that holds all windows
   of that anchor. A context with an earlier owner settles all its windows; where all
-  owners of an anchor share one context nothing else is open;
+  owners of an anchor share one context (asked apart) nothing else is open;
 * the threshold itself: pairs of the names at i and i + half a threshold, from the first
   owner of each context that is still open.
 
-Spark deals the names to ranges of the name space, where they are sorted and ranked. Within a
-shard, anchors travel as 40 bits (the shard gives further ones), contexts as 48 bits
-within their anchor, windows as 64 bits; none is compared byte by byte.
+Spark deals the names to ranges of the name space, where they are sorted and ranked. Contexts
+are dealt by names of their own, so those of a common anchor lie in all shards; a shard of
+anchors gets one entry per anchor and block. A context travels as 48 bits beside 40 bits of
+its anchor, a window as 64 bits; none is compared byte by byte.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ from .common import store
 QUESTIONS = "shard int, block int, names binary, contexts binary, owners binary, ids binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 NO_ID = np.iinfo(np.int64).max
-EARLIER, OPEN = 1, 2
+#: Stands for several contexts of one anchor.
+MANY = np.uint64((1 << 48) - 1)
 
 
 def least_of(x: np.ndarray, width: int) -> np.ndarray:
@@ -79,8 +81,8 @@ class Block:
         self.threshold, self.half = threshold, (threshold + 1) // 2
         n = len(self.buf) - threshold + 1
         none = np.zeros(0, np.int64)
-        self.begin = self.count = self.owner = self.entry = self.first = none
-        self.anchors = self.contexts = np.zeros(0, np.uint64)
+        self.begin = self.count = self.owner = self.entry = self.first = self.by_pair = self.kind = none
+        self.names_of_pairs = self.anchors = self.contexts = self.kinds = self.only = np.zeros(0, np.uint64)
         if n <= 0:
             return
         inside = np.ones(n, bool)  # windows that don't reach into the next document
@@ -113,12 +115,24 @@ class Block:
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(fresh) - 1
         self.first = self.owner[order[fresh]]  # documents are in order of their ids: the block's first owner
-
-    def window_names(self, state: np.ndarray) -> None:
-        """Names of the windows of open contexts, from their first owner in the block."""
-        self.state = state[self.entry]
-        self.settled = (self.state & EARLIER > 0) | (self.ids[self.owner] > self.ids[self.first[self.entry]])
-        todo = np.nonzero((self.state & OPEN > 0) & ~self.settled)[0]
+        pairs = join_hashes(self.anchors, self.contexts)
+        self.by_pair = np.argsort(pairs, kind="stable")
+        self.names_of_pairs = pairs[self.by_pair]
+        head = np.ones(len(self.anchors), bool)
+        head[1:] = self.anchors[1:] != self.anchors[:-1]
+        self.kind = np.cumsum(head) - 1
+        self.kinds = self.anchors[head]
+        self.only = np.where(np.bincount(self.kind) > 1, MANY, self.contexts[head])
+
+    def window_names(self, earlier: np.ndarray, several: np.ndarray) -> None:
+        """Names of the windows of open contexts, from their first owner in the block.
+
+        ``earlier``: of each context by name, has it an earlier owner; ``several``: of each anchor, has it several contexts.
+        """
+        before = np.empty(len(self.by_pair), bool)
+        before[self.by_pair] = earlier > 0
+        self.settled = before[self.entry] | (self.ids[self.owner] > self.ids[self.first[self.entry]])
+        todo = np.nonzero((several[self.kind] > 0)[self.entry] & ~self.settled)[0]
         self.at = spread(self.begin[todo], self.count[todo])
         self.at_owner = np.repeat(self.owner[todo], self.count[todo])
         step = self.threshold - self.half
@@ -160,20 +174,29 @@ def first_of(keys: tuple[np.ndarray, ...], owner: np.ndarray) -> tuple[np.ndarra
     return order, new, np.minimum.reduceat(owner[order], np.nonzero(new)[0])
 
 
+def has_earlier(keys: tuple[np.ndarray, ...], owner: np.ndarray) -> np.ndarray:
+    order, new, least = first_of(keys, owner)
+    earlier = np.empty(len(order), np.uint8)
+    earlier[order] = owner[order] > least[np.cumsum(new) - 1]
+    return earlier
+
+
 def rank_contexts(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
-    """Of each (anchor, context): has it an earlier owner; is it the first owner's, of an anchor with other contexts."""
+    """Of each (anchor, context): has it an earlier owner."""
     sizes = [len(r["contexts"]) // 6 for r in rows]
     anchor, context = from_low_bytes([r["names"] for r in rows], 5), from_low_bytes([r["contexts"] for r in rows], 6)
     owner = unpacked_ids(rows, sizes)
-    order, new, least = first_of((context, anchor), owner)
-    group = np.zeros(len(order), bool)
-    group[0] = True
-    group[1:] = anchor[order][1:] != anchor[order][:-1]
-    kinds = np.add.reduceat(new.astype(np.int64), np.nonzero(group)[0])[np.cumsum(group) - 1]
-    sorted_owner, least = owner[order], least[np.cumsum(new) - 1]
-    state = np.empty(len(order), np.uint8)
-    state[order] = np.where(sorted_owner > least, EARLIER, np.where(kinds > 1, OPEN, 0))
-    yield from parts(rows, sizes, state)
+    yield from parts(rows, sizes, has_earlier((context, anchor), owner))
+
+
+def rank_anchors(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
+    """Of each anchor: has it several contexts."""
+    anchor, context = from_low_bytes([r["names"] for r in rows], 5), from_low_bytes([r["contexts"] for r in rows], 6)
+    order, new, least = first_of((anchor,), context)
+    most = np.maximum.reduceat(context[order], np.nonzero(new)[0])
+    several = np.empty(len(order), np.uint8)
+    several[order] = ((least != most) | (most == MANY))[np.cumsum(new) - 1]
+    yield from parts(rows, [len(r["names"]) // 5 for r in rows], several)
 
 
 def rank_windows(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
@@ -181,10 +204,7 @@ def rank_windows(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
     sizes = [len(r["names"]) // 8 for r in rows]
     name = np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows])
     owner = unpacked_ids(rows, sizes)
-    order, new, least = first_of((name,), owner)
-    earlier = np.empty(len(order), np.uint8)
-    earlier[order] = owner[order] > least[np.cumsum(new) - 1]
-    yield from parts(rows, sizes, earlier)
+    yield from parts(rows, sizes, has_earlier((name,), owner))
 
 
 def parts(rows: list[dict], sizes: list[int], values: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -210,10 +230,10 @@ def remove_repeats(
     gives no rows; other columns are ignored. ``kept`` may split a character.
 
     A block sends a name once however many of its documents have it, so that a string that
-    most documents share costs one entry per block. Names are fingerprints, not checked byte
-    by byte: 40 bits of an anchor within its shard, 48 bits of a context within its anchor,
-    64 bits of a window. Two different contexts of 48 bits that follow one anchor, or two
-    windows, would have to share one for a wrong removal.
+    most documents share costs one entry per block; a short phrase with other surroundings in
+    each document has one entry per document, spread over all shards. Names are fingerprints,
+    not checked byte by byte: 88 bits of a context and its anchor, 64 bits of a window. Two
+    different ones would have to share them for a wrong removal.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     blocks = count_blocks(d, F.col("text"), block_bytes)
@@ -223,22 +243,29 @@ def remove_repeats(
     def ask_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in grouped(batches, "block"):
             b = Block(rows, threshold)
-            # within a shard 40 bits tell anchors apart well enough, and within an anchor 48 bits contexts
-            yield questions(
-                [(s, key, low_bytes(b.anchors[p] >> np.uint64(16), 5), low_bytes(b.contexts[p], 6), *packed_ids(b.ids, b.first[p])) for s, p in ask(shards, b.anchors)]
-            )
+            anchors, contexts, first = b.anchors[b.by_pair] >> np.uint64(16), b.contexts[b.by_pair], b.first[b.by_pair]
+            yield questions([(s, key, low_bytes(anchors[p], 5), low_bytes(contexts[p], 6), *packed_ids(b.ids, first[p])) for s, p in ask(shards, b.names_of_pairs)])
 
-    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in grouped(batches, "block"):
             b = Block(rows, threshold)
-            b.window_names(put_answers(shards, b.anchors, answers_in(rows, 0)))
+            # anchors that share 40 bits within a shard are open without need
+            yield questions([(s, key, low_bytes(b.kinds[p] >> np.uint64(16), 5), low_bytes(b.only[p], 6), b"", b"") for s, p in ask(shards, b.kinds)])
+
+    def named(rows: list[dict]) -> Block:
+        b = Block(rows, threshold)
+        b.window_names(put_answers(shards, b.names_of_pairs, answers_in(rows, 0)), put_answers(shards, b.kinds, answers_in(rows, 1)))
+        return b
+
+    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in grouped(batches, "block"):
+            b = named(rows)
             yield questions([(s, key, b.names[p].tobytes(), b"", *packed_ids(b.ids, b.name_first[p])) for s, p in ask(shards, b.names)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in grouped(batches, "block"):
-            b = Block(rows, threshold)
-            b.window_names(put_answers(shards, b.anchors, answers_in(rows, 0)))
-            gone = b.repeated(put_answers(shards, b.names, answers_in(rows, 1)))
+            b = named(rows)
+            gone = b.repeated(put_answers(shards, b.names, answers_in(rows, 2)))
             spans, kept = [], []
             for end, size in zip(b.ends.tolist(), b.lens.tolist()):
                 part = gone[end - size : end]
@@ -256,5 +283,6 @@ def remove_repeats(
             )
 
     contexts = store(answer(by_block(d).mapInArrow(ask_contexts, QUESTIONS), rank_contexts), "contexts")
-    windows = store(answer(by_block(d, contexts).mapInArrow(ask_windows, QUESTIONS), rank_windows), "windows")
-    return by_block(d, contexts, windows).mapInArrow(cut, RESULT)
+    anchors = store(answer(by_block(d).mapInArrow(ask_anchors, QUESTIONS), rank_anchors), "anchors")
+    windows = store(answer(by_block(d, contexts, anchors).mapInArrow(ask_windows, QUESTIONS), rank_windows), "windows")
+    return by_block(d, contexts, anchors, windows).mapInArrow(cut, RESULT)
