@@ -63,6 +63,18 @@ def test_heavy_horses_are_found(tables, monkeypatch):
     assert light[0].count() + heavy[0].count() == runs.count()
 
 
+@pytest.mark.parametrize("heavy", [10**6, 0])
+def test_rows_that_are_not_counted_add_nothing_to_careers(tables, monkeypatch, heavy):
+    monkeypatch.setattr(history, "HEAVY_ROWS", heavy)
+    runs, wk = tables
+    once = runs.dropDuplicates(["race_id", "horse_name"])
+    want = set(map(tuple, history.with_career(once).select("race_id", "horse_name", "career_starts", "surface_earnings").collect()))
+    twice = once.withColumn("counted", F.explode(F.array(F.lit(True), F.lit(False))))
+    for df in (history.with_career(twice), history.with_history(twice, wk), history.with_history_by_key(twice, wk)):
+        assert "counted" not in df.columns and "earnings" not in df.columns
+        assert set(map(tuple, df.select("race_id", "horse_name", "career_starts", "surface_earnings").collect())) == want
+
+
 def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange ") + plan.count("Exchange(")
