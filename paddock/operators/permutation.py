@@ -29,9 +29,10 @@ def permuted_values(df: DataFrame, features: list[str], seed: int = 0, key: tupl
     n = places.count()  # one number
     long = rows.select(*key, F.posexplode("_v").alias("f", "value"))
     name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("f") + 1)
-    shuffled = long.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), name, *[F.col(k).cast("string") for k in key])))
+    # as bytes a digest is half as long, and sorts like its text
+    shuffled = long.withColumn("_h", F.unhex(F.md5(F.concat_ws("|", F.lit(str(seed)), name, *[F.col(k).cast("string") for k in key]))))
     # n values of each feature: the rank within one is the rank less those before it
-    ranked = global_rank(shuffled, ["f", "_h", *key]).select("f", "value", (F.col("rank") - F.col("f") * n).alias("rank"))
+    ranked = global_rank(shuffled, ["f", "_h", *key], ["f", "value"]).select("f", "value", (F.col("rank") - F.col("f") * n).alias("rank"))
     back = places.join(ranked, "rank").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("_p"))
     return back.select(*key, F.col("_p.value").alias("values"))
 
