@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from paddock import session
-from paddock.operators import split
+from paddock.operators import split, staging
 from paddock.plans import registry, warehouse
 from paddock.plans.pipeline import SCORING_COLUMNS, Pipeline
+from paddock.sources import fixtures
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,7 @@ def tables(spark, tmp_path_factory):
 def test_evaluation_writes_and_shuffles_no_whole_card(spark, tables):
     assert registry.QUERIES["bets_favorite"](spark, tables).count() > 0
     registry.QUERIES["split_random"](spark, tables).count()
+    registry.QUERIES["staged_card"](spark, tables).count()
     fs, path = session.hadoop_path(spark, warehouse._root(spark, tables))
     assert sorted(st.getPath().getName() for st in fs.listStatus(path)) == ["runners", "scoring-morning_line"]
     p = Pipeline(spark, tables)
@@ -70,3 +72,14 @@ def test_ranks_are_written_with_the_columns_to_keep_only(spark):
     want = sorted(r["id"] for r in rows.collect())
     order = [r["id"] for r in sorted(rows.collect(), key=lambda r: r["h"])]
     assert [r["id"] for r in kept.orderBy("rank").collect()] == order and sorted(order) == want
+
+
+def test_staged_card_from_listed_overrides(spark, tables):
+    p = Pipeline(spark, tables)
+    base = p.base.unionByName(p.base.where("post_position = 1"))  # rows that come twice
+    own = fixtures.overrides(p.base)
+    overrides = own.unionByName(own.where("post_position = 2"))
+    got = staging.apply_listed_overrides(p.built_card(staging.with_override_list(base, overrides)))
+    want = staging.apply_overrides(p.built_card(base), overrides)
+    assert set(got.columns) == set(want.columns) and got.count() == want.count() > base.count()
+    assert got.select(*want.columns).exceptAll(want).count() == 0
