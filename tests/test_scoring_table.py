@@ -83,3 +83,14 @@ def test_staged_card_from_listed_overrides(spark, tables):
     want = staging.apply_overrides(p.built_card(base), overrides)
     assert set(got.columns) == set(want.columns) and got.count() == want.count() > base.count()
     assert got.select(*want.columns).exceptAll(want).count() == 0
+
+
+def test_day_slice_does_not_shuffle_all_runs(spark, tables):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "3000")  # less than the runners are thought to have, more than the day's horses
+    try:
+        plan = warehouse.latest_day(spark, tables)[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
+    assert re.search(r"BroadcastHashJoin \[horse_name#\d+\], \[horse_name#\d+\], LeftSemi", plan) and "SortMergeJoin" not in plan
